@@ -223,3 +223,99 @@ def q15(spark, sf_dir):
 def q16(spark, sf_dir):
     b, a = Inputs(spark, sf_dir).cells("no")
     return r6(FG.nfi_points(b, a), "x", "y", "layer")
+
+
+# --- Q17-Q21 + M6 ---------------------------------------------------------------------------
+
+IMPACT_COLS = ["series_id", "date", "t", "y", "in_pre", "in_post", "pred", "lower", "upper", "effect", "cum_effect"]
+
+
+def _impact_df(series: DataFrame) -> DataFrame:
+    return r6(FG.impact(series, S).select(*IMPACT_COLS), "y", "pred", "lower", "upper", "effect", "cum_effect")
+
+
+def _impact_sql(src: str, needs: tuple) -> str:
+    body = f"""select s.series_id, s.date, s.t, round(s.y, 6) as y, s.in_pre, s.in_post,
+  round(f.a + f.b * s.t, 6) as pred,
+  round(f.a + f.b * s.t - {O.d(1.96)} * r.sd, 6) as lower, round(f.a + f.b * s.t + {O.d(1.96)} * r.sd, 6) as upper,
+  round(case when s.in_post then s.y - (f.a + f.b * s.t) end, 6) as effect,
+  round(case when s.in_post then sum(case when s.in_post then s.y - (f.a + f.b * s.t) end)
+        over (partition by s.series_id order by s.t rows between unbounded preceding and current row) end, 6)
+    as cum_effect
+from (select series_id, date, y, t, date between date '{S.pre_start}' and date '{S.pre_end}' as in_pre,
+             date between date '{S.post_start}' and date '{S.post_end}' as in_post
+      from (select series_id, date, y, cast(row_number() over (partition by series_id order by date) as integer) as t
+            from {src}) x) s
+left join (select series_id, regr_slope(y, t) as b, regr_intercept(y, t) as a
+           from (select series_id, date, y, row_number() over (partition by series_id order by date) as t
+                 from {src}) x where date between date '{S.pre_start}' and date '{S.pre_end}' group by series_id) f
+  on s.series_id = f.series_id
+left join (select x.series_id, stddev_samp(x.y - (g.a + g.b * x.t)) as sd
+           from (select series_id, date, y, row_number() over (partition by series_id order by date) as t
+                 from {src}) x
+           join (select series_id, regr_slope(y, t) as b, regr_intercept(y, t) as a
+                 from (select series_id, date, y, row_number() over (partition by series_id order by date) as t
+                       from {src}) z where date between date '{S.pre_start}' and date '{S.pre_end}'
+                 group by series_id) g on x.series_id = g.series_id
+           where x.date between date '{S.pre_start}' and date '{S.pre_end}' group by x.series_id) r
+  on s.series_id = r.series_id"""
+    return O.with_ctes(body, *needs)
+
+
+_ACT_CTE = ("s_act_m", f"""select make_date(year, month, 1) as date, hrs / vessel as y from
+  (select year, month, {O.N_DISTINCT.format(c='vessel_name')} as vessel, sum(hrs / {O.d(1.0)}) as hrs
+   from (select year, month, vessel_name, sum(hrs) as hrs from hours_f
+         where regexp_matches(zone, '{C.MPA_PATTERN}') group by year, month, vessel_name) t
+   group by year, month) m""", ["hours_f"])
+O.CTES[_ACT_CTE[0]] = (_ACT_CTE[1], _ACT_CTE[2])
+O.CTES["s_act"] = ("""select 'activity' as series_id, cast(g.date as date) as date, coalesce(m.y, 0e0) as y
+  from (select unnest(generate_series(min(date), max(date), interval 1 month)) as date from s_act_m) g
+  left join s_act_m m on cast(g.date as date) = m.date""", ["s_act_m"])
+O.CTES["s_cpue"] = (_Q7_SQL.format(k=O.d(1000.0), cut=S.cut_date, since=f"and date >= date '{S.cpue_from}'")
+                    .replace("round(avg(", "(avg(", 1).replace("), 6) as cpue", ")) as cpue", 1),
+                    ["landings", "permits", "active"])
+O.CTES["s_area"] = (f"""select year, month, revi, make_date(year, month, 1) as date,
+  case when count(area) = count(*) then sum(area) end / {O.d(1000.0)} as area
+  from (select cast(year(date) as integer) as year, cast(month(date) as integer) as month, revi, area from areas) a
+  group by year, month, revi""", ["areas"])
+for _fleet, _lab in (("Yes", "yes"), ("No", "no")):
+    O.CTES[f"s_cpue_{_lab}"] = (f"select 'cpue_{_lab}' as series_id, date, cpue as y from s_cpue "
+                                f"where revi = '{_fleet}'", ["s_cpue"])
+    O.CTES[f"s_area_{_lab}"] = (f"select 'area_{_lab}' as series_id, date, area as y from s_area "
+                                f"where revi = '{_lab}'", ["s_area"])
+
+
+@register("q17_impact_activity", _impact_sql("s_act", ("s_act",)))
+def q17(spark, sf_dir):
+    return _impact_df(FG.activity_series(Inputs(spark, sf_dir).hours, S))
+
+
+def _cpue(spark, sf_dir, fleet):
+    i = Inputs(spark, sf_dir)
+    s = FG.cpue_series(i.landings, i.permits, i.active, S)
+    return _impact_df(s.where(F.col("series_id") == f"cpue_{fleet}"))
+
+
+@register("q18_impact_cpue_active", _impact_sql("s_cpue_yes", ("s_cpue_yes",)))
+def q18(spark, sf_dir):
+    return _cpue(spark, sf_dir, "yes")
+
+
+@register("q19_impact_cpue_other", _impact_sql("s_cpue_no", ("s_cpue_no",)))
+def q19(spark, sf_dir):
+    return _cpue(spark, sf_dir, "no")
+
+
+def _area(spark, sf_dir, fleet):
+    s = FG.area_series(Inputs(spark, sf_dir).areas(), S)
+    return _impact_df(s.where(F.col("series_id") == f"area_{fleet}"))
+
+
+@register("q20_impact_area_active", _impact_sql("s_area_yes", ("s_area_yes",)))
+def q20(spark, sf_dir):
+    return _area(spark, sf_dir, "yes")
+
+
+@register("q21_impact_area_other", _impact_sql("s_area_no", ("s_area_no",)))
+def q21(spark, sf_dir):
+    return _area(spark, sf_dir, "no")

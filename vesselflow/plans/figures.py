@@ -12,6 +12,7 @@ from vesselflow.constants import Study
 from vesselflow.functions import (detects, month_start, n_distinct, period_label, ratio, split_first,
                                   strict_sum, trim_ws)
 from vesselflow.operators import grid, membership, rollup
+from vesselflow.operators import series as series_ops
 
 
 # --- Q5: name lists ---------------------------------------------------------------------------
@@ -203,3 +204,32 @@ def nfi_points(before: DataFrame, after: DataFrame, g: grid.GridSpec = grid.DEFA
     """Q15/Q16 (Fig 1D/E): NFI per cell, gain/loss masks, direction class, centres."""
     ch = grid.change_direction(grid.normalised_change(before, after))
     return grid.to_points(ch, g).select("x", "y", F.col("nfi").alias("layer"), "type", "is_gain", "is_loss")
+
+
+# --- Q17-Q21: monthly series and the counterfactual ---------------------------------------------
+
+def activity_series(hours: DataFrame, study: Study) -> DataFrame:
+    """Q17 input: hours per vessel inside the area by month (hours, not days, T11),
+    missing months filled with 0 (T23)."""
+    m = mpa_monthly_effort(hours, study, unit_hours=study.unit_hours_model)
+    s = m.select(F.lit("activity").alias("series_id"), "date", F.col("effort").alias("y"))
+    return series_ops.month_spine(s, fill=0.0)
+
+
+def cpue_series(landings: DataFrame, permits: DataFrame, active: DataFrame, study: Study) -> DataFrame:
+    """Q18/Q19 input: CPUE per fleet from ``cpue_from``; no gap fill."""
+    m = monthly_cpue(landings, permits, active, study, from_date=study.cpue_from)
+    return m.select(F.concat(F.lit("cpue_"), F.lower("revi")).alias("series_id"), "date", F.col("cpue").alias("y"))
+
+
+def area_series(areas: DataFrame, study: Study) -> DataFrame:
+    """Q20/Q21 input: monthly area per fleet, without the figure's outlier filter."""
+    m = monthly_area(areas, study, outlier=None, recode=False)
+    return m.select(F.concat(F.lit("area_"), F.col("revi")).alias("series_id"), "date", F.col("area").alias("y"))
+
+
+def impact(series: DataFrame, study: Study) -> DataFrame:
+    """M2-M4 on any number of series: time index, periods, fit, effects."""
+    s = series_ops.time_index(series)
+    s = series_ops.flag_periods(s, (study.pre_start, study.pre_end), (study.post_start, study.post_end))
+    return series_ops.linear_counterfactual(s)
