@@ -27,7 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import math
+
 DEFAULT_BAND_DEG = 1.0
+DEG2RAD = math.pi / 180.0
+EARTH_RADIUS_KM = 6371.0
 BROADCAST_LIMIT_BYTES = 64 << 20
 SHUFFLE_SALTS = 64
 _EDGE_BYTES = 48          # struct of four doubles + array overhead, per edge reference
@@ -173,10 +177,11 @@ def flag_port_visits(points: DataFrame, ports: DataFrame, radius_km: float = 5.0
              .drop("_pband", "_band", "_ports"))
 
 
-def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, r_km: float = 6371.0) -> Column:
-    p1, p2 = F.radians(lat1), F.radians(lat2)
+def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, r_km: float = EARTH_RADIUS_KM) -> Column:
+    k = F.lit(DEG2RAD)
+    p1, p2 = lat1 * k, lat2 * k
     dlat = p2 - p1
-    dlon = F.radians(lon2) - F.radians(lon1)
+    dlon = (lon2 - lon1) * k
     a = F.sin(dlat / 2) ** 2 + F.cos(p1) * F.cos(p2) * F.sin(dlon / 2) ** 2
     return F.lit(2 * r_km) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 

@@ -319,3 +319,87 @@ def q20(spark, sf_dir):
 @register("q21_impact_area_other", _impact_sql("s_area_no", ("s_area_no",)))
 def q21(spark, sf_dir):
     return _area(spark, sf_dir, "no")
+
+
+# --- Q1-Q3: ingest, modelling, fishing positions ----------------------------------------------------
+
+from vesselflow.operators import clean, geo  # noqa: E402
+from vesselflow.sources import fixtures  # noqa: E402
+
+PRE_COLS = ["year", "month", "day", "date_text", "vessel_name", "RNP", "port_base", "owner", "latitude",
+            "longitude", "speed", "direction", "n_unparsed", "file_name", "location", "zone", "mpa_decree",
+            "state", "municipality", "region"]
+
+
+def preprocessed(spark, sf_dir, layers=None, with_ids=False):
+    layers = layers or adapters.zone_layers(spark)
+    p = clean.preprocess(adapters.raw_pings(spark, sf_dir), file_col="source_file", with_ids=with_ids)
+    p = geo.attach_mpa(p, layers["mpa"])
+    return geo.flag_port_visits(p, fixtures.ports(spark), radius_km=PORT_RADIUS_KM)
+
+
+PORT_RADIUS_KM = 5.0
+_NUM_RE = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)"
+_PORTS_VALUES = ", ".join(f"({O.q(n)}, {O.d(x)}, {O.d(y)})" for n, x, y in fixtures.PORTS)
+
+
+def _hav(lon, lat, plon, plat):
+    k = O.d(geo.DEG2RAD)
+    a = (f"pow(sin(({plat} * {k} - {lat} * {k}) / 2e0), 2) + cos({lat} * {k}) * cos({plat} * {k}) * "
+         f"pow(sin((({plon} - {lon}) * {k}) / 2e0), 2)")
+    return f"{O.d(2 * geo.EARTH_RADIUS_KM)} * asin(sqrt(least(1e0, {a})))"
+
+
+O.CTES["raw"] = (f"""select vessel_name as Nombre, cast(RNP as double) as RNP, 'PUERTO' as port_txt,
+  concat('OWNER ', RNP) as owner_txt, strftime(date, '%d/%m/%Y %H:%M') as Fecha, latitude as Latitud,
+  longitude as Longitud, replace(cast(speed as varchar), '.', ',') as Velocidad,
+  cast(direction as varchar) as Rumbo, file_name as source_file from pings""", ["pings"])
+O.CTES["pre0"] = (f"""select Nombre as vessel_name,
+  case when regexp_matches(cast(RNP as varchar), '^-?[0-9]+\\.0+$')
+       then regexp_replace(cast(RNP as varchar), '\\.0+$', '') else cast(RNP as varchar) end as RNP,
+  port_txt as port_base, owner_txt as owner, Latitud as latitude, Longitud as longitude,
+  try_cast(nullif(regexp_extract(replace(trim(Velocidad), ',', '.'), '{_NUM_RE}', 0), '') as double) as speed,
+  try_cast(nullif(regexp_extract(replace(trim(Rumbo), ',', '.'), '{_NUM_RE}', 0), '') as double) as direction,
+  Velocidad, Rumbo, try_strptime(Fecha, '%d/%m/%Y %H:%M') as date, source_file as file_name from raw""", ["raw"])
+O.CTES["pre_mpa"] = (O.pip("pre0", "mpa", "e.name, e.decree, e.state, e.municipality, e.region"),
+                     ["pre0", "edges"])
+O.CTES["ports"] = (f"select * from (values {_PORTS_VALUES}) as t(port, plon, plat)", [])
+O.CTES["pre_port"] = (f"""select distinct p.longitude, p.latitude from (select distinct longitude, latitude from pre0) p
+  join ports q on {_hav('p.longitude', 'p.latitude', 'q.plon', 'q.plat')} <= {O.d(PORT_RADIUS_KM)}""",
+                      ["pre0", "ports"])
+O.CTES["pre"] = (f"""select cast(year(date) as integer) as year, cast(month(date) as integer) as month,
+  cast(day(date) as integer) as day, strftime(date, '%Y-%m-%d %H:%M:%S') as date_text, vessel_name, RNP,
+  port_base, owner, p.latitude, p.longitude, speed, direction,
+  (case when speed is null and trim(Velocidad) <> '' then 1 else 0 end
+   + case when direction is null and trim(Rumbo) <> '' then 1 else 0 end) as n_unparsed, file_name,
+  case when q.longitude is not null then 'port_visit' else 'at_sea' end as location,
+  coalesce(m.name, 'open area') as zone, m.decree as mpa_decree, m.state, m.municipality, m.region
+  from pre0 p left join pre_mpa m on p.longitude = m.longitude and p.latitude = m.latitude
+  left join pre_port q on p.longitude = q.longitude and p.latitude = q.latitude""",
+                 ["pre0", "pre_mpa", "pre_port"])
+
+
+@register("q01_preprocess_raw_pings", O.with_ctes("select * from pre", "pre"))
+def q01(spark, sf_dir):
+    p = preprocessed(spark, sf_dir)
+    return p.withColumn("date_text", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).select(*PRE_COLS)
+
+
+@register("q02_modelled_pings", O.with_ctes(
+    "select file_name, vessel_name, RNP, strftime(date, '%Y-%m-%d %H:%M:%S') as date_text, longitude, latitude, "
+    "speed, zone, vessel_state from modelled", "modelled"))
+def q02(spark, sf_dir):
+    m = Inputs(spark, sf_dir).modelled
+    return m.select("file_name", "vessel_name", "RNP", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date_text"),
+                    "longitude", "latitude", "speed", "zone", "vessel_state")
+
+
+@register("q03_fishing_positions", O.with_ctes(
+    "select vessel_name, file_name, longitude, latitude from modelled where vessel_state = 'hauling' "
+    "and longitude between (select min(longitude) from modelled) and (select max(longitude) from modelled) "
+    "and latitude between (select min(latitude) from modelled) and (select max(latitude) from modelled)",
+    "modelled"))
+def q03(spark, sf_dir):
+    m = Inputs(spark, sf_dir).modelled
+    pts = rollup.hauling(m).select("vessel_name", "file_name", "longitude", "latitude")
+    return geo.within_box_of(pts, m)
