@@ -403,3 +403,192 @@ def q03(spark, sf_dir):
     m = Inputs(spark, sf_dir).modelled
     pts = rollup.hauling(m).select("vessel_name", "file_name", "longitude", "latitude")
     return geo.within_box_of(pts, m)
+
+
+# --- single operators ---------------------------------------------------------------------------
+
+from vesselflow.operators import grid as grid_ops  # noqa: E402
+from vesselflow.operators import series as series_ops  # noqa: E402
+from vesselflow.operators import profile as profile_ops  # noqa: E402
+
+
+@register("j01_zone_membership", O.with_ctes(
+    "select layer, name, count(*) as n_positions from (select distinct p.longitude, p.latitude, e.layer, e.name "
+    "from (select distinct longitude, latitude from pings) p join edges e on " + O.CROSS.replace("e.y1", "e.y1") +
+    " group by p.longitude, p.latitude, e.layer, e.name, e.pid having count(*) % 2 = 1) t group by layer, name",
+    "pings", "edges"))
+def j01(spark, sf_dir):
+    """Distinct positions inside each polygon of every layer."""
+    i = Inputs(spark, sf_dir)
+    pos = adapters.pings(spark, sf_dir).select("longitude", "latitude").distinct()
+    parts = []
+    for layer, zl in i.layers.items():
+        hit = geo.join_zones(pos, zl, "inner", rename={"pid": "_pid"}).select("name", "_pid")
+        parts.append(hit.groupBy("name").agg(F.count(F.lit(1)).alias("n_positions"))
+                        .withColumn("layer", F.lit(layer)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("layer", "name", "n_positions")
+
+
+@register("m06_impact_summary", O.with_ctes(
+    "select series_id, count(*) as n_post, round(avg(y), 6) as actual_avg, round(avg(pred), 6) as pred_avg, "
+    "round(avg(effect), 6) as effect_avg, round(sum(y), 6) as actual_sum, round(sum(pred), 6) as pred_sum, "
+    "round(sum(effect), 6) as effect_sum, round(sum(effect) / nullif(sum(pred), 0), 6) as rel_effect "
+    "from (" + "\nunion all\n".join(
+        "select series_id, y, a + b * t as pred, y - (a + b * t) as effect, in_post from ("
+        "select s.*, f.a, f.b from (select series_id, date, y, row_number() over (partition by series_id order by date) as t, "
+        f"date between date '{S.post_start}' and date '{S.post_end}' as in_post from {src}) s join "
+        "(select series_id, regr_slope(y, t) as b, regr_intercept(y, t) as a from (select series_id, date, y, "
+        f"row_number() over (partition by series_id order by date) as t from {src}) z where date between date "
+        f"'{S.pre_start}' and date '{S.pre_end}' group by series_id) f on s.series_id = f.series_id) u"
+        for src in ("s_act", "s_cpue_yes", "s_cpue_no", "s_area_yes", "s_area_no"))
+    + ") v where in_post group by series_id",
+    "s_act", "s_cpue_yes", "s_cpue_no", "s_area_yes", "s_area_no"))
+def m06(spark, sf_dir):
+    """M6 over all five series fitted in one plan (one group per series)."""
+    i = Inputs(spark, sf_dir)
+    s = (FG.activity_series(i.hours, S)
+         .unionByName(FG.cpue_series(i.landings, i.permits, i.active, S))
+         .unionByName(FG.area_series(i.areas(), S)))
+    summ = series_ops.impact_summary(FG.impact(s, S))
+    return r6(summ, "actual_avg", "pred_avg", "effect_avg", "actual_sum", "pred_sum", "effect_sum", "rel_effect")
+
+
+_PROFILE_COLS = ["vessel_name", "RNP", "longitude", "latitude", "speed", "file_name", "zone", "vessel_state"]
+
+
+@register("s11_profile", O.with_ctes(" union all ".join(
+    f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_missing, "
+    f"count(distinct {c}) as n_distinct from modelled" for c in _PROFILE_COLS), "modelled"))
+def s11(spark, sf_dir):
+    """Rows, missing and distinct values per column (one pass)."""
+    return profile_ops.profile(Inputs(spark, sf_dir).modelled, _PROFILE_COLS)
+
+
+@register("a10_extent", O.with_ctes(
+    "select min(longitude) as xmin, max(longitude) as xmax, min(latitude) as ymin, max(latitude) as ymax "
+    "from modelled where vessel_state = 'hauling'", "modelled"))
+def a10(spark, sf_dir):
+    """A10: extent of the fishing positions."""
+    return geo.bounding_box(rollup.hauling(Inputs(spark, sf_dir).modelled))
+
+
+@register("w01_file_dates", O.with_ctes(
+    "select file_name, year, month, " + O.SAFE_DATE.format(day="fmax", y="year", m="month") + " as date "
+    "from (select distinct file_name, year, month from pings) p join "
+    "(select file_name as f, max(day) as fmax from pings group by file_name) m on p.file_name = m.f", "pings"))
+def w01(spark, sf_dir):
+    """Every (file, year, month) with the file's last day as its date (T4)."""
+    p = adapters.pings(spark, sf_dir)
+    pv = p.groupBy("file_name", "year", "month").agg(F.max("day").alias("max_day"))
+    return rollup.file_dates(pv).select("file_name", "year", "month", "date")
+
+
+@register("p22_file_positions", O.with_ctes(
+    f"select file_name, cast(pos as integer) as pos from files_ranked where pos between {S.before_files[0]} "
+    f"and {S.after_files[1]}", "files_ranked"))
+def p22(spark, sf_dir):
+    """Positions of the sorted distinct file list (before + after slices)."""
+    from pyspark.sql import Window
+    files = Inputs(spark, sf_dir).modelled.select("file_name").distinct()
+    ranked = files.withColumn("pos", F.row_number().over(Window.orderBy("file_name")))
+    return ranked.where(F.col("pos").between(S.before_files[0], S.after_files[1]))
+
+
+@register("g03_ping_density", O.with_ctes(
+    f"select cast({O.CELL_ROW} as integer) as row, cast({O.CELL_COL} as integer) as col, count(*) as n_pings "
+    f"from modelled where vessel_state = 'hauling' and {O.IN_EXTENT} group by {O.CELL_ROW}, {O.CELL_COL}",
+    "modelled"))
+def g03(spark, sf_dir):
+    """G2/G3 with ``fun = count``: hauling pings per 0.1-degree cell."""
+    h = rollup.hauling(Inputs(spark, sf_dir).modelled)
+    return grid_ops.rasterize(h, "longitude", fun="count", out="n_pings")
+
+
+@register("g05_cell_area", O.with_ctes(
+    f"select cast(row as integer) as row, round({O.CELL_AREA}, 6) as cell_area_km2 from "
+    f"(select distinct {O.CELL_ROW} as row from modelled where {O.IN_EXTENT}) t", "modelled"))
+def g05(spark, sf_dir):
+    """Area of the cells of every grid row that holds a ping."""
+    cells = grid_ops.assign_cells(Inputs(spark, sf_dir).modelled).select("row").distinct()
+    return r6(cells.withColumn("cell_area_km2", grid_ops.cell_area_km2(F.col("row"))), "cell_area_km2")
+
+
+@register("f01_landing_names", O.with_ctes(
+    "select regexp_replace(split_part(vessel_name, '(', 1), '^\\s+|\\s+$', '', 'g') as first_name, "
+    "case when strpos(vessel_name, '(') > 0 then substr(vessel_name, strpos(vessel_name, '(') + 1) else '' end "
+    "as second_name, count(*) as n from landings group by all", "landings"))
+def f01(spark, sf_dir):
+    """landing names split at the first '(' into two fixed parts, first part trimmed."""
+    from vesselflow.functions import split_first, trim_ws
+    l = adapters.landings(spark, sf_dir)
+    first, second = split_first(F.col("vessel_name"))
+    return l.groupBy(trim_ws(first).alias("first_name"), second.alias("second_name")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p23_valid_positions", O.with_ctes(
+    "select count(*) as n_rows, sum(case when longitude is not null and latitude is not null and "
+    "longitude between -180e0 and 180e0 and latitude between -90e0 and 90e0 then 1 else 0 end) as n_valid "
+    "from pings", "pings"))
+def p23(spark, sf_dir):
+    p = adapters.pings(spark, sf_dir)
+    return p.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum(F.when(geo.valid_position(), 1).otherwise(0)).alias("n_valid"))
+
+
+@register("s10_year_scope", O.with_ctes(
+    "select year, month, count(*) as n_pings from pings where year in (1996, 1997) group by year, month", "pings"))
+def s10(spark, sf_dir):
+    """The pings of some years only (a partition filter on landed data)."""
+    p = adapters.pings(spark, sf_dir).where(F.col("year").isin(1996, 1997))
+    return p.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_pings"))
+
+
+@register("w04_season_index", O.with_ctes(
+    "select series_id, date, cast(t as integer) as t, cast(((t - 1) // 2) % 30 as integer) as season "
+    "from (select series_id, date, row_number() over (partition by series_id order by date) as t from s_act) x",
+    "s_act"))
+def w04(spark, sf_dir):
+    """Time index and the 30 x 2 season index of the activity series."""
+    s = series_ops.time_index(FG.activity_series(Inputs(spark, sf_dir).hours, S))
+    return s.select("series_id", "date", "t", series_ops.season_index().alias("season"))
+
+
+# --- model fits (rows-only checks) -------------------------------------------------------------------
+
+MCMC_ITER_QUERY = C.MCMC_ITERATIONS
+
+
+@register("m05_bayesian_impact")
+def m05(spark, sf_dir):
+    """M5: structural time-series counterfactual for the five series at once."""
+    from vesselflow.operators.models import bayesian_impact
+    i = Inputs(spark, sf_dir)
+    s = (FG.activity_series(i.hours, S)
+         .unionByName(FG.cpue_series(i.landings, i.permits, i.active, S))
+         .unionByName(FG.area_series(i.areas(), S)))
+    s = series_ops.flag_periods(series_ops.time_index(s), (S.pre_start, S.pre_end), (S.post_start, S.post_end))
+    return bayesian_impact(s, niter=MCMC_ITER_QUERY)
+
+
+@register("m07_gamma_trend")
+def m07(spark, sf_dir):
+    """M7: Gamma/log smoothed trends of Fig 1A (per period) and Fig 1B (per fleet and period)."""
+    from vesselflow.operators.models import gamma_trend
+    i = Inputs(spark, sf_dir)
+    a = FG.mpa_monthly_effort(i.hours, S).select(F.lit("activity").alias("series_id"), "period", "date",
+                                                 F.col("effort").alias("y"))
+    c = FG.monthly_cpue(i.landings, i.permits, i.active, S).select(
+        F.concat(F.lit("cpue_"), F.col("revi")).alias("series_id"), "period", "date", F.col("cpue").alias("y"))
+    return gamma_trend(a.unionByName(c), ["series_id", "period"])
+
+
+@register("m01b_mixture_states")
+def m01b(spark, sf_dir):
+    """Fishing state from a two-component Gaussian mixture on speed; rows per state and file."""
+    from vesselflow.operators.models import classify_by_mixture
+    p = classify_by_mixture(adapters.pings(spark, sf_dir), location=None)
+    return p.groupBy("file_name", "vessel_state").agg(F.count(F.lit(1)).alias("n_pings"))
