@@ -41,8 +41,11 @@ def parse_timestamp(df: DataFrame, raw: str = "raw_date", fmt: str = C.RAW_TIMES
 
 
 def file_name_from_path(path: Column) -> Column:
-    """Base name of the source file without its extension."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+    """Base name of the source file without its extension (scan paths are URIs:
+    percent-escapes are decoded, a literal '+' is kept)."""
+    base = F.regexp_extract(path, r"([^/]+)$", 1)
+    decoded = F.try_url_decode(F.regexp_replace(base, r"\+", "%2B"))
+    return F.regexp_replace(F.coalesce(decoded, base), r"\.[^.]*$", "")
 
 
 def row_ids(df: DataFrame, group: str = "file_name", out: str = "id") -> DataFrame:
