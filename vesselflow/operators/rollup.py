@@ -61,10 +61,10 @@ def monthly_vessel_hours(modelled: DataFrame, layers: dict, min_year: int,
     p = with_hour(hauling(modelled)).select(
         "file_name", "year", "month", "day", "hour", "vessel_name", "zone", "longitude", "latitude")
     labelled = relabel_zone(clip_and_label(p, layers))
-    hours = (labelled.select("file_name", "year", "month", "day", "hour", "vessel_name", "zone")
-                     .distinct()
-                     .groupBy("file_name", "year", "month", "vessel_name", "zone")
-                     .agg(F.count(F.lit(1)).alias("hrs"))
+    # count of distinct (day, hour): one shuffle on the group keys, with the distinct
+    # pairs already collapsed map-side; the struct keeps a missing hour countable.
+    hours = (labelled.groupBy("file_name", "year", "month", "vessel_name", "zone")
+                     .agg(F.count_distinct(F.struct("day", "hour")).alias("hrs"))
                      .where(F.col("year") > min_year))
     cols = ["year", "month", "vessel_name", "zone", "hrs"]
     return hours.select(*(["file_name"] + cols if with_file else cols))
@@ -74,9 +74,8 @@ def position_hours(pings: DataFrame, keys: list) -> DataFrame:
     """A6 + A2: distinct hour-position-vessel pings (T3), counted per ``keys`` +
     position + vessel.  Returns ``keys, longitude, latitude, vessel_name, h, max_day``."""
     p = with_hour(pings)
-    dedup = p.select(*keys, "day", "hour", "longitude", "latitude", "vessel_name").distinct()
-    return dedup.groupBy(*keys, "longitude", "latitude", "vessel_name").agg(
-        F.count(F.lit(1)).alias("h"), F.max("day").alias("max_day"))
+    return p.groupBy(*keys, "longitude", "latitude", "vessel_name").agg(
+        F.count_distinct(F.struct("day", "hour")).alias("h"), F.max("day").alias("max_day"))
 
 
 def file_dates(per_vessel: DataFrame) -> DataFrame:

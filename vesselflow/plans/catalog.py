@@ -592,3 +592,17 @@ def m01b(spark, sf_dir):
     from vesselflow.operators.models import classify_by_mixture
     p = classify_by_mixture(adapters.pings(spark, sf_dir), location=None)
     return p.groupBy("file_name", "vessel_state").agg(F.count(F.lit(1)).alias("n_pings"))
+
+
+@register("w03_series_completeness", O.with_ctes(
+    "select series_id, count(*) as n_rows from (select series_id from s_act union all select series_id from "
+    "s_cpue_yes union all select series_id from s_cpue_no union all select series_id from s_area_yes union all "
+    "select series_id from s_area_no) t group by series_id",
+    "s_act", "s_cpue_yes", "s_cpue_no", "s_area_yes", "s_area_no"))
+def w03(spark, sf_dir):
+    """Rows per impact series (the analysed code fixes these counts by hand)."""
+    i = Inputs(spark, sf_dir)
+    s = (FG.activity_series(i.hours, S)
+         .unionByName(FG.cpue_series(i.landings, i.permits, i.active, S))
+         .unionByName(FG.area_series(i.areas(), S)))
+    return series_ops.completeness(s)

@@ -126,11 +126,7 @@ def half_month_area(fleet_p: DataFrame, layers: dict, g: grid.GridSpec = grid.DE
     pe = rollup.position_effort(pv, ["file_name", "date"])
     clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
     eff = rollup.regroup_rounded(clipped, ["file_name", "date"])
-    cells = grid.rasterize(eff, "effort", keys=["file_name"], fun="sum", g=g)
-    area = grid.used_area(cells, ["file_name"], g=g)
-    dates = eff.select("file_name", "date").distinct()
-    out = dates.join(area, "file_name", "left")            # E1: a file without cells keeps area missing
-    return out.select(*(["file_name"] if with_file else []), "date", "area")
+    return grid.file_area(eff, g=g, with_file=with_file)
 
 
 def area_results(modelled: DataFrame, layers: dict, permits: DataFrame, active: DataFrame,
