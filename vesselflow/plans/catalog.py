@@ -491,9 +491,8 @@ def w01(spark, sf_dir):
     f"and {S.after_files[1]}", "files_ranked"))
 def p22(spark, sf_dir):
     """Positions of the sorted distinct file list (before + after slices)."""
-    from pyspark.sql import Window
-    files = Inputs(spark, sf_dir).modelled.select("file_name").distinct()
-    ranked = files.withColumn("pos", F.row_number().over(Window.orderBy("file_name")))
+    from vesselflow.operators.order import positions
+    ranked = positions(Inputs(spark, sf_dir).modelled, "file_name")
     return ranked.where(F.col("pos").between(S.before_files[0], S.after_files[1]))
 
 
@@ -606,3 +605,112 @@ def w03(spark, sf_dir):
          .unionByName(FG.cpue_series(i.landings, i.permits, i.active, S))
          .unionByName(FG.area_series(i.areas(), S)))
     return series_ops.completeness(s)
+
+
+# --- more single operators -----------------------------------------------------------------------
+
+def _raw_clean(spark, sf_dir, with_ids=False):
+    return clean.preprocess(adapters.raw_pings(spark, sf_dir), file_col="source_file", with_ids=with_ids)
+
+
+@register("p02_numeric_repair", O.with_ctes(
+    "select count(*) as n_rows, count(speed) as n_speed, count(direction) as n_direction, "
+    "cast(sum(n_unparsed) as bigint) as n_unparsed, round(sum(speed), 6) as speed_sum, "
+    "round(sum(direction), 6) as direction_sum from pre", "pre"))
+def p02(spark, sf_dir):
+    """Speed and direction text repaired to doubles, with unparsed counts."""
+    p = _raw_clean(spark, sf_dir)
+    return r6(p.agg(F.count(F.lit(1)).alias("n_rows"), F.count("speed").alias("n_speed"),
+                    F.count("direction").alias("n_direction"), F.sum("n_unparsed").alias("n_unparsed"),
+                    F.sum("speed").alias("speed_sum"), F.sum("direction").alias("direction_sum")),
+              "speed_sum", "direction_sum")
+
+
+@register("p03_registration_text", O.with_ctes(
+    "select RNP, count(*) as n from pre group by RNP", "pre"))
+def p03(spark, sf_dir):
+    """Registration ids read as doubles rendered as integer text."""
+    return _raw_clean(spark, sf_dir).groupBy("RNP").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p04_timestamp_parts", O.with_ctes(
+    "select year, month, day, count(*) as n, count(date_text) as n_parsed from pre group by year, month, day",
+    "pre"))
+def p04(spark, sf_dir):
+    """Text timestamps parsed with the raw format; parts per day."""
+    p = _raw_clean(spark, sf_dir)
+    return p.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"), F.count("date").alias("n_parsed"))
+
+
+@register("p05_row_ids", O.with_ctes(
+    "select file_name, count(*) as n, cast(1 as bigint) as min_id, count(*) as max_id, "
+    "count(*) as n_distinct_ids from raw group by source_file, file_name", "raw")
+    .replace("from raw group by source_file, file_name", "from (select source_file as file_name from raw) r "
+             "group by file_name"))
+def p05(spark, sf_dir):
+    """P5: per-file ids are exactly 1..n (dense, unique) whatever the input splits."""
+    p = _raw_clean(spark, sf_dir, with_ids=True)
+    return p.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
+                                      F.max("id").alias("max_id"), F.count_distinct("id").alias("n_distinct_ids"))
+
+
+@register("p06_file_names", O.with_ctes(
+    "select source_file as file_name, count(*) as n from raw group by source_file", "raw"))
+def p06(spark, sf_dir):
+    """Provenance column of the row-bound files."""
+    return _raw_clean(spark, sf_dir).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("u02_other_fleet", O.with_ctes(
+    "select distinct vessel_name from permits where vessel_name not in (select vessel_name from active)",
+    "permits", "active"))
+def u02(spark, sf_dir):
+    """Permitted vessels never active in the protected area."""
+    i = Inputs(spark, sf_dir)
+    return membership.difference(i.permits, i.active)
+
+
+@register("p16_zone_relabel", O.with_ctes(
+    "select zone as zone_in, eez_name, " + O.ZONE_LABEL + " as zone_out, count(*) as n from h1 "
+    "group by zone, eez_name, " + O.ZONE_LABEL, "h1"))
+def p16(spark, sf_dir):
+    """Hauling pings in the ocean by protected-area zone, EEZ name and relabelled zone."""
+    i = Inputs(spark, sf_dir)
+    p = rollup.hauling(i.modelled).select("zone", "longitude", "latitude")
+    c = rollup.clip_and_label(p, i.layers).withColumnRenamed("zone", "zone_in")
+    c = rollup.relabel_zone(c.withColumn("zone", F.col("zone_in"))).withColumnRenamed("zone", "zone_out")
+    return c.groupBy("zone_in", "eez_name", "zone_out").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("j04_port_visits", O.with_ctes(
+    "select location, count(*) as n from pre group by location", "pre"))
+def j04(spark, sf_dir):
+    """Pings within the port radius vs at sea."""
+    return preprocessed(spark, sf_dir).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("o03_preview", O.with_ctes(
+    "select year, month, vessel_name, zone, cast(hrs as bigint) as hrs from hours_f "
+    "order by hrs desc, year, month, vessel_name, zone limit 10", "hours_f"))
+def o03(spark, sf_dir):
+    """O3: the ten largest monthly vessel-hour rows (a total order, then a limit)."""
+    h = Inputs(spark, sf_dir).hours
+    return profile_ops.preview(h, 10, [F.col("hrs").desc(), "year", "month", "vessel_name", "zone"])
+
+
+@register("f08_hour_of_day", O.with_ctes(
+    "select hour, count(*) as n_pings from h0 group by hour", "h0"))
+def f08(spark, sf_dir):
+    """F8: hauling pings by clock hour (UTC)."""
+    h = rollup.with_hour(rollup.hauling(Inputs(spark, sf_dir).modelled))
+    return h.groupBy("hour").agg(F.count(F.lit(1)).alias("n_pings"))
+
+
+@register("m01_speed_states", O.with_ctes(
+    "select vessel_state, count(*) as n_pings, round(avg(speed), 6) as mean_speed from modelled "
+    "group by vessel_state", "modelled"))
+def m01(spark, sf_dir):
+    """Speed-band fishing state per ping."""
+    m = Inputs(spark, sf_dir).modelled
+    return r6(m.groupBy("vessel_state").agg(F.count(F.lit(1)).alias("n_pings"), F.avg("speed").alias("mean_speed")),
+              "mean_speed")

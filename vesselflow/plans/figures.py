@@ -4,14 +4,14 @@ same plans run on the study's files or on the adapters' tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesselflow import constants as C
 from vesselflow.constants import Study
 from vesselflow.functions import (detects, month_start, n_distinct, period_label, ratio, split_first,
                                   strict_sum, trim_ws)
-from vesselflow.operators import grid, membership, rollup
+from vesselflow.operators import grid, membership, order, rollup
 from vesselflow.operators import series as series_ops
 
 
@@ -92,8 +92,7 @@ def monthly_cpue(landings: DataFrame, permits: DataFrame, active: DataFrame, stu
 def file_slice(pings: DataFrame, first: int, last: int) -> DataFrame:
     """Names of the files at 1-based positions first..last of the sorted distinct
     file list (O2).  The list is one row per input file, not per ping."""
-    files = pings.select("file_name").distinct()
-    ranked = files.withColumn("_pos", F.row_number().over(Window.orderBy("file_name")))
+    ranked = order.positions(pings, "file_name", "_pos")
     return ranked.where(F.col("_pos").between(first, last)).select("file_name")
 
 
