@@ -79,3 +79,15 @@ def test_port_visits(spark):
                               "k int, longitude double, latitude double")
     out = dict((r["k"], r["location"]) for r in geo.flag_port_visits(p, ports, radius_km=5.0).collect())
     assert out == {1: "port_visit", 2: "at_sea", 3: "at_sea"}
+
+
+def test_detailed_polygon_narrows_bands(spark):
+    import math
+    ring = [(10 * math.cos(2 * math.pi * k / 2000), 10 * math.sin(2 * math.pi * k / 2000)) for k in range(2000)]
+    polys = _polys(spark, [ring])
+    layer = geo.prepare_layer(polys, None, ["pid", "name"], max_edges_per_band=64)
+    assert layer.band_deg < 1.0 and layer.n_edge_refs / layer.n_rows <= 64
+    pts = [(1, 0.0, 0.0), (2, 9.9, 0.0), (3, 10.1, 0.0), (4, 7.0, 7.0), (5, 7.1, 7.1)]
+    p = spark.createDataFrame(pts, "k int, longitude double, latitude double")
+    got = sorted(r["k"] for r in geo.join_zones(p, layer, "inner").collect())
+    assert got == [1, 2, 4]

@@ -69,24 +69,33 @@ class ZoneLayer:
 
 
 def prepare_layer(polygons: DataFrame, layer: str | None = None, attrs: list | None = None,
-                  band_deg: float = DEFAULT_BAND_DEG, layer_col: str = "layer") -> ZoneLayer:
+                  band_deg: float | None = DEFAULT_BAND_DEG, layer_col: str = "layer",
+                  max_edges_per_band: int = 64, min_band_deg: float = 0.01) -> ZoneLayer:
     """Edges of one layer grouped by latitude band.  ``attrs`` are polygon columns
-    carried to matched points (default: every column but the ring)."""
+    carried to matched points (default: every column but the ring).
+
+    When a (polygon, band) row holds more than ``max_edges_per_band`` edges on
+    average (detailed coastlines), the bands are narrowed and the table rebuilt,
+    so the per-point parity loop stays short; ``band_deg=None`` starts from 1 degree."""
     if layer is not None:
         polygons = polygons.where(F.col(layer_col) == layer)
     attrs = attrs or [c for c in polygons.columns if c not in ("ring",)]
     if "pid" not in attrs:
         attrs = ["pid"] + attrs
-    edges = polygon_edges(polygons.select(*attrs, "ring"))
-    lo = band_of(F.least("y1", "y2"), band_deg)
-    hi = band_of(F.greatest("y1", "y2"), band_deg)
-    bands = (edges.where(F.col("y1") != F.col("y2"))          # horizontal edges never cross a ray
-                  .withColumn("_band", F.explode(F.sequence(lo, hi)))
-                  .groupBy("pid", "_band")
-                  .agg(*[F.first(a).alias(a) for a in attrs if a != "pid"],
-                       F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")))
-    stats = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_edges")).alias("e")).first()
-    return ZoneLayer(bands, attrs, band_deg, int(stats["n"] or 0), int(stats["e"] or 0))
+    edges = polygon_edges(polygons.select(*attrs, "ring")).where(F.col("y1") != F.col("y2"))
+    band = float(band_deg or DEFAULT_BAND_DEG)
+    while True:
+        lo = band_of(F.least("y1", "y2"), band)
+        hi = band_of(F.greatest("y1", "y2"), band)
+        bands = (edges.withColumn("_band", F.explode(F.sequence(lo, hi)))   # horizontal edges never cross
+                      .groupBy("pid", "_band")
+                      .agg(*[F.first(a).alias(a) for a in attrs if a != "pid"],
+                           F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")))
+        stats = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_edges")).alias("e")).first()
+        n, e = int(stats["n"] or 0), int(stats["e"] or 0)
+        if n == 0 or e / n <= max_edges_per_band or band / 4 < min_band_deg:
+            return ZoneLayer(bands, attrs, band, n, e)
+        band = band / 4
 
 
 def crossing_parity(edges: Column, lon: Column, lat: Column) -> Column:

@@ -58,16 +58,17 @@ def linear_counterfactual(series: DataFrame, z: float = 1.96, key: str = "series
                           y: str = "y", t: str = "t") -> DataFrame:
     """M4: per series, least squares of y on the time index over the pre period;
     prediction, interval (+-z residual sd), point effect, and cumulative effect
-    over the post period (W5)."""
-    pre = series.where(F.col("in_pre"))
-    fit = pre.groupBy(key).agg(F.regr_slope(y, t).alias("_b"), F.regr_intercept(y, t).alias("_a"))
-    resid = (pre.join(fit, key)
-                .withColumn("_r", F.col(y) - (F.col("_a") + F.col("_b") * F.col(t)))
-                .groupBy(key).agg(F.stddev_samp("_r").alias("_sd")))
-    j = series.join(fit, key, "left").join(resid, key, "left")
+    over the post period (W5).  The fit is a window aggregate per series (one
+    partition per series, bounded by the calendar) -- no join back."""
+    w_all = Window.partitionBy(key)
+    pre_y = F.when(F.col("in_pre"), F.col(y))
+    pre_t = F.when(F.col("in_pre"), F.col(t).cast("double"))
+    j = (series.withColumn("_b", F.regr_slope(pre_y, pre_t).over(w_all))
+               .withColumn("_a", F.regr_intercept(pre_y, pre_t).over(w_all)))
     pred = F.col("_a") + F.col("_b") * F.col(t)
-    j = (j.withColumn("pred", pred)
-          .withColumn("lower", F.col("pred") - F.lit(z) * F.col("_sd"))
+    j = j.withColumn("pred", pred)
+    j = j.withColumn("_sd", F.stddev_samp(F.when(F.col("in_pre"), F.col(y) - F.col("pred"))).over(w_all))
+    j = (j.withColumn("lower", F.col("pred") - F.lit(z) * F.col("_sd"))
           .withColumn("upper", F.col("pred") + F.lit(z) * F.col("_sd"))
           .withColumn("effect", F.when(F.col("in_post"), F.col(y) - F.col("pred"))))
     w = Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)

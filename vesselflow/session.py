@@ -21,6 +21,20 @@ CORE_CONF = {
 }
 
 
+# Starting points for a large cluster (not forced; pass as ``extra`` or via spark-submit).
+# Many shuffle partitions that AQE coalesces to ~256 MB keep every reduce task
+# within executor memory at 100 TB; skewed partitions above 5x the median are split.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "vesselflow", extra: dict | None = None) -> SparkSession:
     """Local/test session builder.  On a cluster, pass ``master=None`` and let
