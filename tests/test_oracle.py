@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import duck, frame_hash
+from tools.check_oracle import duck, frame_hash, types_match
 
 from .conftest import SF001
 
@@ -17,8 +17,9 @@ def test_query_matches_sql(spark, name):
     got = [tuple(r) for r in df.collect()]
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
-    dcols, drows = duck(SF001, SQL[name])
+    dcols, drows, dtypes = duck(SF001, SQL[name], with_types=True)
     assert sorted(cols) == sorted(dcols)
+    assert types_match(df, dcols, dtypes) == {}
     assert len(got) == len(drows)
     assert frame_hash(cols, got) == frame_hash(dcols, drows)
 

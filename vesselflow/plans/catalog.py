@@ -529,8 +529,8 @@ def f01(spark, sf_dir):
 
 
 @register("p23_valid_positions", O.with_ctes(
-    "select count(*) as n_rows, sum(case when longitude is not null and latitude is not null and "
-    "longitude between -180e0 and 180e0 and latitude between -90e0 and 90e0 then 1 else 0 end) as n_valid "
+    "select count(*) as n_rows, cast(sum(case when longitude is not null and latitude is not null and "
+    "longitude between -180e0 and 180e0 and latitude between -90e0 and 90e0 then 1 else 0 end) as bigint) as n_valid "
     "from pings", "pings"))
 def p23(spark, sf_dir):
     p = adapters.pings(spark, sf_dir)
