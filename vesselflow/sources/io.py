@@ -39,6 +39,15 @@ def read_table(spark: SparkSession, path: str, columns: list | None = None, wher
     return df
 
 
+def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan that yields fewer splits than the cluster has cores (a file with
+    one huge row group) a round-robin spread, so the map-side work after it runs on
+    every core.  Large inputs have many more splits than cores and pass unchanged;
+    the split count is known at planning time (no job)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def read_polygons(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Polygon layers stored as rows with a ring array (parquet or JSON lines)."""
     return spark.read.schema(schemas.POLYGONS).format(fmt).load(path)
