@@ -64,7 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster's value always wins.  Only when it is unset (local runs,
     tests) a fresh scratch folder is created and registered."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:                      # remote (Connect) session: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():

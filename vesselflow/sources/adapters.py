@@ -60,7 +60,10 @@ _LAYERS: dict = {}
 def zone_layers(spark: SparkSession) -> dict:
     """The three stand-in polygon layers prepared for point joins (built and
     measured once per session: they are constants)."""
-    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
+    try:
+        key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
+    except Exception:                      # remote session: no stable handle, rebuild each time
+        return _build_layers(spark)
     if key not in _LAYERS:
         _LAYERS[key] = _build_layers(spark)
     return _LAYERS[key]

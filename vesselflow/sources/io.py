@@ -44,8 +44,12 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     one huge row group) a round-robin spread, so the map-side work after it runs on
     every core.  Large inputs have many more splits than cores and pass unchanged;
     the split count is known at planning time (no job)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:                      # remote session: no RDD view, leave the scan as it is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def read_polygons(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
