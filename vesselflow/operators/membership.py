@@ -34,9 +34,11 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_NAMES) -> DataFrame:
-    """Broadcast hint only behind a measured row count; larger lists join by shuffle."""
-    n = df.count()
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_NAMES, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a row bound: ``known_rows`` when the list's size
+    is fixed by construction (a slice of k positions), else a measured count.
+    Larger lists join by shuffle."""
+    n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
@@ -45,10 +47,11 @@ def _key(names: DataFrame, col: str) -> DataFrame:
         else names
 
 
-def keep_in(df: DataFrame, names: DataFrame, col: str = "vessel_name", check: bool = True) -> DataFrame:
+def keep_in(df: DataFrame, names: DataFrame, col: str = "vessel_name", check: bool = True,
+            known_rows: int | None = None) -> DataFrame:
     """Rows whose name is in the list (a missing name never matches)."""
     n = _key(names, col)
-    n = bounded(n) if check else n
+    n = bounded(n, known_rows=known_rows) if check else n
     return df.join(n, df[col].eqNullSafe(n["_name"]), "left_semi")
 
 

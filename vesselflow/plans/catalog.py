@@ -153,7 +153,9 @@ def q08(spark, sf_dir):
 def q09(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     files = FG.file_slice(i.modelled, *S.other_fleet_files)
-    return FG.half_month_area(FG.fleet_pings(i.modelled, i.permits, exclude=i.active, files=files),
+    n_files = S.other_fleet_files[1] - S.other_fleet_files[0] + 1
+    return FG.half_month_area(FG.fleet_pings(i.modelled, i.permits, exclude=i.active, files=files,
+                                             max_files=n_files),
                               i.layers, with_file=True)
 
 

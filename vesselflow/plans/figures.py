@@ -89,25 +89,31 @@ def monthly_cpue(landings: DataFrame, permits: DataFrame, active: DataFrame, stu
 
 # --- file positions (P22) ---------------------------------------------------------------------
 
-def file_slice(pings: DataFrame, first: int, last: int) -> DataFrame:
+def file_positions(pings: DataFrame) -> DataFrame:
+    """The sorted distinct file list with 1-based positions (O2), computed once
+    (checkpointed) and shared by every slice taken from it."""
+    return order.positions(pings, "file_name", "_pos")
+
+
+def file_slice(pings: DataFrame, first: int, last: int, positions: DataFrame | None = None) -> DataFrame:
     """Names of the files at 1-based positions first..last of the sorted distinct
-    file list (O2).  The list is one row per input file, not per ping."""
-    ranked = order.positions(pings, "file_name", "_pos")
+    file list.  At most ``last - first + 1`` rows by construction."""
+    ranked = positions if positions is not None else file_positions(pings)
     return ranked.where(F.col("_pos").between(first, last)).select("file_name")
 
 
-def in_files(pings: DataFrame, files: DataFrame | None) -> DataFrame:
+def in_files(pings: DataFrame, files: DataFrame | None, max_files: int | None = None) -> DataFrame:
     if files is None:
         return pings
-    return membership.keep_in(pings, files, col="file_name")
+    return membership.keep_in(pings, files, col="file_name", known_rows=max_files)
 
 
 # --- Q8-Q11: used area per half month -----------------------------------------------------------
 
 def fleet_pings(modelled: DataFrame, fleet: DataFrame, exclude: DataFrame | None = None,
-                files: DataFrame | None = None) -> DataFrame:
+                files: DataFrame | None = None, max_files: int | None = None) -> DataFrame:
     p = rollup.hauling(modelled)
-    p = in_files(p, files)
+    p = in_files(p, files, max_files)
     p = membership.keep_in(p, fleet)
     if exclude is not None:
         p = membership.drop_in(p, exclude)
@@ -132,10 +138,11 @@ def area_results(modelled: DataFrame, layers: dict, permits: DataFrame, active:
                  study: Study, g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
     """Q8 + Q9 + Q10: both fleets' half-month areas in one table, ``revi`` yes/no."""
     yes = half_month_area(fleet_pings(modelled, active), layers, g).withColumn("revi", F.lit(C.FLEET_YES))
-    files = None
+    files, n_files = None, None
     if study.other_fleet_files:
         files = file_slice(modelled, *study.other_fleet_files)
-    no = half_month_area(fleet_pings(modelled, permits, exclude=active, files=files), layers, g) \
+        n_files = study.other_fleet_files[1] - study.other_fleet_files[0] + 1
+    no = half_month_area(fleet_pings(modelled, permits, exclude=active, files=files, max_files=n_files), layers, g) \
         .withColumn("revi", F.lit(C.FLEET_NO))
     return yes.unionByName(no)
 
@@ -188,10 +195,12 @@ def grid_points(cells: DataFrame, label: str, g: grid.GridSpec = grid.DEFAULT_GR
 def before_after_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Study,
                        exclude: DataFrame | None = None, g: grid.GridSpec = grid.DEFAULT_GRID):
     """Q12/Q13 (active fleet) or Q14 (``exclude`` = active fleet, fleet = permits)."""
-    bf = file_slice(modelled, *study.before_files)
-    af = file_slice(modelled, *study.after_files)
-    before = effort_cells(fleet_pings(modelled, fleet, exclude, bf), layers, study.before_years, g=g)
-    after = effort_cells(fleet_pings(modelled, fleet, exclude, af), layers, None, g=g)
+    pos = file_positions(modelled)
+    (b0, b1), (a0, a1) = study.before_files, study.after_files
+    bf = file_slice(modelled, b0, b1, pos)
+    af = file_slice(modelled, a0, a1, pos)
+    before = effort_cells(fleet_pings(modelled, fleet, exclude, bf, b1 - b0 + 1), layers, study.before_years, g=g)
+    after = effort_cells(fleet_pings(modelled, fleet, exclude, af, a1 - a0 + 1), layers, None, g=g)
     return before, after
 
 

@@ -88,7 +88,8 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
     # Q8-Q11 (+ S8 per-file grids)
     files_other = FG.file_slice(modelled, *study.other_fleet_files) if study.other_fleet_files else None
     yes_p = FG.fleet_pings(modelled, active_grid)
-    no_p = FG.fleet_pings(modelled, permits, exclude=active_grid, files=files_other)
+    n_other = (study.other_fleet_files[1] - study.other_fleet_files[0] + 1) if study.other_fleet_files else None
+    no_p = FG.fleet_pings(modelled, permits, exclude=active_grid, files=files_other, max_files=n_other)
     areas = (FG.half_month_area(yes_p, layers).withColumn("revi", F.lit(C.FLEET_YES))
              .unionByName(FG.half_month_area(no_p, layers).withColumn("revi", F.lit(C.FLEET_NO))))
     areas = _write_read(spark, areas, _p(out, "area_results"))
