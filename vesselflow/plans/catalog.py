@@ -59,6 +59,11 @@ class Inputs:
     def modelled(self):
         return self._get("modelled", lambda: adapters.modelled_pings(self.spark, self.sf_dir, self.layers))
 
+    @property
+    def fishing(self):
+        """Modelled pings without the zone columns (for plans that never read them)."""
+        return self._get("fishing", lambda: adapters.fishing_pings(self.spark, self.sf_dir))
+
     @property
     def hours(self):
         return self._get("hours", lambda: rollup.monthly_vessel_hours(self.modelled, self.layers, S.hours_min_year))
@@ -76,13 +81,13 @@ class Inputs:
         return self._get("landings", lambda: adapters.landings(self.spark, self.sf_dir))
 
     def areas(self):
-        return self._get("areas", lambda: FG.area_results(self.modelled, self.layers, self.permits, self.active, S))
+        return self._get("areas", lambda: FG.area_results(self.fishing, self.layers, self.permits, self.active, S))
 
     def cells(self, fleet: str):
         def build():
             if fleet == "yes":
-                return FG.before_after_cells(self.modelled, self.layers, self.active, S)
-            return FG.before_after_cells(self.modelled, self.layers, self.permits, S, exclude=self.active)
+                return FG.before_after_cells(self.fishing, self.layers, self.active, S)
+            return FG.before_after_cells(self.fishing, self.layers, self.permits, S, exclude=self.active)
         return self._get(("cells", fleet), build)
 
 
@@ -146,15 +151,15 @@ def q07(spark, sf_dir):
 @register("q08_area_active_fleet", O.with_ctes("select file_name, date, area from ay_area", "ay_area"))
 def q08(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return FG.half_month_area(FG.fleet_pings(i.modelled, i.active), i.layers, with_file=True)
+    return FG.half_month_area(FG.fleet_pings(i.fishing, i.active), i.layers, with_file=True)
 
 
 @register("q09_area_other_fleet", O.with_ctes("select file_name, date, area from an_area", "an_area"))
 def q09(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    files = FG.file_slice(i.modelled, *S.other_fleet_files)
+    files = FG.file_slice(i.fishing, *S.other_fleet_files)
     n_files = S.other_fleet_files[1] - S.other_fleet_files[0] + 1
-    return FG.half_month_area(FG.fleet_pings(i.modelled, i.permits, exclude=i.active, files=files,
+    return FG.half_month_area(FG.fleet_pings(i.fishing, i.permits, exclude=i.active, files=files,
                                              max_files=n_files),
                               i.layers, with_file=True)
 
@@ -474,7 +479,7 @@ def s11(spark, sf_dir):
     "from modelled where vessel_state = 'hauling'", "modelled"))
 def a10(spark, sf_dir):
     """A10: extent of the fishing positions."""
-    return geo.bounding_box(rollup.hauling(Inputs(spark, sf_dir).modelled))
+    return geo.bounding_box(rollup.hauling(Inputs(spark, sf_dir).fishing))
 
 
 @register("w01_file_dates", O.with_ctes(
@@ -494,7 +499,7 @@ def w01(spark, sf_dir):
 def p22(spark, sf_dir):
     """Positions of the sorted distinct file list (before + after slices)."""
     from vesselflow.operators.order import positions
-    ranked = positions(Inputs(spark, sf_dir).modelled, "file_name")
+    ranked = positions(Inputs(spark, sf_dir).fishing, "file_name")
     return ranked.where(F.col("pos").between(S.before_files[0], S.after_files[1]))
 
 
@@ -513,7 +518,7 @@ def g03(spark, sf_dir):
     f"(select distinct {O.CELL_ROW} as row from modelled where {O.IN_EXTENT}) t", "modelled"))
 def g05(spark, sf_dir):
     """Area of the cells of every grid row that holds a ping."""
-    cells = grid_ops.assign_cells(Inputs(spark, sf_dir).modelled).select("row").distinct()
+    cells = grid_ops.assign_cells(Inputs(spark, sf_dir).fishing).select("row").distinct()
     return r6(cells.withColumn("cell_area_km2", grid_ops.cell_area_km2(F.col("row"))), "cell_area_km2")
 
 

@@ -85,6 +85,13 @@ def modelled_pings(spark: SparkSession, sf_dir: str, layers: dict | None = None)
     return classify_by_speed(p)
 
 
+def fishing_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings with the fishing state but without protected-area columns: the
+    projection the area and grid plans read (a stored modelled table would give it
+    by column pruning; here it skips recomputing a zone join nobody reads)."""
+    return classify_by_speed(pings(spark, sf_dir))
+
+
 def landings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing declarations: names with a leading blank and sometimes an alias part,
     zero declared days on purpose."""
