@@ -153,15 +153,19 @@ def recode_fleet(df: DataFrame, col: str = "revi") -> DataFrame:
     return df.withColumn(col, F.try_element_at(m, F.col(col)))
 
 
-def monthly_area(areas: DataFrame, study: Study, outlier: float | None = None,
+_STUDY_DEFAULT = object()
+
+
+def monthly_area(areas: DataFrame, study: Study, outlier=_STUDY_DEFAULT,
                  recode: bool = True) -> DataFrame:
     """Q11 (Fig 1C): area in 10^3 km2 per month and fleet.  One missing half-month
     makes the month missing (T9); missing months fail the outlier filter like in
-    the analysed code."""
+    the analysed code.  ``outlier`` defaults to the study's limit; ``None`` keeps
+    every month (the impact series, Q20/Q21)."""
     a = recode_fleet(areas) if recode else areas
     a = a.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
     m = a.groupBy("year", "month", "revi").agg((strict_sum("area") / F.lit(1000.0)).alias("area"))
-    lim = study.area_outlier if outlier is None else outlier
+    lim = study.area_outlier if outlier is _STUDY_DEFAULT else outlier
     if lim is not None:
         m = m.where(F.col("area") < F.lit(float(lim)))
     m = m.withColumn("date", month_start("year", "month"))
