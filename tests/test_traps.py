@@ -164,3 +164,17 @@ def test_t3_dedup_and_t1_vessel_grain(spark):
     per_file = rollup.position_effort(pv, ["file_name"])
     total = per_file.agg(F.sum("vessels")).first()[0]
     assert total == 2       # a sum of per-file distinct counts, not a global distinct (T1)
+
+
+def test_e1_p24_file_area_dates_and_missing_area(spark):
+    pts = spark.createDataFrame([
+        ("f1", dt.date(2001, 1, 31), -100.05, 10.05, 2.0),
+        ("f1", None, -100.05, 10.05, 1.0),                 # impossible date of the same file: kept as a row
+        ("f1", dt.date(2001, 1, 31), -100.05, 12.05, 1.0),
+        ("f2", dt.date(2001, 2, 15), -170.0, 10.0, 1.0),   # outside the grid: no cell
+    ], "file_name string, date date, longitude double, latitude double, effort double")
+    out = {(r["file_name"], r["date"]): r["area"] for r in grid.file_area(pts, with_file=True).collect()}
+    cells = spark.range(1).select(grid.cell_area_km2(F.lit(249)), grid.cell_area_km2(F.lit(229))).first()
+    expected = round(2 * (cells[0] + cells[1]) / 2, 1)
+    assert out == {("f1", dt.date(2001, 1, 31)): expected, ("f1", None): expected,
+                   ("f2", dt.date(2001, 2, 15)): None}
