@@ -77,8 +77,10 @@ def test_port_visits(spark):
     ports = spark.createDataFrame([("P", -106.42, 23.20)], "port string, longitude double, latitude double")
     p = spark.createDataFrame([(1, -106.42, 23.21), (2, -106.0, 23.2), (3, None, None)],
                               "k int, longitude double, latitude double")
-    out = dict((r["k"], r["location"]) for r in geo.flag_port_visits(p, ports, radius_km=5.0).collect())
-    assert out == {1: "port_visit", 2: "at_sea", 3: "at_sea"}
+    for strategy in ("broadcast", "shuffle"):
+        out = dict((r["k"], r["location"])
+                   for r in geo.flag_port_visits(p, ports, radius_km=5.0, strategy=strategy).collect())
+        assert out == {1: "port_visit", 2: "at_sea", 3: "at_sea"}
 
 
 def test_detailed_polygon_narrows_bands(spark):

@@ -162,13 +162,15 @@ def attach_mpa(points: DataFrame, mpa: ZoneLayer, lon="longitude", lat="latitude
 def flag_port_visits(points: DataFrame, ports: DataFrame, radius_km: float = 5.0,
                      lon="longitude", lat="latitude", port_lon="longitude", port_lat="latitude",
                      out: str = "location", inside: str = "port_visit", outside: str = "at_sea",
-                     broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                     broadcast_limit: int = BROADCAST_LIMIT_BYTES, strategy: str = "auto") -> DataFrame:
     """``port_visit`` when a port lies within ``radius_km`` (haversine), else ``at_sea``.
 
     Ports are listed under every latitude band their radius reaches and collected
     into one array per band; each point joins its single band row by equality and
     tests ``exists(distance <= radius)`` natively -- one map-side pass, one output
-    row per point.  The ports table is a dimension; its size is checked first.
+    row per point.  The ports table is a dimension; its size is checked first, and
+    above the limit the same join runs salted by shuffle (a band row per salt, so
+    a hot band is spread over SHUFFLE_SALTS tasks and each point still meets one row).
     """
     deg = radius_km / 110.0 + 1e-6
     band_deg = max(1.0, 2 * deg)
@@ -176,11 +178,18 @@ def flag_port_visits(points: DataFrame, ports: DataFrame, radius_km: float = 5.0
     p = (p.withColumn("_band", F.explode(F.sequence(band_of(F.col("plat") - deg, band_deg),
                                                     band_of(F.col("plat") + deg, band_deg))))
           .groupBy("_band").agg(F.collect_list(F.struct("plon", "plat")).alias("_ports")))
-    n = p.agg(F.sum(F.size("_ports"))).first()[0] or 0
-    if n * _EDGE_BYTES > broadcast_limit:
-        raise ValueError(f"ports table too large to broadcast ({n} band entries)")
+    if strategy == "auto":
+        n = p.agg(F.sum(F.size("_ports"))).first()[0] or 0
+        strategy = "broadcast" if n * _EDGE_BYTES <= broadcast_limit else "shuffle"
     pts = points.withColumn("_pband", band_of(F.col(lat), band_deg))
-    j = pts.join(F.broadcast(p), pts["_pband"] == p["_band"], "left")
+    if strategy == "broadcast":
+        j = pts.join(F.broadcast(p), pts["_pband"] == p["_band"], "left")
+    else:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.lit(SHUFFLE_SALTS)).cast("int")
+        pts = pts.withColumn("_salt", salt)
+        ps = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SHUFFLE_SALTS - 1))))
+        j = pts.join(ps, (pts["_pband"] == ps["_band"]) & (pts["_salt"] == ps["_salt"]), "left") \
+               .drop(ps["_salt"]).drop(pts["_salt"])
     near = F.exists("_ports", lambda q: haversine_km(F.col(lon), F.col(lat), q["plon"], q["plat"]) <= radius_km)
     return (j.withColumn(out, F.when(F.coalesce(near, F.lit(False)), inside).otherwise(outside))
              .drop("_pband", "_band", "_ports"))
