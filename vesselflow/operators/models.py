@@ -212,6 +212,9 @@ def bayesian_impact(series: DataFrame, niter: int = C.MCMC_ITERATIONS, n_seasons
     """M5: structural time-series counterfactual per series (one grouped-map task per
     series; a series is one row per month, so a group is bounded by the calendar).
     Input columns: series_id, date, t, y, in_pre, in_post."""
+    from vesselflow.session import ship_package
+    ship_package(series.sparkSession)
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         return _impact_group(pdf, niter, n_seasons, duration, seed)
     cols = series.select("series_id", "date", "t", "y", "in_pre", "in_post")
@@ -266,5 +269,7 @@ def gamma_trend(df: DataFrame, keys: list, y: str = "y", date: str = "date") ->
             out.loc[ok, "trend"] = gamma_log_fit(x, pdf.loc[ok, "y"].to_numpy(dtype=float))
         return out
 
+    from vesselflow.session import ship_package
+    ship_package(df.sparkSession)
     src = df.select(F.col(k1), F.col(k2), F.col(date), F.col(y).cast("double").alias("y"))
     return src.groupBy(k1, k2).applyInPandas(fn, TREND_SCHEMA)

@@ -76,3 +76,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="vesselflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vesselflow`` importable in the Python workers that run grouped-map
+    functions (once per application).  A zip of the package's sources is added with
+    ``addPyFile``, which Spark distributes to every executor; on a cluster where the
+    package is installed on the executors (or passed with ``--py-files``) this is a
+    harmless duplicate."""
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:                      # remote session: the server side provides the package
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="vesselflow-pkg-"), "vesselflow.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
