@@ -69,3 +69,15 @@ def test_stream_ingest_available_now(spark, scratch):
     assert df.where("vessel_state = 'hauling'").count() == 3
     zones = {r["zone"] for r in df.collect()}
     assert "Revillagigedo" in zones and "open area" in zones
+
+
+def test_year_scope_prunes_partitions(spark, scratch):
+    df = spark.createDataFrame([(y, m, float(y)) for y in (2000, 2001, 2002) for m in (1, 2)],
+                               "year int, month int, v double")
+    out = os.path.join(scratch, "landed")
+    io.write_pings(df, out)
+    scoped = io.read_years(spark, out, [2001]).select("month", "v").where(F.col("v") > 0)
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "2001" in plan.split("PartitionFilters")[1][:200]
+    assert "PushedFilters: [IsNotNull(v), GreaterThan(v,0.0)]" in plan
+    assert scoped.count() == 2
