@@ -81,3 +81,19 @@ def test_year_scope_prunes_partitions(spark, scratch):
     assert "PartitionFilters: [isnotnull(year" in plan and "2001" in plan.split("PartitionFilters")[1][:200]
     assert "PushedFilters: [IsNotNull(v), GreaterThan(v,0.0)]" in plan
     assert scoped.count() == 2
+
+
+def test_batch_ingest_job(spark, scratch):
+    from vesselflow.plans.study import ingest_raw
+    from vesselflow.sources.fixtures import ports
+    raw = os.path.join(scratch, "raw")
+    _files(raw)
+    polys = os.path.join(scratch, "polys")
+    zone_polygons(spark).write.parquet(polys)
+    prt = os.path.join(scratch, "ports")
+    ports(spark).write.parquet(prt)
+    out = ingest_raw(spark, raw, polys, os.path.join(scratch, "modelled"), ports=prt)
+    df = spark.read.parquet(out)
+    assert df.count() == 5
+    assert {"id", "zone", "location", "vessel_state", "file_name", "year", "month"} <= set(df.columns)
+    assert sorted(r["id"] for r in df.where("file_name = '01-15 ENE 2022'").collect()) == [1, 2, 3, 4]

@@ -129,3 +129,21 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
     return {name: _p(out, name) for name in (
         "month_vessel_hrs", "fleets", "mpa_effort", "cpue_monthly", "area_results", "grids_half_month",
         "area_monthly", "grids_before_after", "nfi", "series", "impact_linear", "impact_summary", "trends")}
+
+
+def ingest_raw(spark: SparkSession, raw_dir: str, polygons: str, out: str, ports: str | None = None,
+               model: str = "band", port_radius_km: float = 5.0) -> str:
+    """Q1 + Q2 as one batch job: raw delimited files -> cleaned pings with per-file
+    ids, protected-area attributes, port visits and fishing state, written
+    partitioned by year and month (S9)."""
+    from vesselflow.operators import clean
+    from vesselflow.operators.models import classify_by_mixture, classify_by_speed
+
+    layers = layers_from(spark.read.parquet(polygons))
+    p = clean.preprocess(io.read_raw_pings(spark, raw_dir), file_col="source_file")
+    p = geo.attach_mpa(p, layers["mpa"])
+    if ports:
+        p = geo.flag_port_visits(p, spark.read.parquet(ports), radius_km=port_radius_km)
+    p = classify_by_mixture(p) if model == "mixture" else classify_by_speed(p)
+    io.write_pings(p.drop("source_file"), out)
+    return out
