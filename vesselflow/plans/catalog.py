@@ -721,3 +721,13 @@ def m01(spark, sf_dir):
     m = Inputs(spark, sf_dir).modelled
     return r6(m.groupBy("vessel_state").agg(F.count(F.lit(1)).alias("n_pings"), F.avg("speed").alias("mean_speed")),
               "mean_speed")
+
+
+@register("f08_event_clock_hours",
+          "select cast(year(ts) as integer) as year, cast(month(ts) as integer) as month, cast(hour(ts) as integer) "
+          "as hour, count(*) as n from events group by year(ts), month(ts), hour(ts)")
+def f08e(spark, sf_dir):
+    """F8 on a real clock: year, month and hour of event timestamps (session time zone UTC)."""
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("ts")
+    return (e.groupBy(F.year("ts").alias("year"), F.month("ts").alias("month"), F.hour("ts").alias("hour"))
+             .agg(F.count(F.lit(1)).alias("n")))
