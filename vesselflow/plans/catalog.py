@@ -123,8 +123,8 @@ def q06(spark, sf_dir):
     return r6(FG.mpa_monthly_effort(Inputs(spark, sf_dir).hours, S), "hrs", "effort")
 
 
-_Q7_SQL = """select year, month, revi, round(avg(case when days_declared <> 0 then catch / days_declared end
-    / {k}), 6) as cpue,
+_Q7_SQL = """select year, month, revi, {r_open}avg(case when days_declared <> 0 then catch / days_declared end
+    / {k}){r_close} as cpue,
   cast(sum(case when days_declared = 0 then 1 else 0 end) as bigint) as zero_days,
   count(*) as n_landings, make_date(year, month, 1) as date,
   case when make_date(year, month, 1) < date '{cut}' then 'Before' else 'After' end as period
@@ -137,7 +137,7 @@ group by year, month, revi"""
 
 
 def _q7_sql(since: str | None) -> str:
-    return O.with_ctes(_Q7_SQL.format(k=O.d(1000.0), cut=S.cut_date,
+    return O.with_ctes(_Q7_SQL.format(k=O.d(1000.0), cut=S.cut_date, r_open="round(", r_close=", 6)",
                                       since=f"and date >= date '{since}'" if since else ""),
                        "landings", "permits", "active")
 
@@ -278,8 +278,8 @@ O.CTES[_ACT_CTE[0]] = (_ACT_CTE[1], _ACT_CTE[2])
 O.CTES["s_act"] = ("""select 'activity' as series_id, cast(g.date as date) as date, coalesce(m.y, 0e0) as y
   from (select unnest(generate_series(min(date), max(date), interval 1 month)) as date from s_act_m) g
   left join s_act_m m on cast(g.date as date) = m.date""", ["s_act_m"])
-O.CTES["s_cpue"] = (_Q7_SQL.format(k=O.d(1000.0), cut=S.cut_date, since=f"and date >= date '{S.cpue_from}'")
-                    .replace("round(avg(", "(avg(", 1).replace("), 6) as cpue", ")) as cpue", 1),
+O.CTES["s_cpue"] = (_Q7_SQL.format(k=O.d(1000.0), cut=S.cut_date, r_open="", r_close="",
+                                   since=f"and date >= date '{S.cpue_from}'"),
                     ["landings", "permits", "active"])
 O.CTES["s_area"] = (f"""select year, month, revi, make_date(year, month, 1) as date,
   case when count(area) = count(*) then sum(area) end / {O.d(1000.0)} as area
@@ -421,7 +421,7 @@ from vesselflow.operators import profile as profile_ops  # noqa: E402
 
 @register("j01_zone_membership", O.with_ctes(
     "select layer, name, count(*) as n_positions from (select distinct p.longitude, p.latitude, e.layer, e.name "
-    "from (select distinct longitude, latitude from pings) p join edges e on " + O.CROSS.replace("e.y1", "e.y1") +
+    "from (select distinct longitude, latitude from pings) p join edges e on " + O.CROSS +
     " group by p.longitude, p.latitude, e.layer, e.name, e.pid having count(*) % 2 = 1) t group by layer, name",
     "pings", "edges"))
 def j01(spark, sf_dir):
@@ -651,9 +651,7 @@ def p04(spark, sf_dir):
 
 @register("p05_row_ids", O.with_ctes(
     "select file_name, count(*) as n, cast(1 as bigint) as min_id, count(*) as max_id, "
-    "count(*) as n_distinct_ids from raw group by source_file, file_name", "raw")
-    .replace("from raw group by source_file, file_name", "from (select source_file as file_name from raw) r "
-             "group by file_name"))
+    "count(*) as n_distinct_ids from (select source_file as file_name from raw) r group by file_name", "raw"))
 def p05(spark, sf_dir):
     """P5: per-file ids are exactly 1..n (dense, unique) whatever the input splits."""
     p = _raw_clean(spark, sf_dir, with_ids=True)
