@@ -61,3 +61,14 @@ def test_speed_band_rule(spark):
     df = spark.createDataFrame([(1.0,), (4.0,), (4.5,), (None,)], "speed double")
     got = [r[0] for r in models.classify_by_speed(df).select("vessel_state").collect()]
     assert got == ["hauling", "hauling", "steaming", "unknown"]
+
+
+def test_bayesian_summary_interval_excludes_zero(spark):
+    rng = np.random.default_rng(0)
+    ys = list(5.0 + rng.normal(0, 0.1, 48)) + list(9.0 + rng.normal(0, 0.1, 12))
+    s = series.time_index(_series(spark, ys))
+    s = series.flag_periods(s, ("2000-01-01", "2003-12-01"), ("2004-01-01", "2004-12-01"))
+    r = models.bayesian_summary(s, niter=200, n_seasons=4, duration=1).first()
+    assert r["n_post"] == 12
+    assert r["effect_avg_lower"] > 0 and abs(r["effect_avg"] - 4.0) < 1.0
+    assert r["p_tail"] < 0.05 and r["rel_lower"] > 0

@@ -180,14 +180,19 @@ def bsts_fit(y_pre_post: np.ndarray, x: np.ndarray, observed: np.ndarray, niter:
     return np.array(keep)
 
 
-def _impact_group(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int, seed: int) -> pd.DataFrame:
+def _posterior(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int, seed: int):
+    """Sorted series, its values, posterior predictive draws and the post mask."""
     pdf = pdf.sort_values("date").reset_index(drop=True)
     y = pdf["y"].to_numpy(dtype=float)
     observed = pdf["in_pre"].to_numpy(dtype=bool) & ~np.isnan(y)
     sid = str(pdf["series_id"].iloc[0])
     series_seed = seed + int(np.frombuffer(sid.encode().ljust(8, b"\0")[:8], dtype=np.uint64)[0] % 100_000)
     draws = bsts_fit(y, pdf["t"].to_numpy(dtype=float), observed, niter, n_seasons, duration, series_seed)
-    post = pdf["in_post"].to_numpy(dtype=bool)
+    return pdf, y, draws, pdf["in_post"].to_numpy(dtype=bool)
+
+
+def _impact_group(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int, seed: int) -> pd.DataFrame:
+    pdf, y, draws, post = _posterior(pdf, niter, n_seasons, duration, seed)
     eff_draws = np.where(post, y - draws, np.nan)
     cum = np.nancumsum(np.where(post, eff_draws, 0.0), axis=1)
     cum = np.where(post, cum, np.nan)
@@ -207,6 +212,53 @@ def _impact_group(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int,
     return out
 
 
+SUMMARY_SCHEMA = ("series_id string, n_post long, actual_avg double, pred_avg double, pred_avg_lower double, "
+                  "pred_avg_upper double, effect_avg double, effect_avg_lower double, effect_avg_upper double, "
+                  "rel_effect double, rel_lower double, rel_upper double, actual_sum double, pred_sum double, "
+                  "effect_sum double, effect_sum_lower double, effect_sum_upper double, p_tail double")
+
+
+def _summary_group(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int, seed: int) -> pd.DataFrame:
+    pdf, y, draws, post = _posterior(pdf, niter, n_seasons, duration, seed)
+    m = post & ~np.isnan(y)
+    sid = str(pdf["series_id"].iloc[0])
+    if not m.any():
+        return pd.DataFrame([{"series_id": sid, "n_post": 0}], columns=SUMMARY_SCHEMA_COLS)
+    pred_avg = draws[:, m].mean(axis=1)                   # one value per draw
+    pred_sum = draws[:, m].sum(axis=1)
+    act_avg, act_sum = y[m].mean(), y[m].sum()
+    eff_avg, eff_sum = act_avg - pred_avg, act_sum - pred_sum
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rel = eff_sum / pred_sum
+    q = lambda a, p: float(np.quantile(a, p))           # noqa: E731
+    row = {"series_id": sid, "n_post": int(m.sum()), "actual_avg": act_avg, "pred_avg": float(pred_avg.mean()),
+           "pred_avg_lower": q(pred_avg, 0.025), "pred_avg_upper": q(pred_avg, 0.975),
+           "effect_avg": float(eff_avg.mean()), "effect_avg_lower": q(eff_avg, 0.025),
+           "effect_avg_upper": q(eff_avg, 0.975), "rel_effect": float(np.mean(rel)),
+           "rel_lower": q(rel, 0.025), "rel_upper": q(rel, 0.975), "actual_sum": act_sum,
+           "pred_sum": float(pred_sum.mean()), "effect_sum": float(eff_sum.mean()),
+           "effect_sum_lower": q(eff_sum, 0.025), "effect_sum_upper": q(eff_sum, 0.975),
+           "p_tail": float(min((eff_sum >= 0).mean(), (eff_sum <= 0).mean()))}
+    return pd.DataFrame([row], columns=SUMMARY_SCHEMA_COLS)
+
+
+SUMMARY_SCHEMA_COLS = [c.split()[0] for c in SUMMARY_SCHEMA.split(", ")]
+
+
+def bayesian_summary(series: DataFrame, niter: int = C.MCMC_ITERATIONS, n_seasons: int = C.N_SEASONS,
+                     duration: int = C.SEASON_DURATION, seed: int = 2017) -> DataFrame:
+    """M6 for M5: per series, post-period average and total of actual, prediction and
+    effect, the relative effect, 95% intervals from the posterior draws, and the
+    one-sided tail probability of the total effect."""
+    from vesselflow.session import ship_package
+    ship_package(series.sparkSession)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _summary_group(pdf, niter, n_seasons, duration, seed)
+    cols = series.select("series_id", "date", "t", "y", "in_pre", "in_post")
+    return cols.groupBy("series_id").applyInPandas(fn, SUMMARY_SCHEMA)
+
+
 def bayesian_impact(series: DataFrame, niter: int = C.MCMC_ITERATIONS, n_seasons: int = C.N_SEASONS,
                     duration: int = C.SEASON_DURATION, seed: int = 2017) -> DataFrame:
     """M5: structural time-series counterfactual per series (one grouped-map task per

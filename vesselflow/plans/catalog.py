@@ -580,6 +580,18 @@ def m05(spark, sf_dir):
     return bayesian_impact(s, niter=MCMC_ITER_QUERY)
 
 
+@register("m06b_bayesian_summary")
+def m06b(spark, sf_dir):
+    """M6 over M5: Bayesian impact summary (intervals from draws) for the five series."""
+    from vesselflow.operators.models import bayesian_summary
+    i = Inputs(spark, sf_dir)
+    s = (FG.activity_series(i.hours, S)
+         .unionByName(FG.cpue_series(i.landings, i.permits, i.active, S))
+         .unionByName(FG.area_series(i.areas(), S)))
+    s = series_ops.flag_periods(series_ops.time_index(s), (S.pre_start, S.pre_end), (S.post_start, S.post_end))
+    return bayesian_summary(s, niter=MCMC_ITER_QUERY)
+
+
 @register("m07_gamma_trend")
 def m07(spark, sf_dir):
     """M7: Gamma/log smoothed trends of Fig 1A (per period) and Fig 1B (per fleet and period)."""

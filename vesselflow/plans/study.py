@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vesselflow import constants as C
 from vesselflow.constants import REFERENCE_STUDY, Study
 from vesselflow.operators import geo, grid, rollup, series
-from vesselflow.operators.models import bayesian_impact, gamma_trend
+from vesselflow.operators.models import bayesian_impact, bayesian_summary, gamma_trend
 from vesselflow.plans import figures as FG
 from vesselflow.sources import io
 
@@ -123,6 +123,7 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
         indexed = series.flag_periods(series.time_index(s), (study.pre_start, study.pre_end),
                                       (study.post_start, study.post_end))
         io.write_table(bayesian_impact(indexed, niter=niter), _p(out, "impact_bayesian"))
+        io.write_table(bayesian_summary(indexed, niter=niter), _p(out, "impact_bayesian_summary"))
     a = FG.mpa_monthly_effort(hours, study).select(F.lit("activity").alias("series_id"), "period", "date",
                                                   F.col("effort").alias("y"))
     io.write_table(gamma_trend(a, ["series_id", "period"]), _p(out, "trends"))
