@@ -97,3 +97,13 @@ def test_batch_ingest_job(spark, scratch):
     assert df.count() == 5
     assert {"id", "zone", "location", "vessel_state", "file_name", "year", "month"} <= set(df.columns)
     assert sorted(r["id"] for r in df.where("file_name = '01-15 ENE 2022'").collect()) == [1, 2, 3, 4]
+
+
+def test_latin1_and_header_case(spark, scratch):
+    folder = os.path.join(scratch, "latin1")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "f.csv"), "w", encoding="latin-1") as f:
+        f.write(HEADER.replace("Puerto Base", "Puerto base"))
+        f.write("PEÑASCO UNO,1,PUERTO PEÑASCO,DUEÑO,01/01/2022 05:10,18.5,-112.0,3,90\n")
+    r = io.read_raw_pings(spark, folder, encoding="ISO-8859-1").first()
+    assert r["Nombre"] == "PEÑASCO UNO" and r["Puerto Base"] == "PUERTO PEÑASCO"
