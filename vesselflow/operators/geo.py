@@ -22,13 +22,12 @@ one-sided crossing rule (left/bottom edges in, right/top edges out).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import math
-
 DEFAULT_BAND_DEG = 1.0
 DEG2RAD = math.pi / 180.0
 EARTH_RADIUS_KM = 6371.0
@@ -136,7 +135,7 @@ def join_zones(points: DataFrame, layer: ZoneLayer, how: str = "left",
     else:
         # Salted shuffle join: a hot band is spread over SHUFFLE_SALTS tasks; every
         # band row is replicated once per salt so each point still meets all edges.
-        # deterministic salt (a re-run task must route every row the same way)
+        # The salt is deterministic, so a re-run task routes every row the same way.
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.lit(SHUFFLE_SALTS))
         pts = pts.withColumn("_salt", salt.cast("int"))
         bs = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SHUFFLE_SALTS - 1))))
