@@ -120,18 +120,23 @@ def fleet_pings(modelled: DataFrame, fleet: DataFrame, exclude: DataFrame | None
     return p
 
 
-def half_month_area(fleet_p: DataFrame, layers: dict, g: grid.GridSpec = grid.DEFAULT_GRID,
-                    with_file: bool = False) -> DataFrame:
-    """Q8/Q9 body: per file, hour-position dedup, file-wide date, hours and distinct
-    vessels per position, clip to the ocean, EEZ attach (multiplies overlaps),
-    5-decimal regroup, effort per position, sum per 0.1 cell, used area per file
-    (count x median cell area), one row per date of the file."""
+def half_month_effort(fleet_p: DataFrame, layers: dict) -> DataFrame:
+    """Q8/Q9 up to the grid: per file, hour-position dedup, file-wide date, hours and
+    distinct vessels per position, clip to the ocean, EEZ attach (multiplies
+    overlaps), 5-decimal regroup and effort per position.
+    Returns ``file_name, date, longitude, latitude, hrs, vessels, effort``."""
     pv = rollup.position_hours(fleet_p, ["file_name", "year", "month"])
     pv = rollup.file_dates(pv)
     pe = rollup.position_effort(pv, ["file_name", "date"])
     clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
-    eff = rollup.regroup_rounded(clipped, ["file_name", "date"])
-    return grid.file_area(eff, g=g, with_file=with_file)
+    return rollup.regroup_rounded(clipped, ["file_name", "date"])
+
+
+def half_month_area(fleet_p: DataFrame, layers: dict, g: grid.GridSpec = grid.DEFAULT_GRID,
+                    with_file: bool = False) -> DataFrame:
+    """Q8/Q9: effort per position summed per 0.1 cell, used area per file (count x
+    median cell area), one row per date of the file."""
+    return grid.file_area(half_month_effort(fleet_p, layers), g=g, with_file=with_file)
 
 
 def area_results(modelled: DataFrame, layers: dict, permits: DataFrame, active: DataFrame,

@@ -50,12 +50,8 @@ def layers_from(polygons: DataFrame) -> dict:
     }
 
 
-def half_month_cells(fleet_p: DataFrame, layers: dict, fleet: str) -> DataFrame:
+def half_month_cells(eff: DataFrame, fleet: str) -> DataFrame:
     """S8 content of Q8/Q9: the per-file effort grid, one row per (file, cell)."""
-    pv = rollup.file_dates(rollup.position_hours(fleet_p, ["file_name", "year", "month"]))
-    pe = rollup.position_effort(pv, ["file_name", "date"])
-    eff = rollup.regroup_rounded(rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name"),
-                                 ["file_name", "date"])
     cells = grid.rasterize(eff, "effort", keys=["file_name"], fun="sum")
     return cells.select(F.lit(fleet).alias("fleet"), F.col("file_name").alias("period"), "row", "col", "value")
 
@@ -90,11 +86,15 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
     yes_p = FG.fleet_pings(modelled, active_grid)
     n_other = (study.other_fleet_files[1] - study.other_fleet_files[0] + 1) if study.other_fleet_files else None
     no_p = FG.fleet_pings(modelled, permits, exclude=active_grid, files=files_other, max_files=n_other)
-    areas = (FG.half_month_area(yes_p, layers).withColumn("revi", F.lit(C.FLEET_YES))
-             .unionByName(FG.half_month_area(no_p, layers).withColumn("revi", F.lit(C.FLEET_NO))))
+    # per-position effort of both fleets, written once; areas and per-file grids derive from it
+    eff = (FG.half_month_effort(yes_p, layers).withColumn("fleet", F.lit(C.FLEET_YES))
+           .unionByName(FG.half_month_effort(no_p, layers).withColumn("fleet", F.lit(C.FLEET_NO))))
+    eff = _write_read(spark, eff, _p(out, "effort_half_month"), ["fleet"])
+    areas = io.union_files([grid.file_area(eff.where(F.col("fleet") == f)).withColumn("revi", F.lit(f))
+                            for f in (C.FLEET_YES, C.FLEET_NO)])
     areas = _write_read(spark, areas, _p(out, "area_results"))
-    io.write_grids(half_month_cells(yes_p, layers, C.FLEET_YES).unionByName(half_month_cells(no_p, layers, C.FLEET_NO)),
-                   _p(out, "grids_half_month"))
+    io.write_grids(io.union_files([half_month_cells(eff.where(F.col("fleet") == f), f)
+                                   for f in (C.FLEET_YES, C.FLEET_NO)]), _p(out, "grids_half_month"))
     io.write_table(FG.monthly_area(areas, study), _p(out, "area_monthly"))
 
     # Q12-Q16
@@ -128,7 +128,8 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
                                                   F.col("effort").alias("y"))
     io.write_table(gamma_trend(a, ["series_id", "period"]), _p(out, "trends"))
     return {name: _p(out, name) for name in (
-        "month_vessel_hrs", "fleets", "mpa_effort", "cpue_monthly", "area_results", "grids_half_month",
+        "month_vessel_hrs", "fleets", "mpa_effort", "cpue_monthly", "effort_half_month", "area_results",
+        "grids_half_month",
         "area_monthly", "grids_before_after", "nfi", "series", "impact_linear", "impact_summary", "trends")}
 
 
