@@ -72,3 +72,14 @@ def test_bayesian_summary_interval_excludes_zero(spark):
     assert r["n_post"] == 12
     assert r["effect_avg_lower"] > 0 and abs(r["effect_avg"] - 4.0) < 1.0
     assert r["p_tail"] < 0.05 and r["rel_lower"] > 0
+
+
+def test_bayesian_fit_tolerates_unfittable_series(spark):
+    import datetime as dt
+    rows = [("empty", dt.date(2000, m, 1), None) for m in range(1, 13)]
+    s = spark.createDataFrame(rows, "series_id string, date date, y double")
+    s = series.flag_periods(series.time_index(s), ("2000-01-01", "2000-08-01"), ("2000-09-01", "2000-12-01"))
+    out = models.bayesian_impact(s, niter=20, n_seasons=4, duration=1).toPandas()
+    assert len(out) == 12 and out.pred.isna().all()
+    summ = models.bayesian_summary(s, niter=20, n_seasons=4, duration=1).toPandas()
+    assert len(summ) == 1 and summ.n_post.iloc[0] == 0

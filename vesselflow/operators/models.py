@@ -187,7 +187,10 @@ def _posterior(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int, see
     observed = pdf["in_pre"].to_numpy(dtype=bool) & ~np.isnan(y)
     sid = str(pdf["series_id"].iloc[0])
     series_seed = seed + int(np.frombuffer(sid.encode().ljust(8, b"\0")[:8], dtype=np.uint64)[0] % 100_000)
-    draws = bsts_fit(y, pdf["t"].to_numpy(dtype=float), observed, niter, n_seasons, duration, series_seed)
+    if observed.sum() < 3:                     # nothing to fit: predictions stay missing
+        draws = np.full((max(1, niter - int(0.1 * niter)), len(y)), np.nan)
+    else:
+        draws = bsts_fit(y, pdf["t"].to_numpy(dtype=float), observed, niter, n_seasons, duration, series_seed)
     return pdf, y, draws, pdf["in_post"].to_numpy(dtype=bool)
 
 
