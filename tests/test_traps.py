@@ -178,3 +178,12 @@ def test_e1_p24_file_area_dates_and_missing_area(spark):
     expected = round(2 * (cells[0] + cells[1]) / 2, 1)
     assert out == {("f1", dt.date(2001, 1, 31)): expected, ("f1", None): expected,
                    ("f2", dt.date(2001, 2, 15)): None}
+
+
+def test_nfi_one_table_equals_two_grids(spark):
+    b = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, 1.0)], "row int, col int, value double")
+    a = spark.createDataFrame([(0, 0, 3.0), (0, 2, 1.0), (0, 3, 4.0)], "row int, col int, value double")
+    long = b.withColumn("period", F.lit("before")).unionByName(a.withColumn("period", F.lit("after")))
+    two = sorted(tuple(r) for r in grid.normalised_change(b, a).select("row", "col", "nfi").collect())
+    one = sorted(tuple(r) for r in grid.normalised_change_periods(long).select("row", "col", "nfi").collect())
+    assert one == two

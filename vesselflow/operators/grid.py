@@ -131,6 +131,20 @@ def normalised_change(before: DataFrame, after: DataFrame, value: str = "value",
              .withColumn("is_gain", F.col("nfi") > 0).withColumn("is_loss", F.col("nfi") < 0))
 
 
+def normalised_change_periods(cells: DataFrame, period: str = "period", before: str = "before",
+                              after: str = "after", value: str = "value", keys: list | tuple = ()) -> DataFrame:
+    """G7/J8 on one long cell table holding both periods: the two values of a cell
+    are put side by side by a conditional sum -- one aggregation on the cell key,
+    no join -- then compared as in ``normalised_change``."""
+    p, v = F.col(period), F.col(value)
+    j = cells.groupBy(*keys, "row", "col").agg(
+        F.coalesce(F.sum(F.when(p == after, v)), _d(0)).alias("after"),
+        F.coalesce(F.sum(F.when(p == before, v)), _d(0)).alias("before"))
+    j = j.withColumn("nfi", normalised_difference(F.col("after"), F.col("before")))
+    return (j.where(F.col("nfi").isNotNull() & ~F.isnan("nfi"))
+             .withColumn("is_gain", F.col("nfi") > 0).withColumn("is_loss", F.col("nfi") < 0))
+
+
 def change_direction(cells: DataFrame, value: str = "nfi", out: str = "type") -> DataFrame:
     """Increase (>= 0) / Decrease, exact zero is 'same' and dropped."""
     v = F.col(value)

@@ -83,13 +83,17 @@ class Inputs:
     def areas(self):
         return self._get("areas", lambda: FG.area_results(self.fishing, self.layers, self.permits, self.active, S))
 
-    def cells(self, fleet: str):
+    def period_cells(self, fleet: str):
         def build():
             if fleet == "yes":
-                return FG.before_after_cells(self.fishing, self.layers, self.active, S)
-            return FG.before_after_cells(self.fishing, self.layers, self.permits, S, exclude=self.active)
+                return FG.period_cells(self.fishing, self.layers, self.active, S)
+            return FG.period_cells(self.fishing, self.layers, self.permits, S, exclude=self.active)
         return self._get(("cells", fleet), build)
 
+    def cells(self, fleet: str):
+        c = self.period_cells(fleet)
+        return tuple(c.where(F.col("period") == p).drop("period") for p in ("before", "after"))
+
 
 # --- Q4-Q16 ---------------------------------------------------------------------------------
 
@@ -222,14 +226,12 @@ where nfi is not null and not isnan(nfi) and nfi <> 0"""
 
 @register("q15_nfi_active", O.with_ctes(_nfi_sql("gby", "gay"), "gby_cells", "gay_cells"))
 def q15(spark, sf_dir):
-    b, a = Inputs(spark, sf_dir).cells("yes")
-    return r6(FG.nfi_points(b, a), "x", "y", "layer")
+    return r6(FG.nfi_points_periods(Inputs(spark, sf_dir).period_cells("yes")), "x", "y", "layer")
 
 
 @register("q16_nfi_other", O.with_ctes(_nfi_sql("gbn", "gan"), "gbn_cells", "gan_cells"))
 def q16(spark, sf_dir):
-    b, a = Inputs(spark, sf_dir).cells("no")
-    return r6(FG.nfi_points(b, a), "x", "y", "layer")
+    return r6(FG.nfi_points_periods(Inputs(spark, sf_dir).period_cells("no")), "x", "y", "layer")
 
 
 # --- Q17-Q21 + M6 ---------------------------------------------------------------------------

@@ -201,24 +201,52 @@ def grid_points(cells: DataFrame, label: str, g: grid.GridSpec = grid.DEFAULT_GR
                     F.log1p("value").alias("log_layer"), F.lit(label).alias("time")))
 
 
-def before_after_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Study,
-                       exclude: DataFrame | None = None, g: grid.GridSpec = grid.DEFAULT_GRID):
-    """Q12/Q13 (active fleet) or Q14 (``exclude`` = active fleet, fleet = permits)."""
+def period_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Study,
+                 exclude: DataFrame | None = None, hrs_scale: float = 24.0,
+                 g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
+    """Q12-Q14 in one plan: every file of the before and after slices is tagged with
+    its period by a small broadcast table (at most the two slice sizes), so the
+    fleet's pings are read once; the year window applies to the before period only
+    (T24); all later keys carry ``period``.  Returns (period, row, col, value)."""
     pos = file_positions(modelled)
     (b0, b1), (a0, a1) = study.before_files, study.after_files
-    bf = file_slice(modelled, b0, b1, pos)
-    af = file_slice(modelled, a0, a1, pos)
-    before = effort_cells(fleet_pings(modelled, fleet, exclude, bf, b1 - b0 + 1), layers, study.before_years, g=g)
-    after = effort_cells(fleet_pings(modelled, fleet, exclude, af, a1 - a0 + 1), layers, None, g=g)
-    return before, after
+    tags = (pos.select("file_name", F.explode(F.array(
+                F.when(F.col("_pos").between(b0, b1), F.lit("before")),
+                F.when(F.col("_pos").between(a0, a1), F.lit("after")))).alias("period"))
+               .where(F.col("period").isNotNull()))
+    fp = fleet_pings(modelled, fleet, exclude)
+    tagged = fp.join(membership.bounded(tags, known_rows=(b1 - b0 + 1) + (a1 - a0 + 1)), "file_name")
+    pv = rollup.position_hours(tagged, ["period", "file_name", "year", "month"])
+    if study.before_years:
+        lo, hi = study.before_years
+        pv = pv.where((F.col("period") != "before") | ((F.col("year") >= lo) & (F.col("year") < hi)))
+    pe = rollup.position_effort(pv, ["period", "file_name"])
+    clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
+    eff = rollup.regroup_rounded(clipped, ["period"], hrs_scale=hrs_scale)
+    return grid.rasterize(eff, "effort", keys=["period"], fun="sum", g=g)
+
+
+def before_after_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Study,
+                       exclude: DataFrame | None = None, g: grid.GridSpec = grid.DEFAULT_GRID):
+    """Q12/Q13 (active fleet) or Q14 (``exclude`` = active fleet, fleet = permits) as
+    two (row, col, value) tables; the period filter reaches the tag table, so asking
+    for one period does only that period's work."""
+    cells = period_cells(modelled, layers, fleet, study, exclude, g=g)
+    return tuple(cells.where(F.col("period") == p).drop("period") for p in ("before", "after"))
 
 
 def nfi_points(before: DataFrame, after: DataFrame, g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
-    """Q15/Q16 (Fig 1D/E): NFI per cell, gain/loss masks, direction class, centres."""
+    """Q15/Q16 (Fig 1D/E) from two grids: NFI per cell, gain/loss masks, direction, centres."""
     ch = grid.change_direction(grid.normalised_change(before, after))
     return grid.to_points(ch, g).select("x", "y", F.col("nfi").alias("layer"), "type", "is_gain", "is_loss")
 
 
+def nfi_points_periods(cells: DataFrame, g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
+    """Q15/Q16 from one (period, row, col, value) table: a single aggregation, no join."""
+    ch = grid.change_direction(grid.normalised_change_periods(cells))
+    return grid.to_points(ch, g).select("x", "y", F.col("nfi").alias("layer"), "type", "is_gain", "is_loss")
+
+
 # --- Q17-Q21: monthly series and the counterfactual ---------------------------------------------
 
 def activity_series(hours: DataFrame, study: Study) -> DataFrame:

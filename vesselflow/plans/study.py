@@ -97,19 +97,14 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
                                    for f in (C.FLEET_YES, C.FLEET_NO)]), _p(out, "grids_half_month"))
     io.write_table(FG.monthly_area(areas, study), _p(out, "area_monthly"))
 
-    # Q12-Q16
-    grids, nfis = [], []
-    for fleet, lst, excl in ((C.FLEET_YES, active_grid, None), (C.FLEET_NO, permits, active_grid)):
-        before, after = FG.before_after_cells(modelled, layers, lst, study, exclude=excl)
-        grids += [before.select(F.lit(fleet).alias("fleet"), F.lit("before").alias("period"), "row", "col", "value"),
-                  after.select(F.lit(fleet).alias("fleet"), F.lit("after").alias("period"), "row", "col", "value")]
-    cells = io.union_files(grids)
-    io.write_grids(cells, _p(out, "grids_before_after"))
+    # Q12-Q16: one pass per fleet for both periods; NFI from the written grids, no join
+    grids = [FG.period_cells(modelled, layers, lst, study, exclude=excl).withColumn("fleet", F.lit(fleet))
+             for fleet, lst, excl in ((C.FLEET_YES, active_grid, None), (C.FLEET_NO, permits, active_grid))]
+    io.write_grids(io.union_files(grids).select("fleet", "period", "row", "col", "value"),
+                   _p(out, "grids_before_after"))
     cells = spark.read.parquet(_p(out, "grids_before_after"))
-    for fleet in (C.FLEET_YES, C.FLEET_NO):
-        b = cells.where((F.col("fleet") == fleet) & (F.col("period") == "before"))
-        a = cells.where((F.col("fleet") == fleet) & (F.col("period") == "after"))
-        nfis.append(FG.nfi_points(b, a).withColumn("fleet", F.lit(fleet)))
+    nfis = [FG.nfi_points_periods(cells.where(F.col("fleet") == f)).withColumn("fleet", F.lit(f))
+            for f in (C.FLEET_YES, C.FLEET_NO)]
     io.write_table(io.union_files(nfis), _p(out, "nfi"))
 
     # Q17-Q21, M5, M6, M7
