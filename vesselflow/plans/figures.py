@@ -4,7 +4,7 @@ same plans run on the study's files or on the adapters' tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesselflow import constants as C
@@ -179,19 +179,29 @@ def monthly_area(areas: DataFrame, study: Study, outlier=_STUDY_DEFAULT,
 
 # --- Q12-Q16: before/after grids and the normalised change ---------------------------------------
 
+def _cells(pings: DataFrame, layers: dict, keys: list, keep=None, hrs_scale: float = 24.0,
+           g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
+    """Shared body of the before/after grids: per file hour-position dedup, optional
+    row filter ``keep`` on (keys, year) (T24), hours and distinct vessels per position
+    and file, ocean clip + EEZ attach, 5-decimal regroup over all files with hours in
+    days, effort per position, summed per cell.  Returns (keys, row, col, value)."""
+    pv = rollup.position_hours(pings, [*keys, "file_name", "year", "month"])
+    if keep is not None:
+        pv = pv.where(keep)
+    pe = rollup.position_effort(pv, [*keys, "file_name"])
+    clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
+    eff = rollup.regroup_rounded(clipped, list(keys), hrs_scale=hrs_scale)
+    return grid.rasterize(eff, "effort", keys=list(keys), fun="sum", g=g)
+
+
+def _year_window(years: tuple) -> Column:
+    return (F.col("year") >= years[0]) & (F.col("year") < years[1])
+
+
 def effort_cells(fleet_p: DataFrame, layers: dict, years: tuple | None = None,
                  hrs_scale: float = 24.0, g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
-    """Q12/Q13 body: per file hour-position dedup, optional year window (T24),
-    hours and distinct vessels per position and file, ocean clip + EEZ attach,
-    5-decimal regroup over all files with hours in days, effort per position,
-    summed per cell.  Returns (row, col, value)."""
-    pv = rollup.position_hours(fleet_p, ["file_name", "year", "month"])
-    if years:
-        pv = pv.where((F.col("year") >= years[0]) & (F.col("year") < years[1]))
-    pe = rollup.position_effort(pv, ["file_name"])
-    clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
-    eff = rollup.regroup_rounded(clipped, [], hrs_scale=hrs_scale)
-    return grid.rasterize(eff, "effort", keys=[], fun="sum", g=g)
+    """Q12/Q13 body for one ping set: one grid, optional year window.  Returns (row, col, value)."""
+    return _cells(fleet_p, layers, [], _year_window(years) if years else None, hrs_scale, g)
 
 
 def grid_points(cells: DataFrame, label: str, g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
@@ -216,14 +226,8 @@ def period_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Stu
                .where(F.col("period").isNotNull()))
     fp = fleet_pings(modelled, fleet, exclude)
     tagged = fp.join(membership.bounded(tags, known_rows=(b1 - b0 + 1) + (a1 - a0 + 1)), "file_name")
-    pv = rollup.position_hours(tagged, ["period", "file_name", "year", "month"])
-    if study.before_years:
-        lo, hi = study.before_years
-        pv = pv.where((F.col("period") != "before") | ((F.col("year") >= lo) & (F.col("year") < hi)))
-    pe = rollup.position_effort(pv, ["period", "file_name"])
-    clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
-    eff = rollup.regroup_rounded(clipped, ["period"], hrs_scale=hrs_scale)
-    return grid.rasterize(eff, "effort", keys=["period"], fun="sum", g=g)
+    keep = (F.col("period") != "before") | _year_window(study.before_years) if study.before_years else None
+    return _cells(tagged, layers, ["period"], keep, hrs_scale, g)
 
 
 def before_after_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Study,
