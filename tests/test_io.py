@@ -107,3 +107,20 @@ def test_latin1_and_header_case(spark, scratch):
         f.write("PEÑASCO UNO,1,PUERTO PEÑASCO,DUEÑO,01/01/2022 05:10,18.5,-112.0,3,90\n")
     r = io.read_raw_pings(spark, folder, encoding="ISO-8859-1").first()
     assert r["Nombre"] == "PEÑASCO UNO" and r["Puerto Base"] == "PUERTO PEÑASCO"
+
+
+def test_stream_restart_processes_only_new_files(spark, scratch):
+    from vesselflow.streaming.ingest import start_ingest
+    landing = os.path.join(scratch, "landing2")
+    out = os.path.join(scratch, "clean2")
+    ckpt = os.path.join(scratch, "ckpt2")
+    _files(landing)
+    mpa = geo.prepare_layer(zone_polygons(spark), "mpa", ["pid", "name", "decree", "state", "municipality", "region"])
+    start_ingest(spark, landing, out, mpa, checkpoint=ckpt).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 5
+    _write(os.path.join(landing, "2022", "02"), "01-15 FEB 2022.csv",
+           ["BARCO TRES,9,MAZATLAN,EMPRESA,02/02/2022 05:10,18.5,-112.0,2,90"])
+    start_ingest(spark, landing, out, mpa, checkpoint=ckpt).awaitTermination(120)
+    df = spark.read.parquet(out)
+    assert df.count() == 6                                   # the first five are not read again
+    assert df.where("vessel_name = 'BARCO TRES'").count() == 1
