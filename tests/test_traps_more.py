@@ -63,3 +63,13 @@ def test_t24_year_window_only_before(spark):
     all_years = FG.effort_cells(p, i.layers, None).agg(F.sum("value")).first()[0]
     window = FG.effort_cells(p, i.layers, (1996, 1998)).agg(F.sum("value")).first()[0]
     assert 0 < window < all_years
+
+
+def test_profile_exact_and_sketch(spark):
+    from vesselflow.operators.profile import profile
+    df = spark.range(0, 20000).select((F.col("id") % 1000).alias("a"),
+                                      F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 7).alias("b"))
+    exact = {r["column_name"]: (r["n_rows"], r["n_missing"], r["n_distinct"]) for r in profile(df).collect()}
+    assert exact == {"a": (20000, 0, 1000), "b": (20000, 2000, 7)}
+    approx = {r["column_name"]: r["n_distinct"] for r in profile(df, exact=False).collect()}
+    assert abs(approx["a"] - 1000) <= 50 and approx["b"] == 7
