@@ -150,7 +150,11 @@ def bsts_fit(y_pre_post: np.ndarray, x: np.ndarray, observed: np.ndarray, niter:
     boundary = np.array([(t + 1) % duration == 0 for t in range(n)])
     T = np.array([T_season if b else T_hold for b in boundary])
     s_level, s_season, s_obs, beta = 0.01, 0.01, 0.5, 0.0
-    prior_n, level_guess = 32.0, 0.01
+    # priors on the standardised scale: state sds guess 0.01 (32 pseudo-observations,
+    # capped at 1 = the data's sd); observation sd guess sqrt(1 - expected R2 of 0.8)
+    # with 50 pseudo-observations
+    prior_n, level_guess, sd_cap = 32.0, 0.01, 1.0
+    obs_n, obs_guess = 50.0, float(np.sqrt(1.0 - 0.8))
     keep = []
     obs_idx = ~np.isnan(ys)
     for it in range(niter):
@@ -160,21 +164,21 @@ def bsts_fit(y_pre_post: np.ndarray, x: np.ndarray, observed: np.ndarray, niter:
         states = _sim_smoother(ys - beta * xs, Z, T, R, s_obs ** 2, np.full(m, 10.0), rng)
         lvl = states[:, 0]
         d_lvl = np.diff(lvl)
-        s_level = np.sqrt(_ig(rng, (prior_n + len(d_lvl)) / 2,
-                              (prior_n * level_guess ** 2 + d_lvl @ d_lvl) / 2))
+        s_level = min(sd_cap, np.sqrt(_ig(rng, (prior_n + len(d_lvl)) / 2,
+                                          (prior_n * level_guess ** 2 + d_lvl @ d_lvl) / 2)))
         sea = states[:, 1]
         bidx = np.where(boundary[:-1])[0]
         pred_sea = -states[bidx, 1:].sum(axis=1)
         d_sea = sea[bidx + 1] - pred_sea
-        s_season = np.sqrt(_ig(rng, (prior_n + len(d_sea)) / 2,
-                               (prior_n * level_guess ** 2 + d_sea @ d_sea) / 2))
+        s_season = min(sd_cap, np.sqrt(_ig(rng, (prior_n + len(d_sea)) / 2,
+                                           (prior_n * level_guess ** 2 + d_sea @ d_sea) / 2)))
         fit = states @ Z
         r = (ys - fit)[obs_idx]
         xo = xs[obs_idx]
         prec = xo @ xo / s_obs ** 2 + 1.0
         beta = rng.normal((xo @ r / s_obs ** 2) / prec, 1 / np.sqrt(prec))
         e = r - beta * xo
-        s_obs = np.sqrt(_ig(rng, (1.0 + len(e)) / 2, (1.0 * 0.1 ** 2 + e @ e) / 2))
+        s_obs = np.sqrt(_ig(rng, (obs_n + len(e)) / 2, (obs_n * obs_guess ** 2 + e @ e) / 2))
         if it >= burn * niter:
             keep.append((fit + beta * xs + rng.normal(0, s_obs, n)) * sd + mu)
     return np.array(keep)
