@@ -194,3 +194,15 @@ def substring_dedup(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_
                                   names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept string")
+
+
+SQL = rf"""
+with w as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+e as (select r, i s, array_to_string(w[i:i + {K - 1}], ' ') t from w, unnest(range(1, len(w) - {K - 2})) x(i)),
+d as (select r, s from (select r, s, count(*) over (partition by t) c from e) where c > 1),
+p as (select r, doc_id, i, w[i] word from w, unnest(range(1, len(w) + 1)) x(i)),
+c as (select p.*, coalesce(max(d.s) over (partition by p.r order by p.i rows unbounded preceding) > p.i - {K}, false) gone
+      from p left join d on p.r = d.r and p.i = d.s)
+select w.doc_id, len(w.w) n_words, (select count(*) from c where c.r = w.r and gone) n_removed,
+       sha256(coalesce((select string_agg(word, ' ' order by i) from c where c.r = w.r and not gone), '')) kept_sha256 from w
+"""
