@@ -69,13 +69,13 @@ def _share(nodes: DataFrame, parents: list[str], level: str, weights: dict) -> D
 def budgets(leaves: DataFrame, weights: dict, budget: int | None, max_epochs: int) -> DataFrame:
     """Leaf targets: ``leaves`` (path, tokens, docs) plus ``target``."""
     leaves = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast(_D))
-    top = leaves.agg(F.coalesce(F.sum("cap"), F.lit(0)).cast(_D).alias("cap"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("have"))
-    want = F.col("have") if budget is None else F.lit(int(budget))
-    share = top.select(F.least(want.cast(_D), F.col("cap")).alias("budget"))
+    have, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long"), F.coalesce(F.sum("cap"), F.lit(0)).cast("long")).first()
+    share = None
     for i, level in enumerate(LEVELS):
         nodes = leaves.groupBy(*LEVELS[:i + 1]).agg(F.sum("cap").alias("cap"))
-        # The root's single row joins every domain; deeper levels join on the parent's path.
-        nodes = nodes.join(F.broadcast(share), list(LEVELS[:i])) if i else nodes.join(F.broadcast(share), F.lit(True))
+        # The root is one number; deeper levels join on the parent's path.
+        nodes = nodes.join(share, list(LEVELS[:i])) if i else nodes.withColumn(
+            "budget", F.lit(min(have if budget is None else int(budget), most)).cast(_D))
         share = _share(nodes, list(LEVELS[:i]), level, weights)
         if i < len(LEVELS) - 1:
             share = small(materialise(share))
