@@ -6,12 +6,12 @@ linked pair is lost; the bounds are:
 
 * Screening.  With s = ceil(percent * n / 100), a linked pair shares r tokens among the first n - s + r of each set in any
   one order (extended prefix).  In hash order about a fifth of the tokens is counted over the corpus, and a class
-  stays only if enough of them occur in more than one row.  The few classes that stay are screened again with half of
-  their tokens and exact counts among them.
-* Rare tokens.  The shared tokens of a class, ordered by count, lose their most frequent r - 1 (prefix filter on the prefix): common
+  stays only if few enough of them are unique.  The classes that stay are counted again with all their tokens, and
+  those with fewer than s shared tokens go.  A token's single owner is known where it is counted, so no join follows.
+* Rare tokens.  Of half the tokens of each class, again in hash order, the shared ones, ordered by count, lose their most frequent r - 1 (prefix filter on the prefix): common
   passages drop out, so the posting lists that are joined are short.
 * Groups.  In two rounds each class is verified against the one representative with which it shares most tokens; verified
-  links form groups of similar documents.
+  links form groups of similar documents.  Pairs whose shared tokens could not suffice are not looked at.
 * Matrix.  The token-group matrix holds the union of tokens of every group.  A class queries it by its rare tokens, the
   overlap with each other group's union bounds what any member can share, and only groups that reach the bound are
   opened; their members that share a rare token are verified.
@@ -64,6 +64,10 @@ class Bounds:
     def length(self, n: int) -> int:
         return n - self.least(n) + self.extra(n)
 
+    def held(self, n: Column) -> Column:
+        """``length`` as a column."""
+        return n - F.floor((n * self.percent + 99) / 100) + F.greatest(F.lit(1), F.floor(n * self.share / 100))
+
     def need(self, n: Column) -> Column:
         """Tokens that a linked partner shares among the lengthened prefixes, however small the partner."""
         least = F.floor((n * self.percent + 99) / 100)
@@ -74,11 +78,11 @@ def _row(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _tokens(rows: DataFrame, n: int, bounds: Bounds) -> DataFrame:
-    """(key, token) of the lengthened prefixes; ``rows`` has (key, text)."""
+def _tokens(rows: DataFrame, n: int, bounds: Bounds | None) -> DataFrame:
+    """(key, token) of the lengthened prefixes, or of all tokens; ``rows`` has (key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [s[:bounds.length(len(s))] for s in (shingles(w, n) for w in word_hashes(byte_texts(b.column(1)), fold=True))]
+            parts = [s[:bounds.length(len(s))] if bounds else s for s in (shingles(w, n) for w in word_hashes(byte_texts(b.column(1)), fold=True))]
             if parts:
                 keys = np.repeat(b.column(0).to_numpy(), [len(p) for p in parts])
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.concatenate(parts).view(np.int64))], names=["key", "token"])
@@ -86,6 +90,12 @@ def _tokens(rows: DataFrame, n: int, bounds: Bounds) -> DataFrame:
     return rows.mapInArrow(run, "key long, token long")
 
 
+def _unique(found: DataFrame) -> DataFrame:
+    """(key, alone): how many tokens of each key no other row has; keys without one are absent."""
+    return (found.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("key")).where("times = 1")
+            .groupBy("key").agg(F.count(F.lit(1)).alias("alone")))
+
+
 def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, n_shingles, class) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,32 +134,39 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     workers(spark)
     sets = materialise(_sets(docs, n, id_col, text_col))
 
-    # Screening over all rows, then again among the classes that are left.
+    # Screening over all rows by a part of their tokens, then among the classes that are left by all tokens.
     first = Bounds(percent, 5)
     found = _tokens(docs.select(_row(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")), n, first)
-    twice = found.groupBy("token").count().where("count > 1").select("token")
-    shared = found.join(twice, "token").groupBy("key").count()
-    kept = (sets.where("n_shingles > 0").join(shared, "key").where(F.col("count") >= first.need(F.col("n_shingles")))
+    size = F.col("n_shingles")
+    kept = (sets.where("n_shingles > 0").join(_unique(found), "key", "left")
+            .where(first.held(size) - F.coalesce("alone", F.lit(0)) >= first.need(size))
             .groupBy("class").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n")))
     kept = small(materialise(kept)).withColumnRenamed("key", "__key")
     # One text a class; equal rows would give it twice.
     texts = docs.select(_row(id_col, text_col).alias("__k"), F.col(text_col).cast("string").alias("text")).join(
         kept, F.col("__k") == F.col("__key")).select("class", "n", "text")
     texts = materialise(texts)
+    found = _tokens(texts.select(F.col("class").alias("key"), "text"), n, None)
+    alone = _unique(found).withColumnRenamed("key", "class")
+    size = F.col("n")
+    kept = (kept.join(alone, "class", "left").withColumn("s", size - F.coalesce("alone", F.lit(0)))
+            .where(F.col("s") * 100 >= size * percent).select("class", "n", "s"))
+    size = materialise(kept)
+    texts = materialise(texts.drop("n").join(small(size), "class").select("class", "text"))
 
     second = Bounds(percent, 35)
-    size = kept.select("class", "n")
     found = _tokens(texts.select(F.col("class").alias("key"), "text"), n, second).withColumnRenamed("key", "class")
     counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     known = found.join(counts, "token").join(size, "class")
     order = Window.partitionBy("class").orderBy(F.desc("times"), "token")
     known = (known.withColumn("rank", F.row_number().over(order)).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("class")))
              .where(F.col("have") >= second.need(F.col("n"))))
-    known = materialise(known.select("class", "n", "token", (F.col("rank") >= second.need(F.col("n"))).alias("rare")))
-    rare = known.where("rare").select("class", "n", "token")
+    known = materialise(known.select("class", "n", "s", "token", (F.col("rank") >= second.need(F.col("n"))).alias("rare")))
+    rare = known.where("rare").select("class", "n", "s", "token")
 
-    def near(x: str, y: str) -> Column:
-        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    def near(s1: str, n1: str, s2: str, n2: str) -> Column:
+        """Whether sets of n1 and n2 tokens could link if all their shared tokens were common."""
+        return F.least(s1, s2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
     def grouped(links: DataFrame | None, rows: DataFrame) -> DataFrame:
         if links is None:
@@ -160,9 +177,9 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     links = None
     for pick in (F.min, F.max):
         rows = grouped(links, rare)
-        heads = rows.groupBy("token").agg(pick(F.struct("group", "class", "n")).alias("h"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-        heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.group").alias("hg"), F.col("h.n").alias("hn"))
-        met = rows.join(heads, "token").where((F.col("group") != F.col("hg")) & near("n", "hn"))
+        heads = rows.groupBy("token").agg(pick(F.struct("group", "class", "n", "s")).alias("h"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+        heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.group").alias("hg"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
+        met = rows.join(heads, "token").where((F.col("group") != F.col("hg")) & near("s", "n", "hs", "hn"))
         best = met.groupBy("class", "head").count().groupBy("class").agg(F.max(F.struct("count", "head")).alias("b"))
         new = _verified(best.select(F.col("class").alias("a"), F.col("b.head").alias("b")), texts, n, percent)
         links = new if links is None else links.union(new)
@@ -172,17 +189,17 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     matrix = every.select("token", "group").distinct()
     rows = every.where("rare")
     mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    rows = materialise(rows.join(mixed, "token").select("token", "class", "n", "group"))
-    column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = materialise(rows.join(mixed, "token").select("token", "class", "n", "s", "group"))
+    column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("s").alias("most"))
     query = (rows.withColumnRenamed("group", "own").join(column, "token")
-             .where((F.col("own") < F.col("group")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent))
+             .where((F.col("own") < F.col("group")) & near("s", "n", "most", "least"))
              .select("class", "n", "group").distinct())
     overlap = (query.join(every.select("class", "token"), "class").join(matrix, ["token", "group"])
                .groupBy("class", "group").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n")))
     opened = overlap.where(F.col("common") >= second.need(F.col("n"))).select("class", "group")
-    left = rows.select("token", "class", "n").join(opened, "class")
-    right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"))
-    pairs = left.join(right, ["token", "group"]).where(near("n", "bn")).select(F.col("class").alias("a"), "b").distinct()
+    left = rows.select("token", "class", "n", "s").join(opened, "class")
+    right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"))
+    pairs = left.join(right, ["token", "group"]).where(near("s", "n", "bs", "bn")).select(F.col("class").alias("a"), "b").distinct()
     links = materialise(links.union(_verified(pairs, texts, n, percent)))
     return sets, components(links).select(F.col("node").alias("class"), "component")
 
