@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesselflow.llm.common import byte_texts, components, materialise, mix, small_bytes, window_hashes, word_hashes, workers
+from vesselflow.llm.common import byte_texts, components, materialise, mix, small, small_bytes, window_hashes, word_hashes, workers
 
 K, M = 35, 16
 RUNS = "doc long, start int, n int, minimizer long, content long"
@@ -114,8 +114,9 @@ def spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_
     """(doc, start, end, path): the repeated spans (word places, end exclusive) of every document, by path."""
     workers(docs.sparkSession)
     found = _emit(docs, k, m, id_col, text_col)
-    twice = found.select("minimizer").groupBy("minimizer").count().where("count > 1").select("minimizer")
-    places = materialise(found.join(twice, "minimizer").select("doc", "start", "n", "content"))
+    # Written, so that both sides of the join are plain exchanges and a frequent minimizer's rows can be split.
+    twice = materialise(found.select("minimizer").groupBy("minimizer").count().where("count > 1").select("minimizer"))
+    places = materialise(found.join(small(twice), "minimizer").select("doc", "start", "n", "content"))
 
     classes = materialise(places.groupBy("content").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"),
                                                         F.min(F.struct("doc", "start")).alias("at")))
