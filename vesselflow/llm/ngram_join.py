@@ -175,9 +175,11 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         return rows.join(labels, "class", "left").withColumn("group", F.coalesce("group", "class"))
 
     links = None
-    for pick in (F.min, F.max):
+    # Heads are the least altered members of a token's classes first, then of what is still apart.
+    clean = (F.col("s") / F.col("n")).alias("clean")
+    for lead in (clean, -F.col("group"), F.col("group")):
         rows = grouped(links, rare)
-        heads = rows.groupBy("token").agg(pick(F.struct("group", "class", "n", "s")).alias("h"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+        heads = rows.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "group", "class", "n", "s")).alias("h"), F.min("group").alias("lo"), F.max("group").alias("hi"))
         heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.group").alias("hg"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
         met = rows.join(heads, "token").where((F.col("group") != F.col("hg")) & near("s", "n", "hs", "hn"))
         best = met.groupBy("class", "head").count().groupBy("class").agg(F.max(F.struct("count", "head")).alias("b"))
