@@ -31,6 +31,7 @@ def main(argv=None) -> None:
     sm.add_argument("--polygons", required=True)
     sm.add_argument("--out", required=True)
     sm.add_argument("--continuous", action="store_true")
+    sm.add_argument("--checkpoint", help="stream offsets (default: a folder in --out, the same after every restart)")
 
     ap.add_argument("--master")
     a = ap.parse_args(argv)
@@ -49,7 +50,7 @@ def main(argv=None) -> None:
     else:
         from vesselflow.streaming.ingest import start_ingest
         mpa = S.layers_from(spark.read.parquet(a.polygons))["mpa"]
-        q = start_ingest(spark, a.landing, a.out, mpa, available_now=not a.continuous)
+        q = start_ingest(spark, a.landing, a.out, mpa, checkpoint=a.checkpoint, available_now=not a.continuous)
         q.awaitTermination()
 
 

@@ -71,9 +71,9 @@ class Study:
     cpue_from: str                # impact CPUE series start (date >=)
     area_outlier: float           # Fig 1C keeps area (10^3 km2) < this
     before_files: tuple[int, int] # 1-based inclusive positions in the sorted file list
-    after_files: tuple[int, int]
+    after_files: tuple[int, int | None]
     before_years: tuple[int, int] # before grid keeps lo <= year < hi
-    other_fleet_files: tuple[int, int] | None = None   # area of the non-active fleet skips file 1
+    other_fleet_files: tuple[int, int | None] | None = None   # area of the non-active fleet skips file 1; None = open end
     unit_hours_fig: float = 24.0  # Fig 1A reports days (hours / 24) ...
     unit_hours_model: float = 1.0 # ... the impact model uses hours
     expected_rows: dict = field(default_factory=dict)
@@ -86,14 +86,14 @@ REFERENCE_STUDY = Study(
     cut_date="2017-11-01", pre_start="2008-01-01", pre_end="2017-11-01",
     post_start="2017-12-01", post_end="2021-12-31",
     hours_min_year=2000, fleet_min_year=2005, cpue_from="2008-01-01", area_outlier=800.0,
-    before_files=(177, 322), after_files=(323, 430), before_years=(2009, 2018),
-    other_fleet_files=(2, 430), expected_rows={"cpue_pair": 336, "area_series": 164},
+    before_files=(177, 322), after_files=(323, None), before_years=(2009, 2018),
+    other_fleet_files=(2, None), expected_rows={"cpue_pair": 336, "area_series": 164},
 )
 
 FIXTURE_STUDY = Study(
     cut_date="1999-11-01", pre_start="1995-01-01", pre_end="1999-11-01",
     post_start="1999-12-01", post_end="2001-11-30",
     hours_min_year=1994, fleet_min_year=None, cpue_from="1995-01-01", area_outlier=800.0,
-    before_files=(1, 116), after_files=(117, 165), before_years=(1995, 2000),
-    other_fleet_files=(2, 165),
+    before_files=(1, 116), after_files=(117, None), before_years=(1995, 2000),
+    other_fleet_files=(2, None),
 )

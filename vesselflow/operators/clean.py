@@ -61,7 +61,8 @@ def row_ids(df: DataFrame, group: str = "file_name", out: str = "id") -> DataFra
     parts = d.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(parts.select(group, "_part", "_first", "_off"), [group, "_part"])
+    parts = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), "_first", "_off")
+    j = d.join(parts, d[group].eqNullSafe(parts["_group"]) & (d["_part"] == parts["_p"])).drop("_group", "_p")     # a missing file keeps its rows
     return j.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1) \
             .drop("_seq", "_mid", "_part", "_first", "_off")
 

@@ -8,6 +8,8 @@ scale comes from many series in parallel, never from one large group.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -190,7 +192,7 @@ def _posterior(pdf: pd.DataFrame, niter: int, n_seasons: int, duration: int, see
     y = pdf["y"].to_numpy(dtype=float)
     observed = pdf["in_pre"].to_numpy(dtype=bool) & ~np.isnan(y)
     sid = str(pdf["series_id"].iloc[0])
-    series_seed = seed + int(np.frombuffer(sid.encode().ljust(8, b"\0")[:8], dtype=np.uint64)[0] % 100_000)
+    series_seed = seed + zlib.crc32(sid.encode())
     if observed.sum() < 3:                     # nothing to fit: predictions stay missing
         draws = np.full((max(1, niter - int(0.1 * niter)), len(y)), np.nan)
     else:

@@ -84,7 +84,8 @@ def file_dates(per_vessel: DataFrame) -> DataFrame:
     file-wide max is a small per-file aggregate joined back, not a window, so a
     hot file is never one task."""
     fmax = per_vessel.groupBy("file_name").agg(F.max("max_day").alias("_fmax"))
-    j = per_vessel.join(fmax, "file_name")
+    fmax = fmax.withColumnRenamed("file_name", "_file")
+    j = per_vessel.join(fmax, per_vessel["file_name"].eqNullSafe(fmax["_file"])).drop("_file")      # a missing file name keeps its rows
     return j.withColumn("date", safe_date(F.col("year"), F.col("month"), F.col("_fmax"))).drop("_fmax")
 
 

@@ -152,6 +152,25 @@ def q07(spark, sf_dir):
     return r6(FG.monthly_cpue(i.landings, i.permits, i.active, S), "cpue")
 
 
+def _q7_ieee_sql() -> str:
+    """The reference's own mean: a zero-day landing makes its month infinite (or not a number), a missing value makes it missing."""
+    body = """select year(l.date)::integer as year, month(l.date)::integer as month, case when a.vessel_name is null then 'No' else 'Yes' end as revi,
+  case when count(catch) < count(*) or count(days_declared) < count(*) then null
+       when bool_or(days_declared = 0 and catch = 0) then 'NaN'::double
+       when bool_or(days_declared = 0) then 'Infinity'::double
+       else round(avg(catch / nullif(days_declared, 0) / 1000.0::double), 6) end as cpue, count(*) as n_landings
+from (select date, trim(split_part(vessel_name, '(', 1), chr(9) || chr(10) || chr(13) || ' ') as vessel_name, catch, days_declared from landings) l
+join (select distinct vessel_name from permits) p on l.vessel_name = p.vessel_name
+left join (select distinct vessel_name from active) a on l.vessel_name = a.vessel_name group by 1, 2, 3"""
+    return O.with_ctes(body, "landings", "permits", "active")
+
+
+@register("q07b_cpue_ieee", _q7_ieee_sql())
+def q07b(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return r6(FG.monthly_cpue(i.landings, i.permits, i.active, S, ieee=True), "cpue").select("year", "month", "revi", "cpue", "n_landings")
+
+
 @register("q08_area_active_fleet", O.with_ctes("select file_name, date, area from ay_area", "ay_area"))
 def q08(spark, sf_dir):
     i = Inputs(spark, sf_dir)
@@ -162,7 +181,7 @@ def q08(spark, sf_dir):
 def q09(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     files = FG.file_slice(i.fishing, *S.other_fleet_files)
-    n_files = S.other_fleet_files[1] - S.other_fleet_files[0] + 1
+    n_files = FG.slice_rows(*S.other_fleet_files)
     return FG.half_month_area(FG.fleet_pings(i.fishing, i.permits, exclude=i.active, files=files,
                                              max_files=n_files),
                               i.layers, with_file=True)
@@ -496,13 +515,12 @@ def w01(spark, sf_dir):
 
 
 @register("p22_file_positions", O.with_ctes(
-    f"select file_name, cast(pos as integer) as pos from files_ranked where pos between {S.before_files[0]} "
-    f"and {S.after_files[1]}", "files_ranked"))
+    f"select file_name, cast(pos as integer) as pos from files_ranked where pos >= {S.before_files[0]}", "files_ranked"))
 def p22(spark, sf_dir):
     """Positions of the sorted distinct file list (before + after slices)."""
     from vesselflow.operators.order import positions
     ranked = positions(Inputs(spark, sf_dir).fishing, "file_name")
-    return ranked.where(F.col("pos").between(S.before_files[0], S.after_files[1]))
+    return ranked.where(F.col("pos") >= S.before_files[0])
 
 
 @register("g03_ping_density", O.with_ctes(

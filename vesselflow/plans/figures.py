@@ -70,7 +70,8 @@ def monthly_cpue(landings: DataFrame, permits: DataFrame, active: DataFrame, stu
     """Q7 (Fig 1B): permitted vessels' landings labelled by fleet, mean of
     catch/days in tonnes per year, month and fleet.  A zero-day declaration has
     no defined ratio (T10): by default it is left out of the mean and counted in
-    ``zero_days``; ``ieee=True`` propagates Infinity/NaN instead."""
+    ``zero_days``; ``ieee=True`` propagates Infinity/NaN instead.  A missing catch or
+    number of days makes its month missing either way (T9)."""
     from vesselflow.functions import ieee_ratio
     x = clean_landings(landings)
     x = membership.keep_in(x, permits)
@@ -80,7 +81,7 @@ def monthly_cpue(landings: DataFrame, permits: DataFrame, active: DataFrame, stu
     x = x.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
     r = ieee_ratio("catch", "days_declared") if ieee else ratio("catch", "days_declared")
     m = x.groupBy("year", "month", "revi").agg(
-        F.avg(r / F.lit(1000.0)).alias("cpue"),
+        F.when(F.count("catch") + F.count("days_declared") == 2 * F.count(F.lit(1)), F.avg(r / F.lit(1000.0))).alias("cpue"),
         F.sum(F.when(F.col("days_declared") == 0, 1).otherwise(0)).alias("zero_days"),
         F.count(F.lit(1)).alias("n_landings"))
     m = m.withColumn("date", month_start("year", "month"))
@@ -95,11 +96,21 @@ def file_positions(pings: DataFrame) -> DataFrame:
     return order.positions(pings, "file_name", "_pos")
 
 
-def file_slice(pings: DataFrame, first: int, last: int, positions: DataFrame | None = None) -> DataFrame:
+def in_slice(pos, first: int, last: int | None):
+    """Position within first..last; ``last`` None is an open end, so later files join the slice."""
+    return (pos >= first) if last is None else pos.between(first, last)
+
+
+def slice_rows(first: int, last: int | None) -> int | None:
+    """Rows of a slice by construction, or None (counted before a broadcast) when its end is open."""
+    return None if last is None else last - first + 1
+
+
+def file_slice(pings: DataFrame, first: int, last: int | None, positions: DataFrame | None = None) -> DataFrame:
     """Names of the files at 1-based positions first..last of the sorted distinct
-    file list.  At most ``last - first + 1`` rows by construction."""
+    file list."""
     ranked = positions if positions is not None else file_positions(pings)
-    return ranked.where(F.col("_pos").between(first, last)).select("file_name")
+    return ranked.where(in_slice(F.col("_pos"), first, last)).select("file_name")
 
 
 def in_files(pings: DataFrame, files: DataFrame | None, max_files: int | None = None) -> DataFrame:
@@ -146,7 +157,7 @@ def area_results(modelled: DataFrame, layers: dict, permits: DataFrame, active:
     files, n_files = None, None
     if study.other_fleet_files:
         files = file_slice(modelled, *study.other_fleet_files)
-        n_files = study.other_fleet_files[1] - study.other_fleet_files[0] + 1
+        n_files = slice_rows(*study.other_fleet_files)
     no = half_month_area(fleet_pings(modelled, permits, exclude=active, files=files, max_files=n_files), layers, g) \
         .withColumn("revi", F.lit(C.FLEET_NO))
     return yes.unionByName(no)
@@ -221,11 +232,13 @@ def period_cells(modelled: DataFrame, layers: dict, fleet: DataFrame, study: Stu
     pos = file_positions(modelled)
     (b0, b1), (a0, a1) = study.before_files, study.after_files
     tags = (pos.select("file_name", F.explode(F.array(
-                F.when(F.col("_pos").between(b0, b1), F.lit("before")),
-                F.when(F.col("_pos").between(a0, a1), F.lit("after")))).alias("period"))
+                F.when(in_slice(F.col("_pos"), b0, b1), F.lit("before")),
+                F.when(in_slice(F.col("_pos"), a0, a1), F.lit("after")))).alias("period"))
                .where(F.col("period").isNotNull()))
+    rows = [slice_rows(b0, b1), slice_rows(a0, a1)]
+    rows = None if None in rows else sum(rows)
     fp = fleet_pings(modelled, fleet, exclude)
-    tagged = fp.join(membership.bounded(tags, known_rows=(b1 - b0 + 1) + (a1 - a0 + 1)), "file_name")
+    tagged = fp.join(membership.bounded(tags, known_rows=rows), "file_name")
     keep = (F.col("period") != "before") | _year_window(study.before_years) if study.before_years else None
     return _cells(tagged, layers, ["period"], keep, hrs_scale, g)
 

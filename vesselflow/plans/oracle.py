@@ -170,7 +170,8 @@ OTHER_WHERE = ("vessel_name in (select vessel_name from permits) and "
 
 
 def _slice(rng: tuple) -> str:
-    return f"file_name in (select file_name from files_ranked where pos between {rng[0]} and {rng[1]})"
+    end = f" and pos <= {rng[1]}" if rng[1] else ""
+    return f"file_name in (select file_name from files_ranked where pos >= {rng[0]}{end})"
 
 
 CTES: dict = {

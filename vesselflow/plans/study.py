@@ -38,7 +38,7 @@ def _p(out: str, name: str) -> str:
 
 
 def _write_read(spark: SparkSession, df: DataFrame, path: str, partition_by=None) -> DataFrame:
-    io.write_table(df, path, partition_by)
+    io.write_table(df, path, partition_by, replace_all=True)      # no partition of an earlier run stays
     return spark.read.parquet(path)
 
 
@@ -84,7 +84,7 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
     # Q8-Q11 (+ S8 per-file grids)
     files_other = FG.file_slice(modelled, *study.other_fleet_files) if study.other_fleet_files else None
     yes_p = FG.fleet_pings(modelled, active_grid)
-    n_other = (study.other_fleet_files[1] - study.other_fleet_files[0] + 1) if study.other_fleet_files else None
+    n_other = FG.slice_rows(*study.other_fleet_files) if study.other_fleet_files else None
     no_p = FG.fleet_pings(modelled, permits, exclude=active_grid, files=files_other, max_files=n_other)
     # per-position effort of both fleets, written once; areas and per-file grids derive from it
     eff = (FG.half_month_effort(yes_p, layers).withColumn("fleet", F.lit(C.FLEET_YES))
@@ -94,14 +94,14 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
                             for f in (C.FLEET_YES, C.FLEET_NO)])
     areas = _write_read(spark, areas, _p(out, "area_results"))
     io.write_grids(io.union_files([half_month_cells(eff.where(F.col("fleet") == f), f)
-                                   for f in (C.FLEET_YES, C.FLEET_NO)]), _p(out, "grids_half_month"))
+                                   for f in (C.FLEET_YES, C.FLEET_NO)]), _p(out, "grids_half_month"), replace_all=True)
     io.write_table(FG.monthly_area(areas, study), _p(out, "area_monthly"))
 
     # Q12-Q16: one pass per fleet for both periods; NFI from the written grids, no join
     grids = [FG.period_cells(modelled, layers, lst, study, exclude=excl).withColumn("fleet", F.lit(fleet))
              for fleet, lst, excl in ((C.FLEET_YES, active_grid, None), (C.FLEET_NO, permits, active_grid))]
     io.write_grids(io.union_files(grids).select("fleet", "period", "row", "col", "value"),
-                   _p(out, "grids_before_after"))
+                   _p(out, "grids_before_after"), replace_all=True)
     cells = spark.read.parquet(_p(out, "grids_before_after"))
     nfis = [FG.nfi_points_periods(cells.where(F.col("fleet") == f)).withColumn("fleet", F.lit(f))
             for f in (C.FLEET_YES, C.FLEET_NO)]

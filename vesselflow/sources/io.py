@@ -65,23 +65,30 @@ def read_years(spark: SparkSession, path: str, years) -> DataFrame:
     return spark.read.parquet(path).where(F.col("year").isin(list(years)))
 
 
-def write_table(df: DataFrame, path: str, partition_by: list | None = None, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, partition_by: list | None = None, mode: str = "overwrite",
+                replace_all: bool = False) -> None:
     """Parquet sink; with ``partition_by`` only the partitions present in
-    ``df`` are replaced (dynamic partition overwrite)."""
-    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    ``df`` are replaced (dynamic partition overwrite), or with ``replace_all`` the whole table."""
+    w = df.write.mode(mode).option("partitionOverwriteMode", "static" if replace_all else "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
 def write_pings(pings: DataFrame, path: str) -> None:
-    """Preprocessed pings partitioned by year and month; ``file_name`` stays a column."""
-    write_table(pings.sortWithinPartitions("year", "month"), path, ["year", "month"])
-
-
-def write_grids(cells: DataFrame, path: str) -> None:
-    """Per-period cell tables named by fleet and period, overwriting only those."""
-    write_table(cells, path, ["fleet", "period"])
+    """Preprocessed pings partitioned by year, month and raw file, so landing a file replaces that
+    file's rows and leaves the other half of its month alone.  ``file_name`` stays a column; its copy
+    ``landed_file`` (prefixed, so that it is never read as a number) names the partition."""
+    if "file_name" not in pings.columns:
+        write_table(pings.sortWithinPartitions("year", "month"), path, ["year", "month"])
+        return
+    keyed = pings.withColumn("landed_file", F.concat(F.lit("f_"), F.coalesce("file_name", F.lit(""))))
+    write_table(keyed.sortWithinPartitions("year", "month", "landed_file"), path, ["year", "month", "landed_file"])
+
+
+def write_grids(cells: DataFrame, path: str, replace_all: bool = False) -> None:
+    """Per-period cell tables named by fleet and period, overwriting only those (or all)."""
+    write_table(cells, path, ["fleet", "period"], replace_all=replace_all)
 
 
 def union_files(frames: list) -> DataFrame:

@@ -9,15 +9,12 @@ stops, so the same code serves a scheduled batch and a continuous service.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselflow import schemas
 from vesselflow.operators import clean, geo
 from vesselflow.operators.models import classify_by_speed
-from vesselflow.session import ensure_checkpoint_dir
 
 
 def raw_ping_stream(spark: SparkSession, landing_dir: str, glob: str = "*.csv",
@@ -42,9 +39,9 @@ def clean_stream(stream: DataFrame, mpa: geo.ZoneLayer, ports: DataFrame | None
 
 def start_ingest(spark: SparkSession, landing_dir: str, out_dir: str, mpa: geo.ZoneLayer,
                  ports: DataFrame | None = None, checkpoint: str | None = None, available_now: bool = True):
-    """Start the stream; the checkpoint defaults to a folder under the session's
-    shared ``spark.checkpoint.dir`` so a restarted driver resumes where it stopped."""
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "ingest-" + os.path.basename(out_dir))
+    """Start the stream; the checkpoint defaults to a folder beside the data in ``out_dir`` (readers skip
+    names that begin with an underscore), the same for every driver, so a restart resumes where the last one stopped."""
+    checkpoint = checkpoint or out_dir.rstrip("/") + "/_ingest_checkpoint"
     w = (clean_stream(raw_ping_stream(spark, landing_dir), mpa, ports)
          .writeStream.format("parquet").outputMode("append").partitionBy("year", "month")
          .option("checkpointLocation", checkpoint))
