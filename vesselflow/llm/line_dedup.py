@@ -103,7 +103,9 @@ def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     base = materialise(base)
     held = base.select("doc", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).where(F.col("x.sizes") >= min_chars).select(
         "doc", F.col("x.hashes").alias("line"))
+    # Written, so that the join's sides are plain exchanges and the rows of a common line can be split.
     owner = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("line", "owner")
+    owner = materialise(owner)
     pairs = held.join(owner, "line").where("owner < doc").select("doc", "owner").distinct()
     # One row a document: equal rows have equal arrays.
     one = base.groupBy("doc").agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
