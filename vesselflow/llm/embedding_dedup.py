@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vesselflow.llm.common import components, materialise, workers
 
-LEAST, MARGIN, BEAM, BLOCK = 0.98, 0.1, 32, 1024
+LEAST, MARGIN, BEAM, BLOCK = 0.98, 0.05, 24, 1024
 
 
 def unit(rows: list) -> np.ndarray:
