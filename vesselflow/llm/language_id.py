@@ -99,7 +99,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(sample: list[tuple[str, np.ndarray]], dim: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 5,
+def train(sample: list[tuple[str, np.ndarray]], dim: int = 16, steps: int = 1000, rate: float = 2.0, seed: int = 5,
           reject: float = 0.001, least: float = 0.4) -> Model | None:
     """Fit on (language, buckets).  A fifth calibrates: the temperature by likelihood, the threshold as the ``reject`` quantile of
     the scores of right predictions, at most ``least``."""
@@ -113,6 +113,7 @@ def train(sample: list[tuple[str, np.ndarray]], dim: int = 16, epochs: int = 5,
     learn = order[len(sample) // 5:] if len(sample) >= 50 else order
     E = rng.uniform(-1, 1, (BUCKETS, dim)) / dim
     W, bias = np.zeros((dim, len(langs))), np.zeros(len(langs))
+    epochs = -(-steps // max(1, len(learn) // 16))          # as many steps on a small sample as on a large one
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(learn), max(1, len(learn) // 16)):

@@ -98,7 +98,7 @@ def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     """(doc struct<id, version>, partners, lines array<int>): the lines to delete of every document that loses any."""
     workers(docs.sparkSession)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    base = docs.select(_place(id_col, text_col).alias("doc"), F.transform(lines, F.trim).alias("l")).select(
+    base = docs.select(_place(id_col, text_col).alias("doc"), F.transform(lines, lambda x: F.trim(x)).alias("l")).select(
         "doc", F.transform("l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("l", F.char_length).alias("sizes"))
     base = materialise(base)
     held = base.select("doc", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).where(F.col("x.sizes") >= min_chars).select(
