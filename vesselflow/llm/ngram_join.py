@@ -168,42 +168,104 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
         """Whether sets of n1 and n2 tokens could link if all their shared tokens were common."""
         return F.least(s1, s2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
-    def grouped(links: DataFrame | None, rows: DataFrame) -> DataFrame:
+    def parted(links: DataFrame | None, rows: DataFrame) -> DataFrame:
+        """``rows`` with the part (component of the links so far) of each class."""
         if links is None:
-            return rows.withColumn("group", F.col("class"))
-        labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
-        return rows.join(labels, "class", "left").withColumn("group", F.coalesce("group", "class"))
+            return rows.withColumn("part", F.col("class"))
+        labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("part"))
+        return rows.join(labels, "class", "left").withColumn("part", F.coalesce("part", "class"))
 
-    links = None
+    links = groups = None
     # Heads are the least altered members of a token's classes first, then of what is still apart.
     clean = (F.col("s") / F.col("n")).alias("clean")
-    for lead in (clean, -F.col("group"), F.col("group")):
-        rows = grouped(links, rare)
-        heads = rows.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "group", "class", "n", "s")).alias("h"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-        heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.group").alias("hg"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
-        met = rows.join(heads, "token").where((F.col("group") != F.col("hg")) & near("s", "n", "hs", "hn"))
+    for lead in (clean, -F.col("part"), F.col("part")):
+        rows = parted(links, rare)
+        heads = rows.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "part", "class", "n", "s")).alias("h"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.part").alias("hp"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
+        met = rows.join(heads, "token").where((F.col("part") != F.col("hp")) & near("s", "n", "hs", "hn"))
         best = met.groupBy("class", "head").count().groupBy("class").agg(F.max(F.struct("count", "head")).alias("b"))
-        new = _verified(best.select(F.col("class").alias("a"), F.col("b.head").alias("b")), texts, n, percent)
+        best = materialise(best.select(F.col("class").alias("a"), F.col("b.head").alias("b")))
+        new = _verified(best, texts, n, percent)
         links = new if links is None else links.union(new)
+        if groups is None:
+            groups = best.select(F.col("a").alias("class"), F.col("b").alias("group"))
 
-    # Token-group matrix: what is left to compare lies across groups.
-    every = materialise(grouped(links, known))
+    # Every class that was compared with a head is in the head's group, linked with it or not.
+    every = materialise(parted(links, known).join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")))
+    pairs = _across(every, near, second).union(_within(every, texts, n, percent))
+    links = materialise(links.union(_verified(pairs.distinct(), texts, n, percent)))
+    return sets, components(links).select(F.col("node").alias("class"), "component")
+
+
+def _across(every: DataFrame, near, bounds: Bounds) -> DataFrame:
+    """Pairs (a, b) of different groups and parts that the token-group matrix cannot rule out."""
     matrix = every.select("token", "group").distinct()
     rows = every.where("rare")
-    mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    rows = materialise(rows.join(mixed, "token").select("token", "class", "n", "s", "group"))
-    column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("s").alias("most"))
-    query = (rows.withColumnRenamed("group", "own").join(column, "token")
-             .where((F.col("own") < F.col("group")) & near("s", "n", "most", "least"))
+    mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("part").alias("first"), F.max("part").alias("last"))
+    rows = materialise(rows.join(mixed.where("lo < hi and first < last").select("token"), "token").select("token", "class", "n", "s", "group", "part"))
+    column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("s").alias("most"), F.min("part").alias("first"), F.max("part").alias("last"))
+    # Of two groups the one with fewer classes asks.
+    size = rows.groupBy("group").agg(F.count_distinct("class").alias("members"))
+    asking = rows.join(size, "group").select("token", "class", "n", "s", "part", F.struct("members", "group").alias("own"))
+    column = column.join(size, "group").withColumn("other", F.struct("members", "group"))
+    query = (asking.join(column, "token")
+             .where((F.col("own") < F.col("other")) & near("s", "n", "most", "least") & ((F.col("first") != F.col("part")) | (F.col("last") != F.col("part"))))
              .select("class", "n", "group").distinct())
     overlap = (query.join(every.select("class", "token"), "class").join(matrix, ["token", "group"])
                .groupBy("class", "group").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n")))
-    opened = overlap.where(F.col("common") >= second.need(F.col("n"))).select("class", "group")
-    left = rows.select("token", "class", "n", "s").join(opened, "class")
-    right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"))
-    pairs = left.join(right, ["token", "group"]).where(near("s", "n", "bs", "bn")).select(F.col("class").alias("a"), "b").distinct()
-    links = materialise(links.union(_verified(pairs, texts, n, percent)))
-    return sets, components(links).select(F.col("node").alias("class"), "component")
+    opened = overlap.where(F.col("common") >= bounds.need(F.col("n"))).select("class", "group")
+    left = rows.select("token", "class", "n", "s", "part").join(opened, "class")
+    right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"), F.col("part").alias("bp"))
+    return (left.join(right, ["token", "group"]).where(near("s", "n", "bs", "bn") & (F.col("part") != F.col("bp")))
+            .select(F.col("class").alias("a"), "b").distinct())
+
+
+def _within(every: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one group but different parts that could link.
+
+    Let h be the head, x and y two classes of its group, hx = |x & h|.  x and y share at most min(hx, hy) tokens of h, so
+    a linked pair shares tokens outside h, or min(hx, hy) suffices.  In the second case one of the two has fewer
+    tokens than h: otherwise both would link with h and be in one part.
+    """
+    members = every.select("class", "group", "part", "n").distinct()
+    apart = members.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("group")
+    members = materialise(members.join(apart, "group"))
+    heads = members.select(F.col("group").alias("class"), "group").distinct()
+    asked = members.select("class").union(heads.select("class")).distinct()
+    tokens = materialise(_tokens(texts.join(asked, "class").select(F.col("class").alias("key"), "text"), n, None).withColumnRenamed("key", "class"))
+    core = tokens.join(heads, "class").select("group", "token")
+    outer = materialise(tokens.join(members, "class").join(core, ["group", "token"], "left_anti"))
+    held = outer.groupBy("class").agg(F.count(F.lit(1)).alias("out"))
+    # Outside tokens that are in several parts; a class has no more than these and its head's to share.
+    parts = outer.groupBy("group", "token", "part").agg(F.count(F.lit(1)).alias("times"))
+    top = parts.groupBy("group", "token").agg(F.max(F.struct("times", "part")).alias("t"), F.count(F.lit(1)).alias("k")).where("k > 1").select("group", "token", F.col("t.part").alias("top"))
+    outer = outer.join(top, ["group", "token"]).join(held, "class").withColumn("core", F.col("n") - F.col("out")).drop("out")
+    could = outer.groupBy("class").agg(F.count(F.lit(1)).alias("e"))
+    outer = materialise(outer.join(could, "class").where((F.col("core") + F.col("e")) * 100 >= F.col("n") * percent))
+    right = outer.select("group", "token", F.col("class").alias("b"), F.col("part").alias("bp"), F.col("n").alias("bn"), F.col("core").alias("bc"), F.col("e").alias("be"))
+    left = outer.where("part <> top")
+    enough = lambda shared: shared * (100 + percent) >= (F.col("n") + F.col("bn")) * percent
+    met = left.join(right, ["group", "token"]).where(
+        (F.col("part") != F.col("bp")) & ((F.col("bp") == F.col("top")) | (F.col("class") < F.col("b")))
+        & enough(F.least("core", "bc") + F.least("e", "be")))
+    met = (met.select(F.least("class", "b").alias("x"), F.greatest("class", "b").alias("y"), "n", "bn", F.least("core", "bc").alias("core"))
+           .groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bn").alias("bn"), F.first("core").alias("core")))
+    shared = met.where(enough(F.col("core") + F.col("c"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    # The second case, by the rare tokens of short members.
+    sized = members.join(held, "class", "left").withColumn("core", F.col("n") - F.coalesce("out", F.lit(0)))
+    width = tokens.join(heads, "class").groupBy("group").agg(F.count(F.lit(1)).alias("hn"))
+    sized = materialise(sized.join(width, "group").select("class", "group", "part", "n", "core", "hn"))
+    short = sized.where("n < hn").select("group", F.col("class").alias("b"), F.col("part").alias("bp"), F.col("n").alias("bn"), F.col("core").alias("bc"))
+    floor = short.groupBy("group").agg(F.min("bn").alias("least"))
+    loose = sized.join(floor, "group").where((F.col("core") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+                                             & (F.col("core") * (100 + percent) < (F.col("n") + F.col("hn")) * percent))
+    rare = every.where("rare").select("class", "token")
+    loose = loose.drop("least", "hn").join(rare, "class")
+    short = short.join(rare.withColumnRenamed("class", "b"), "b")
+    plain = (loose.join(short, ["group", "token"]).where((F.col("part") != F.col("bp")) & enough(F.least("core", "bc")))
+             .select(F.col("class").alias("a"), "b").distinct())
+    return shared.union(plain)
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
