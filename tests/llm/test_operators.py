@@ -299,3 +299,28 @@ def test_embedding_dedup(spark):
         assert got[None].n_links == 0
     assert embedding_dedup.embedding_dedup(df).count() == len(rows)
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_ngram_join_family(spark):
+    """Members of one large family, many of them linked only through edits that they share, against all pairs."""
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(150)], [(0, " ".join(f"b{i}" for i in range(150)))]
+    sub = list(base)
+    for i in (20, 50, 80, 110, 140):
+        sub[i] = f"c{i}"
+    for d in range(1, 90):
+        w = list(base if d % 3 else sub)
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(15) * 10
+            w[i] = f"e{i}_{rng.randrange(2)}"
+        rows.append((d, " ".join(w[:150 - rng.choice((0, 0, 3, 12))])))
+    sets = {d: {tuple(w[i:i + 4]) for i in range(len(w) - 3)} for d, w in ((d, t.split()) for d, t in rows)}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    assert 3 < len(set(root.values())) < 85
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
