@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vesselflow.operators import clean
@@ -109,6 +110,16 @@ def test_latin1_and_header_case(spark, scratch):
     assert r["Nombre"] == "PEÑASCO UNO" and r["Puerto Base"] == "PUERTO PEÑASCO"
 
 
+def test_reordered_header_fails_the_scan(spark, scratch):
+    folder = os.path.join(scratch, "reordered")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "f.csv"), "w", encoding="utf-8") as f:
+        f.write(HEADER.replace("Latitud,Longitud", "Longitud,Latitud"))
+        f.write("BARCO UNO,1,MAZATLAN,EMPRESA,01/01/2022 05:10,-112.0,18.5,3,90\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        io.read_raw_pings(spark, folder).select("Latitud", "Longitud").collect()
+
+
 def test_stream_restart_processes_only_new_files(spark, scratch):
     from vesselflow.streaming.ingest import start_ingest
     landing = os.path.join(scratch, "landing2")

@@ -18,12 +18,12 @@ def read_raw_pings(spark: SparkSession, path: str, glob: str = "*.csv", recursiv
                    with_corrupt: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """S1 + S2 + P6: every matching file under ``path`` with the fixed raw schema.
     Malformed lines are kept with their text in ``_corrupt_record`` (PERMISSIVE);
-    ``source_file`` is the file path from the scan metadata.  Columns bind by position
-    to the fixed schema (header spelling and case do not matter); ``encoding``
-    covers files written as Latin-1."""
+    ``source_file`` is the file path from the scan metadata.  Each file's header is
+    compared with the fixed schema (case does not matter): one in another order or with other names
+    fails the scan, so that no value lands in the wrong column.  ``encoding`` covers files written as Latin-1."""
     schema = schemas.RAW_PINGS_WITH_CORRUPT if with_corrupt else schemas.RAW_PINGS
     r = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-         .option("encoding", encoding).option("enforceSchema", True)
+         .option("encoding", encoding).option("enforceSchema", False)
          .option("recursiveFileLookup", recursive).option("pathGlobFilter", glob))
     if with_corrupt:
         r = r.option("columnNameOfCorruptRecord", "_corrupt_record")

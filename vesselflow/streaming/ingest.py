@@ -19,7 +19,7 @@ from vesselflow.operators.models import classify_by_speed
 
 def raw_ping_stream(spark: SparkSession, landing_dir: str, glob: str = "*.csv",
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    r = (spark.readStream.schema(schemas.RAW_PINGS).option("header", True)
+    r = (spark.readStream.schema(schemas.RAW_PINGS).option("header", True).option("enforceSchema", False)
          .option("pathGlobFilter", glob).option("recursiveFileLookup", True))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
