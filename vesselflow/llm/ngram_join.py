@@ -10,11 +10,13 @@ linked pair is lost; the bounds are:
   those with fewer than s shared tokens go.  A token's single owner is known where it is counted, so no join follows.
 * Rare tokens.  Of half the tokens of each class, again in hash order, the shared ones, ordered by count, lose their most frequent r - 1 (prefix filter on the prefix): common
   passages drop out, so the posting lists that are joined are short.
-* Groups.  In two rounds each class is verified against the one representative with which it shares most tokens; verified
-  links form groups of similar documents.  Pairs whose shared tokens could not suffice are not looked at.
+* Groups.  In three rounds each class is verified against the one head with which it shares most rare tokens.  The first
+  round's head names the class's group, linked or not; verified links make parts.  Pairs whose shared tokens could not
+  suffice are not looked at.
 * Matrix.  The token-group matrix holds the union of tokens of every group.  A class queries it by its rare tokens, the
   overlap with each other group's union bounds what any member can share, and only groups that reach the bound are
-  opened; their members that share a rare token are verified.
+  opened; their members of other parts that share a rare token are verified.
+* Within a group, members of different parts meet by the tokens that the head lacks (see ``_within``).
 
 Verification recomputes both sets from the texts.  A group of g near copies costs about g verified pairs, not g * g.
 
