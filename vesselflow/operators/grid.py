@@ -154,9 +154,9 @@ def change_direction(cells: DataFrame, value: str = "nfi", out: str = "type") ->
 
 def file_area(points: DataFrame, value: str = "effort", key: str = "file_name", date: str = "date",
               lon: str = "longitude", lat: str = "latitude", g: GridSpec = DEFAULT_GRID,
-              with_file: bool = False) -> DataFrame:
-    """P24 + G3 + G6 + E1 in one pass: per ``key`` (one raster per file) the used
-    area, repeated on one row per date present in the file.
+              with_file: bool = False, by: list | tuple = ()) -> DataFrame:
+    """P24 + G3 + G6 + E1 in one pass: per ``key`` (one raster per file; per file and
+    fleet with ``by``) the used area, repeated on one row per date present in the file.
 
     Cells are summed per (file, cell); the few dates of a file travel along as a
     set of structs (a missing date is kept), so the dates need no second pass over
@@ -167,12 +167,12 @@ def file_area(points: DataFrame, value: str = "effort", key: str = "file_name",
     inside = in_extent(x, y, g)
     c = (points.withColumn("row", F.when(inside, cell_row(y, g)))
                .withColumn("col", F.when(inside, cell_col(x, g))))
-    cells = c.groupBy(key, "row", "col").agg(
+    cells = c.groupBy(*by, key, "row", "col").agg(
         F.sum(value).alias("_v"), F.collect_set(F.struct(F.col(date).alias("d"))).alias("_dates"))
     ok = F.col("row").isNotNull() & F.col("_v").isNotNull()
-    per_file = cells.groupBy(key).agg(
+    per_file = cells.groupBy(*by, key).agg(
         F.round(F.count(F.when(ok, 1)) * F.percentile(F.when(ok, cell_area_km2(F.col("row"), g)), F.lit(0.5)),
                 1).alias("area"),
         F.array_distinct(F.flatten(F.collect_set("_dates"))).alias("_dates"))
-    out = per_file.select(key, F.explode("_dates").alias("_d"), "area")
-    return out.select(*([key] if with_file else []), F.col("_d.d").alias(date), "area")
+    out = per_file.select(*by, key, F.explode("_dates").alias("_d"), "area")
+    return out.select(*by, *([key] if with_file else []), F.col("_d.d").alias(date), "area")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from vesselflow.functions import split_first, trim_ws
 
-MAX_BROADCAST_NAMES = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+# Bytes reckoned for a row whose text is not measured (a list whose row count is fixed by construction).
+ROW_BYTES = 256
 
 
 def name_list(df: DataFrame, col: str = "vessel_name", normalise: bool = False) -> DataFrame:
@@ -34,12 +36,17 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_NAMES, known_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a row bound: ``known_rows`` when the list's size
-    is fixed by construction (a slice of k positions), else a measured count.
-    Larger lists join by shuffle."""
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a bound in bytes: measured over the list, or ``known_rows``
+    rows when its size is fixed by construction (a slice of k positions).  Larger lists
+    join by shuffle."""
+    if known_rows is not None:
+        size = known_rows * ROW_BYTES
+    else:
+        text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        row = sum(text, F.lit(16 * len(df.columns)))
+        size = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def _key(names: DataFrame, col: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vesselflow import constants as C
 from vesselflow.functions import n_distinct, safe_date
-from vesselflow.operators import geo
+from vesselflow.operators import geo, membership
 
 
 def hauling(pings: DataFrame, state: str = "vessel_state", value: str = C.HAULING) -> DataFrame:
@@ -89,6 +89,22 @@ def file_dates(per_vessel: DataFrame) -> DataFrame:
     return j.withColumn("date", safe_date(F.col("year"), F.col("month"), F.col("_fmax"))).drop("_fmax")
 
 
+def last_days(pings: DataFrame, keys: list) -> DataFrame:
+    """The last day of the pings of each ``keys`` (a file, or a file and fleet) as ``_last``: a narrow pass
+    reduced on the mappers, written once."""
+    return membership.materialize(pings.groupBy(*keys).agg(F.max("day").alias("_last")))
+
+
+def with_last_day(pings: DataFrame, days: DataFrame, keys: list) -> DataFrame:
+    """Each ping with its file's ``_last`` day; pings whose keys are not in ``days`` go.  ``days`` is broadcast
+    behind a check of its size, so the pings are not shuffled; a missing file name or fleet matches itself."""
+    d = membership.bounded(days.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_last"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & pings[k].eqNullSafe(d[f"_k{i}"])
+    return pings.join(d, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def position_effort(per_vessel: DataFrame, keys: list) -> DataFrame:
     """A8 first level: per ``keys`` + position: hours and distinct vessels (NA counted)."""
     return per_vessel.groupBy(*keys, "longitude", "latitude").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vesselflow import constants as C
 from vesselflow.constants import Study
-from vesselflow.functions import (detects, month_start, n_distinct, period_label, ratio, split_first,
+from vesselflow.functions import (detects, month_start, n_distinct, period_label, ratio, safe_date, split_first,
                                   strict_sum, trim_ws)
 from vesselflow.operators import grid, membership, order, rollup
 from vesselflow.operators import series as series_ops
@@ -131,16 +131,19 @@ def fleet_pings(modelled: DataFrame, fleet: DataFrame, exclude: DataFrame | None
     return p
 
 
-def half_month_effort(fleet_p: DataFrame, layers: dict) -> DataFrame:
+def half_month_effort(fleet_p: DataFrame, layers: dict, days: DataFrame | None = None, by: tuple = ()) -> DataFrame:
     """Q8/Q9 up to the grid: per file, hour-position dedup, file-wide date, hours and
     distinct vessels per position, clip to the ocean, EEZ attach (multiplies
-    overlaps), 5-decimal regroup and effort per position.
-    Returns ``file_name, date, longitude, latitude, hrs, vessels, effort``."""
-    pv = rollup.position_hours(fleet_p, ["file_name", "year", "month"])
-    pv = rollup.file_dates(pv)
-    pe = rollup.position_effort(pv, ["file_name", "date"])
+    overlaps), 5-decimal regroup and effort per position.  ``by`` names further keys of a
+    raster (the fleet); ``days`` holds the last day of each raster's pings (computed when absent).
+    Returns ``by, file_name, date, longitude, latitude, hrs, vessels, effort``."""
+    raster = [*by, "file_name"]
+    days = rollup.last_days(fleet_p, raster) if days is None else days
+    pv = rollup.position_hours(rollup.with_last_day(fleet_p, days, raster), [*raster, "year", "month", "_last"])
+    pv = pv.withColumn("date", safe_date(F.col("year"), F.col("month"), F.col("_last")))     # impossible dates are missing (T4)
+    pe = rollup.position_effort(pv, [*raster, "date"])
     clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
-    return rollup.regroup_rounded(clipped, ["file_name", "date"])
+    return rollup.regroup_rounded(clipped, [*raster, "date"])
 
 
 def half_month_area(fleet_p: DataFrame, layers: dict, g: grid.GridSpec = grid.DEFAULT_GRID,
@@ -150,17 +153,40 @@ def half_month_area(fleet_p: DataFrame, layers: dict, g: grid.GridSpec = grid.DE
     return grid.file_area(half_month_effort(fleet_p, layers), g=g, with_file=with_file)
 
 
+def both_fleets(permits: DataFrame, active: DataFrame) -> DataFrame:
+    """(name, revi): the active vessels, and the permitted ones that are not active; no name is in both."""
+    name = [F.col(active.columns[0]).alias("vessel_name")]
+    yes = active.select(*name).distinct()
+    no = membership.difference(permits.select(F.col(permits.columns[0]).alias("vessel_name")), yes)
+    return membership.materialize(yes.withColumn("revi", F.lit(C.FLEET_YES)).unionByName(no.withColumn("revi", F.lit(C.FLEET_NO))))
+
+
+def both_fleets_effort(modelled: DataFrame, layers: dict, permits: DataFrame, active: DataFrame, study: Study) -> DataFrame:
+    """``half_month_effort`` of both fleets in one pass, with ``revi`` yes/no as a further key.
+
+    A first narrow pass finds every file and, per fleet, the last day of its pings in it (one row per file and fleet);
+    the slice of files of the non-active fleet is cut there.  The second pass reads the pings once and meets
+    both small tables by broadcast."""
+    names = membership.bounded(both_fleets(permits, active).withColumnRenamed("vessel_name", "_name"))
+    same = modelled["vessel_name"].eqNullSafe(names["_name"])
+    fishing = F.col("vessel_state") == C.HAULING
+    seen = membership.materialize(
+        modelled.join(names, same, "left").groupBy("file_name", "revi")
+        .agg(F.max(F.when(fishing, F.col("day"))).alias("_last"), F.count(F.when(fishing, 1)).alias("_n")))
+    days = seen.where("_n > 0 and revi is not null").select("revi", "file_name", "_last")
+    if study.other_fleet_files:
+        files = file_slice(seen, *study.other_fleet_files, positions=order.positions(seen, "file_name", "_pos", materialize=False))
+        no = in_files(days.where(F.col("revi") == C.FLEET_NO), files, slice_rows(*study.other_fleet_files))
+        days = membership.materialize(days.where(F.col("revi") == C.FLEET_YES).unionByName(no))
+    pings = rollup.hauling(modelled).join(names, same).drop("_name")
+    return half_month_effort(pings, layers, days, by=("revi",))
+
+
 def area_results(modelled: DataFrame, layers: dict, permits: DataFrame, active: DataFrame,
                  study: Study, g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
     """Q8 + Q9 + Q10: both fleets' half-month areas in one table, ``revi`` yes/no."""
-    yes = half_month_area(fleet_pings(modelled, active), layers, g).withColumn("revi", F.lit(C.FLEET_YES))
-    files, n_files = None, None
-    if study.other_fleet_files:
-        files = file_slice(modelled, *study.other_fleet_files)
-        n_files = slice_rows(*study.other_fleet_files)
-    no = half_month_area(fleet_pings(modelled, permits, exclude=active, files=files, max_files=n_files), layers, g) \
-        .withColumn("revi", F.lit(C.FLEET_NO))
-    return yes.unionByName(no)
+    effort = both_fleets_effort(modelled, layers, permits, active, study)
+    return grid.file_area(effort, g=g, by=("revi",)).select("date", "area", "revi")
 
 
 def recode_fleet(df: DataFrame, col: str = "revi") -> DataFrame:

@@ -50,10 +50,10 @@ def layers_from(polygons: DataFrame) -> dict:
     }
 
 
-def half_month_cells(eff: DataFrame, fleet: str) -> DataFrame:
-    """S8 content of Q8/Q9: the per-file effort grid, one row per (file, cell)."""
-    cells = grid.rasterize(eff, "effort", keys=["file_name"], fun="sum")
-    return cells.select(F.lit(fleet).alias("fleet"), F.col("file_name").alias("period"), "row", "col", "value")
+def half_month_cells(eff: DataFrame) -> DataFrame:
+    """S8 content of Q8/Q9: the per-file effort grid, one row per (fleet, file, cell)."""
+    cells = grid.rasterize(eff, "effort", keys=["fleet", "file_name"], fun="sum")
+    return cells.select("fleet", F.col("file_name").alias("period"), "row", "col", "value")
 
 
 def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = REFERENCE_STUDY,
@@ -82,19 +82,12 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
     io.write_table(FG.monthly_cpue(landings, permits, active, study), _p(out, "cpue_monthly"))
 
     # Q8-Q11 (+ S8 per-file grids)
-    files_other = FG.file_slice(modelled, *study.other_fleet_files) if study.other_fleet_files else None
-    yes_p = FG.fleet_pings(modelled, active_grid)
-    n_other = FG.slice_rows(*study.other_fleet_files) if study.other_fleet_files else None
-    no_p = FG.fleet_pings(modelled, permits, exclude=active_grid, files=files_other, max_files=n_other)
     # per-position effort of both fleets, written once; areas and per-file grids derive from it
-    eff = (FG.half_month_effort(yes_p, layers).withColumn("fleet", F.lit(C.FLEET_YES))
-           .unionByName(FG.half_month_effort(no_p, layers).withColumn("fleet", F.lit(C.FLEET_NO))))
+    eff = FG.both_fleets_effort(modelled, layers, permits, active_grid, study).withColumnRenamed("revi", "fleet")
     eff = _write_read(spark, eff, _p(out, "effort_half_month"), ["fleet"])
-    areas = io.union_files([grid.file_area(eff.where(F.col("fleet") == f)).withColumn("revi", F.lit(f))
-                            for f in (C.FLEET_YES, C.FLEET_NO)])
+    areas = grid.file_area(eff, by=("fleet",)).select("date", "area", F.col("fleet").alias("revi"))
     areas = _write_read(spark, areas, _p(out, "area_results"))
-    io.write_grids(io.union_files([half_month_cells(eff.where(F.col("fleet") == f), f)
-                                   for f in (C.FLEET_YES, C.FLEET_NO)]), _p(out, "grids_half_month"), replace_all=True)
+    io.write_grids(half_month_cells(eff), _p(out, "grids_half_month"), replace_all=True)
     io.write_table(FG.monthly_area(areas, study), _p(out, "area_monthly"))
 
     # Q12-Q16: one pass per fleet for both periods; NFI from the written grids, no join
