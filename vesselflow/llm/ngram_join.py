@@ -207,7 +207,7 @@ def _across(every: DataFrame, near, bounds: Bounds) -> DataFrame:
     rows = materialise(rows.join(mixed.where("lo < hi and first < last").select("token"), "token").select("token", "class", "n", "s", "group", "part"))
     column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("s").alias("most"), F.min("part").alias("first"), F.max("part").alias("last"))
     # Of two groups the one with fewer classes asks.
-    size = rows.groupBy("group").agg(F.count_distinct("class").alias("members"))
+    size = small(materialise(rows.groupBy("group").agg(F.count_distinct("class").alias("members"))))
     asking = rows.join(size, "group").select("token", "class", "n", "s", "part", F.struct("members", "group").alias("own"))
     column = column.join(size, "group").withColumn("other", F.struct("members", "group"))
     query = (asking.join(column, "token")
@@ -230,8 +230,9 @@ def _within(every: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     tokens than h: otherwise both would link with h and be in one part.
     """
     members = every.select("class", "group", "part", "n").distinct()
+    # Tables of one row a group are written before their joins, so that a group with many members is not one task.
     apart = members.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("group")
-    members = materialise(members.join(apart, "group"))
+    members = materialise(members.join(small(materialise(apart)), "group"))
     heads = members.select(F.col("group").alias("class"), "group").distinct()
     asked = members.select("class").union(heads.select("class")).distinct()
     tokens = materialise(_tokens(texts.join(asked, "class").select(F.col("class").alias("key"), "text"), n, None).withColumnRenamed("key", "class"))
@@ -257,9 +258,9 @@ def _within(every: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     # The second case, by the rare tokens of short members.
     sized = members.join(held, "class", "left").withColumn("core", F.col("n") - F.coalesce("out", F.lit(0)))
     width = tokens.join(heads, "class").groupBy("group").agg(F.count(F.lit(1)).alias("hn"))
-    sized = materialise(sized.join(width, "group").select("class", "group", "part", "n", "core", "hn"))
+    sized = materialise(sized.join(small(materialise(width)), "group").select("class", "group", "part", "n", "core", "hn"))
     short = sized.where("n < hn").select("group", F.col("class").alias("b"), F.col("part").alias("bp"), F.col("n").alias("bn"), F.col("core").alias("bc"))
-    floor = short.groupBy("group").agg(F.min("bn").alias("least"))
+    floor = small(materialise(short.groupBy("group").agg(F.min("bn").alias("least"))))
     loose = sized.join(floor, "group").where((F.col("core") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
                                              & (F.col("core") * (100 + percent) < (F.col("n") + F.col("hn")) * percent))
     rare = every.where("rare").select("class", "token")
