@@ -221,6 +221,32 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_repeated_lines(spark):
+    """Passages in the owner's order, with lines that the owner or the later documents repeat, against a count of copies."""
+    for seed in range(3):
+        r = random.Random(seed)
+        line = lambda k: f"{k} " + " ".join(r.choices(WORDS, k=6))
+        refrain, chorus = line("refrain"), line("chorus")
+        passage = [refrain, line("a"), refrain, chorus, line("b"), refrain, chorus, line("c"), chorus]
+        rows = [(1, "\n".join([line("top"), *passage, line("end")])), (2, "\n".join([line("own"), refrain, line("own"), refrain, line("own")]))]
+        for d in range(3, 20):
+            rows.append((d, "\n".join(y for x in passage if r.random() < 0.5 for y in (line("fresh"), "", x, line("new")))))
+        rows.append((20, "\n".join([line("own"), chorus, line("own")])))
+        first, want = {}, {}
+        for d, t in rows:
+            seen = Counter(x for x in t.split("\n") if len(x) >= 20)
+            for x, n in seen.items():
+                first.setdefault(x, d)
+            want[d] = sum(n for x, n in seen.items() if first[x] < d)
+        got = {x.doc_id: x["__removed"] for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want and want[2] == 2 and want[20] == 1
+    # Two later documents repeat a line that its owner has once: the second copy goes where an earlier document has two.
+    a, b, c = (line(k) for k in "xyz")
+    rows = [(1, f"{a}\n{b}"), (2, f"{line('p')}\n{a}\n{line('q')}\n{a}\n{line('r')}"), (3, f"{line('s')}\n{a}\n{c}\n{a}\n{line('t')}")]
+    got = {x.doc_id: x["__removed"] for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 2}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><a href=/>Site</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><div class="cookie-notice">We use cookies, ok?</div>
 <div id=wrap><article><h1>The &amp; title</h1><p>First,  paragraph &eacute; of <b>the</b>

@@ -2,9 +2,11 @@
 
 Lines are compared by the hash of their trimmed text.  The first document (in id order) that holds a line of at
 least ``min_chars`` characters owns it; every later holder is paired with the owner, so a line in g documents gives g - 1
-pairs however common it is.  Each pair is aligned by patience diff: lines that are rare in the pair (once in each of
-the two) are the anchors, the longest increasing run of anchors is kept, and matches grow from it.  Blocks of aligned lines
-with at least ``min_chars`` characters are deleted from the later document.  An owner never loses the line it owns (an
+pairs however common it is.  The second and later copies in a document are keys of their own, with the first document that has
+so many as their owner.  Each pair is aligned by patience diff: lines that are rare in the pair (once in each of
+the two) are the anchors, the heaviest increasing run of anchors is kept, and matches grow from it.  A region without such
+lines is aligned by its repeated lines (the heaviest common subsequence), so a line that the owner or the later document
+repeats is found as well.  Equal lines whose block is too short to be deleted are no anchors.  Blocks of aligned lines with at least ``min_chars`` characters are deleted from the later document.  An owner never loses the line it owns (an
 aligned line always has an earlier holder), so one copy of every line stays.
 
 Only line hashes travel; texts are edited where they are read, or shuffled once if the lists of deletions outgrow a
@@ -17,8 +19,7 @@ sorts first; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,27 +28,89 @@ from pyspark.sql import functions as F
 from vesselflow.llm.common import materialise, small_bytes, workers
 
 MIN_CHARS = 20
-
-
-def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of ``pairs`` (rising in the first) that rises in the second as well."""
-    tails: list[int] = []
-    ends: list[int] = []
+# Pairs of equal lines that are looked at together where a region has no anchor; a line with more is paired by occurrence number.
+PAIRS = 200_000
+
+
+def _heaviest(pairs: list[tuple[int, int]], weight) -> list[tuple[int, int]]:
+    """The run of ``pairs`` (rising in the first) that rises in both and weighs most by the first; of equals one with more neighbours."""
+    if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:])):
+        return pairs
+    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
+    rank = {j: k for k, j in enumerate(sorted({j for _, j in pairs}), 1)}
+    tree = [(0, 0, -1)] * (len(rank) + 1)            # the best (weight, neighbours, pair) of a prefix
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     back: list[int] = []
-    for i, (_, b) in enumerate(pairs):
-        at = bisect_left(tails, b)
-        back.append(ends[at - 1] if at else -1)
-        tails[at:at + 1] = [b]
-        ends[at:at + 1] = [i]
-    out, i = [], ends[-1] if ends else -1
-    while i >= 0:
-        out.append(pairs[i])
-        i = back[i]
+    for n, (i, j) in enumerate(pairs):
+        top, k = (0, 0, -1), rank[j] - 1
+        while k:
+            top = max(top, tree[k])
+            k &= k - 1
+        if (i - 1, j - 1) in best:
+            w, c, m = best[i - 1, j - 1]
+            top = max(top, (w, c + 1, m))
+        best[i, j] = mine = (top[0] + weight(i), top[1], n)
+        back.append(top[2])
+        k = rank[j]
+        while k < len(tree):
+            tree[k] = max(tree[k], mine)
+            k += k & -k
+    out, n = [], max(best.values())[2]
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
     return out[::-1]
 
 
-def patience(a, b) -> list[tuple[int, int]]:
-    """Aligned places (i, j) with a[i] == b[j], rising in both."""
+def _blocks(pairs, a, b, box: tuple[int, int, int, int], sizes, min_chars: int) -> list[tuple[int, int]]:
+    """All ``pairs`` of equal lines whose block inside ``box`` has at least ``min_chars`` characters."""
+    if not min_chars:
+        return list(pairs)
+    a0, a1, b0, b1 = box
+    seen: dict[int, tuple[int, int, bool]] = {}      # the last block of a diagonal
+    out = []
+    for i, j in pairs:
+        if i - j not in seen or i >= seen[i - j][1]:
+            lo, d = i, i - j
+            while lo > a0 and lo - d > b0 and a[lo - 1] == b[lo - 1 - d]:
+                lo -= 1
+            hi = i + 1
+            while hi < a1 and hi - d < b1 and a[hi] == b[hi - d]:
+                hi += 1
+            seen[d] = lo, hi, sum(sizes[lo:hi]) >= min_chars
+        if seen[i - j][2]:
+            out.append((i, j))
+    return out
+
+
+def _repeated(a, b, box: tuple[int, int, int, int], sizes, min_chars: int) -> list[tuple[int, int]]:
+    """Pairs of equal lines of a region without anchors, the least repeated lines first; at most about PAIRS at a time."""
+    a0, a1, b0, b1 = box
+    at_a, at_b = defaultdict(list), defaultdict(list)
+    for i in range(a0, a1):
+        if sizes is None or sizes[i]:
+            at_a[a[i]].append(i)
+    for j in range(b0, b1):
+        if b[j] in at_a:
+            at_b[b[j]].append(j)
+    some: list[tuple[int, int]] = []
+    lines = sorted(at_b, key=lambda x: (len(at_a[x]) * len(at_b[x]), at_b[x][0]))
+    for n, x in enumerate(lines):
+        if len(at_a[x]) * len(at_b[x]) <= PAIRS:
+            some += [(i, j) for i in at_a[x] for j in at_b[x]]
+        else:                                        # by occurrence number
+            some += zip(at_a[x], at_b[x])
+        if n + 1 == len(lines) or len(some) >= PAIRS:
+            found = _blocks(sorted(some), a, b, box, sizes, min_chars)
+            if found:
+                return found
+            some = []
+    return []
+
+
+def patience(a, b, sizes=None, min_chars: int = 0) -> list[tuple[int, int]]:
+    """Aligned places (i, j) with a[i] == b[j], rising in both.  ``sizes``: characters of the lines of ``a``."""
+    weight = (lambda i: 1) if sizes is None else sizes.__getitem__
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -60,10 +123,14 @@ def patience(a, b) -> list[tuple[int, int]]:
             found.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
+        box = a0, a1, b0, b1
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {b[j]: j for j in range(b0, b1)}
         rare = [(i, place[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and in_b.get(a[i]) == 1]
-        anchors = _increasing(rare)
+        rare = _blocks(rare, a, b, box, sizes, min_chars)
+        if not rare and not in_a.keys().isdisjoint(in_b):
+            rare = _repeated(a, b, box, sizes, min_chars)
+        anchors = _heaviest(rare, weight)
         x, y = a0, b0
         for i, j in [*anchors, (a1, b1)] if anchors else []:
             todo.append((x, i, y, j))
@@ -78,7 +145,7 @@ def deleted(later, earlier, sizes, min_chars: int) -> list[int]:
     out: list[int] = []
     block: list[int] = []
     last = None
-    for i, j in [*patience(later, earlier), (None, None)]:
+    for i, j in [*patience(later, earlier, sizes, min_chars), (None, None)]:
         if last is None or i is None or (i, j) != (last[0] + 1, last[1] + 1):
             if sum(sizes[x] for x in block) >= min_chars:
                 out += block
@@ -88,6 +155,19 @@ def deleted(later, earlier, sizes, min_chars: int) -> list[int]:
     return out
 
 
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _keys(hashes, sizes, min_chars: int) -> list[int]:
+    """A key for every line of at least ``min_chars`` characters: its hash; a later copy's hash is changed by its number."""
+    out, times = [], Counter()
+    for h, n in zip(hashes, sizes):
+        if n >= min_chars:
+            out.append((h + _STEP * times[h] + (1 << 63)) % (1 << 64) - (1 << 63))
+            times[h] += 1
+    return out
+
+
 def _place(id_col: str, text_col: str) -> Column:
     """A document's place in the order: its id, then its text's hash."""
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
@@ -101,8 +181,12 @@ def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     base = docs.select(_place(id_col, text_col).alias("doc"), F.transform(lines, lambda x: F.trim(x)).alias("l")).select(
         "doc", F.transform("l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("l", F.char_length).alias("sizes"))
     base = materialise(base)
-    held = base.select("doc", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).where(F.col("x.sizes") >= min_chars).select(
-        "doc", F.col("x.hashes").alias("line"))
+
+    @F.pandas_udf("array<long>")
+    def keys(hashes: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([_keys(h.tolist(), n.tolist(), min_chars) for h, n in zip(hashes, sizes)])
+
+    held = materialise(base.select("doc", F.explode(keys("hashes", "sizes")).alias("line")))
     # Written, so that the join's sides are plain exchanges and the rows of a common line can be split.
     owner = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("line", "owner")
     owner = materialise(owner)
