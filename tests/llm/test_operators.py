@@ -247,6 +247,31 @@ def test_line_dedup_of_repeated_lines(spark):
     assert got == {1: 0, 2: 1, 3: 2}
 
 
+def test_line_keys_of_short_lines():
+    for seed in range(300):
+        r = random.Random(seed)
+        lines = [r.choice(["", "ab", "cdefghi", "klmnopqrstu", "v" * 19, "w" * 20, "x" * 30]) for _ in range(r.randint(0, 30))]
+        want = Counter()
+        for i, x in enumerate(lines):
+            for j in range(i + 1, len(lines) + 1):
+                if x and sum(map(len, lines[i:j])) >= 20:
+                    if j == i + 1 or max(map(len, lines[i:j])) < 20:
+                        want[tuple(lines[i:j])] += 1
+                    break
+        got = line_dedup._keys([zlib.crc32(x.encode()) * 7919 - (1 << 40) for x in lines], [len(x) for x in lines], 20)
+        assert len(got) == len(set(got)) == sum(want.values())
+
+
+def test_line_dedup_of_short_lines(spark):
+    """Blocks without any long line go from every later copy; shorter ones stay."""
+    verse = ["roses red", "violets", "", "sugar is", "so are you"]
+    rows = [(1, "\n".join(["one", *verse, "two"])), (2, "\n".join(["three", *verse])), (3, "\n".join(["x", *verse[:2], "y"])),
+            (4, "\n".join(["another", *verse[1:], "four"])), (5, "\n".join(["汉字句子一二三四五", "汉字句子六七八九十", "汉字句子甲乙"])),
+            (6, "\n".join(["汉字", "汉字句子一二三四五", "汉字句子六七八九十", "汉字句子甲乙", "end"]))]
+    out = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "three", 3: rows[2][1], 4: "another\nfour", 5: rows[4][1], 6: "汉字\nend"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><a href=/>Site</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><div class="cookie-notice">We use cookies, ok?</div>
 <div id=wrap><article><h1>The &amp; title</h1><p>First,  paragraph &eacute; of <b>the</b>

@@ -3,7 +3,8 @@
 Lines are compared by the hash of their trimmed text.  The first document (in id order) that holds a line of at
 least ``min_chars`` characters owns it; every later holder is paired with the owner, so a line in g documents gives g - 1
 pairs however common it is.  The second and later copies in a document are keys of their own, with the first document that has
-so many as their owner.  Each pair is aligned by patience diff: lines that are rare in the pair (once in each of
+so many as their owner.  Shorter lines are paired by runs: the shortest run from each line that together has ``min_chars`` characters.
+Each pair is aligned by patience diff: lines that are rare in the pair (once in each of
 the two) are the anchors, the heaviest increasing run of anchors is kept, and matches grow from it.  A region without such
 lines is aligned by its repeated lines (the heaviest common subsequence), so a line that the owner or the later document
 repeats is found as well.  Equal lines whose block is too short to be deleted are no anchors.  Blocks of aligned lines with at least ``min_chars`` characters are deleted from the later document.  An owner never loses the line it owns (an
@@ -155,16 +156,33 @@ def deleted(later, earlier, sizes, min_chars: int) -> list[int]:
     return out
 
 
-_STEP = 0x9E3779B97F4A7C15
+_STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def _keys(hashes, sizes, min_chars: int) -> list[int]:
-    """A key for every line of at least ``min_chars`` characters: its hash; a later copy's hash is changed by its number."""
-    out, times = [], Counter()
-    for h, n in zip(hashes, sizes):
+    """A key for every line of at least ``min_chars`` characters (its hash) and for every shortest run of shorter lines that
+    together reach them; the key of a later copy is changed by its number."""
+    found, prefix = [], [0]
+    if any(0 < n < min_chars for n in sizes):
+        for h in hashes:
+            prefix.append((prefix[-1] * _STEP + h) & _ALL)
+    end = held = 0                                   # of the run that starts at i
+    for i, n in enumerate(sizes):
         if n >= min_chars:
-            out.append((h + _STEP * times[h] + (1 << 63)) % (1 << 64) - (1 << 63))
-            times[h] += 1
+            found.append(hashes[i] & _ALL)
+        if end <= i:
+            end, held = i, 0
+        while end < len(sizes) and held < min_chars and sizes[end] < min_chars:
+            held += sizes[end]
+            end += 1
+        if 0 < n < min_chars and held >= min_chars:
+            found.append((prefix[end] - prefix[i] * pow(_STEP, end - i, 1 << 64) + (end - i) * 0x632BE59BD9B4E019) & _ALL)
+        if end > i:
+            held -= n
+    out, times = [], Counter()
+    for k in found:
+        out.append(((k + _STEP * times[k] + (1 << 63)) & _ALL) - (1 << 63))
+        times[k] += 1
     return out
 
 
