@@ -169,6 +169,22 @@ def test_ngram_join(spark, docs, none):
     assert kept.where("doc_id in (6, 7, 8)").count() == 1 and kept.where("doc_id in (1, 2, 3)").count() == 3
 
 
+def test_one_of_each_keeps_one_row(spark):
+    """Repeated leaders, null ids and one id with several texts, against a count of the components."""
+    text = " ".join(WORDS[:200])
+    rows = [(1, text, 3), (1, text, 2), (1, text, 2), (2, _near(text, 1), 0), (1, _near(text, 2), 1)]         # one group, its leader repeated
+    rows += [(None, "alone and without id", 1), (None, "alone and without id", 2), (None, "another one without id", 0)]
+    rows += [(5, "no partner but repeated here", 1)] * 3 + [(5, "the same id with another text", 1)]
+    rows += [(7, "", 0), (7, "", 0), (None, None, 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `key` int").repartition(3)
+    got = Counter(tuple(r) for r in ngram_join.one_of_each(df).collect())
+    first = [r for r in got if r[0] == 1]
+    assert len(first) == 1 and got[first[0]] == 1 and first[0] in {(1, text, 2), (1, _near(text, 2), 1)}
+    del got[first[0]]
+    assert got == Counter({(None, "alone and without id", 1): 1, (None, "another one without id", 0): 1, (5, "no partner but repeated here", 1): 1,
+                           (5, "the same id with another text", 1): 1, (7, "", 0): 2, (None, None, 0): 2})
+
+
 def test_substring_dedup(docs, none):
     words = [(i, (t or "").encode().split()) for i, t in ROWS]
     seen = Counter(tuple(w[j:j + 35]) for _, w in words for j in range(len(w) - 34))

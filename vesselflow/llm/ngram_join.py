@@ -271,22 +271,35 @@ def _within(every: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return shared.union(plain)
 
 
-def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, key) for every row."""
+def _named(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, component, component_id, key) for every row; the first component is null without words."""
     sets, labels = ngram_links(docs, n, percent, id_col, text_col)
     classes = sets.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("class", "component_id")
-    return sets.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+    named = named.join(ids, "component").select("class", "component", "component_id")
+    return sets.join(named, "class", "left").select("doc_id", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+
+
+def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, key) for every row."""
+    return _named(docs, n, percent, id_col, text_col).drop("component")
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that lead their component (smallest id), all columns unchanged; rows that repeat a leader's
-    id and text are reduced to one."""
-    got = ngram_components(docs, n, percent)
-    drop = materialise(got.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct())
-    return docs.join(small(drop), _row("doc_id", "text") == F.col("__key"), "left_anti")
+    """One row of each component, all columns unchanged: the row of the smallest id (null last), of equals that of the smallest
+    text hash, of rows that repeat both the smallest row.  Rows without words stay as they are."""
+    got = materialise(_named(docs, n, percent, "doc_id", "text").where("component is not null").groupBy("component", "doc_id", "key").agg(
+        F.count(F.lit(1)).alias("times")))
+    leads = got.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("lead")).select(
+        F.col("lead.key").alias("__key"))
+    leads = materialise(leads)
+    again = materialise(got.where("times > 1").select(F.col("key").alias("__key")).join(leads, "__key", "left_semi").distinct())
+    drop = got.select(F.col("key").alias("__key")).join(leads, "__key", "left_anti").union(again)
+    at = _row("doc_id", "text")
+    rest = docs.join(small(materialise(drop.distinct())), at == F.col("__key"), "left_anti")
+    single = docs.join(small(again), at == F.col("__key"), "left_semi").groupBy(at.alias("__at")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return rest.union(single.select("__row.*"))
 
 
 SQL = r"""
