@@ -310,6 +310,19 @@ def test_html_extraction(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_names_inside_an_article():
+    prose = "A sentence of the article itself, with commas, and enough words, that nobody would take it for a label of a menu or an advert."
+    heads = f"<h2 id=discussion>Discussion</h2><p>{prose}</p><section id='related-work'><h2>Related work</h2><p>{prose}</p></section>"
+    want = f"Title\nDiscussion\n{prose}\nRelated work\n{prose}"
+    for name in ("entry-header", "post-header", "header"):
+        page = f"<body><article><div class='{name}'><h1>Title</h1></div>{heads}<div class='ad'>Buy</div><div class=share><a href=/>Share</a></div></article>"
+        assert html_extract.main_text(page) == want
+    block = f"<div class='elementor-widget elementor-widget-text'><div class='widget-text'><p>{prose}</p></div></div>"
+    assert html_extract.main_text(f"<body><div id=content>{block * 3}</div>") == "\n".join([prose] * 3)
+    for cut in (f"<section id=comments><p>{prose}</p></section>", "<div class=related><a href=/a>One</a> <a href=/b>Two</a></div>", "<p class=ad>Buy now</p>"):
+        assert html_extract.main_text(f"<body><article><h1>Title</h1><p>{prose}</p>{cut}</article>") == f"Title\n{prose}"
+
+
 def test_language_id(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(table)

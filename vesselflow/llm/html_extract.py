@@ -1,7 +1,8 @@
 """Main-text extraction from raw HTML by tree scoring.
 
 Each page is parsed to a small tree (implied ends of paragraphs, items and cells; raw script and style text;
-unclosed and truncated markup).  Boilerplate is cut by tag, role, visibility and class or id name.  Every
+unclosed and truncated markup).  Boilerplate is cut by tag, role, visibility and class or id name; headings, and an article's
+paragraphs and sections, are not cut by a name without high link density or little text.  Every
 remaining paragraph passes points for its length and commas to its ancestors, less with distance; an
 ancestor's score is discounted by its link density.  The best container is kept (the article or main
 element around it, if there is one), and with it the siblings that score like it or read like text.
@@ -39,6 +40,11 @@ CUT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banne
                       "nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted "
                       "promotion recommended related replies reply respond share sharing sidebar signin signup skyscraper social sponsor "
                       "sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+# Cut names that articles use for parts of their own as well.
+LOOSE_NAMES = frozenset("discussion feedback notice notices overlay promotion related replies reply respond social tags widget widgets".split())
+TOP_NAMES = frozenset("banner head header masthead topbar".split())
+COMMENT_NAMES = frozenset("comments commentlist disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEEP_NAMES = frozenset("has with without no wrapper wrap layout page".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -128,7 +134,33 @@ def _boilerplate(node: Node) -> bool:
     a = _attributes(node.attrs)
     if a.get("role", "").lower() in CUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or _HIDE.search(a.get("style", "")):
         return True
-    return any(not CUT_NAMES.isdisjoint(n) and KEEP_NAMES.isdisjoint(n) for n in _names(a))
+    return tag not in HEADINGS and _named(node, a)
+
+
+def _headline(node: Node) -> bool:
+    return any(isinstance(k, Node) and (k.tag in ("h1", "h2", "hgroup") or _headline(k)) for k in node.kids)
+
+
+def _named(node: Node, a: dict[str, str]) -> bool:
+    """Whether a class or id name and the measured text say boilerplate; a name alone does not cut an article's own parts."""
+    inside, up = False, node.up
+    while up is not None and not inside:
+        inside, up = up.tag in ("article", "main"), up.up
+    dense, few = 2 * node.linked > node.size, node.size - node.linked < 100
+    for kind in ("class", "id"):
+        for n in _names({kind: a.get(kind, "")}):
+            hit = CUT_NAMES.intersection(n)
+            if not hit or not KEEP_NAMES.isdisjoint(n) or hit <= TOP_NAMES and (inside or not GOOD_NAMES.isdisjoint(n)) and _headline(node):
+                continue
+            whole = len(hit) == len(set(n))
+            match = whole or n[-1] in CUT_NAMES
+            sure = not hit <= LOOSE_NAMES
+            if node.tag == "p" or node.tag == "section" and inside:
+                if match and dense or whole and (not hit.isdisjoint(COMMENT_NAMES) and node.tag != "p" or few and sure and kind == "class"):
+                    return True
+            elif dense or (match or few if sure else whole and few and not (inside and _headline(node))):
+                return True
+    return False
 
 
 def _measure(node: Node, linked: bool) -> None:
@@ -140,10 +172,12 @@ def _measure(node: Node, linked: bool) -> None:
             n = len("".join(k.split()))
             node.size += n
             node.linked += n if linked else 0
-        elif _boilerplate(k):
+        elif k.tag in CUT_TAGS or k.tag in RAW:
             continue
         else:
             _measure(k, linked)
+            if _boilerplate(k):
+                continue
             node.size += k.size
             node.linked += k.linked
         kids.append(k)
@@ -211,6 +245,17 @@ def _flat(nodes: list) -> str:
     return "\n".join(out)
 
 
+def _wrapped(node: Node) -> float:
+    """The best score, less by links, of a node and of the only children with text below it."""
+    top = 0.0
+    while True:
+        top = max(top, node.score * (1 - node.linked / node.size) if node.scored else 0.0)
+        kids = [k for k in node.kids if isinstance(k, Node) and k.size == node.size]
+        if not kids:
+            return top
+        node = kids[0]
+
+
 def main_text(page: str | None) -> str:
     """The article of one page; recursion is replaced by cutting trees that nest too deep."""
     if not page:
@@ -230,7 +275,9 @@ def main_text(page: str | None) -> str:
         up = up.up
     if best.tag in ("html", "body") or best.up is None:
         return _flat([best])
-    top = best.score * (1 - best.linked / best.size)
+    top = _wrapped(best)
+    while best.up.size == best.size and best.tag not in ("article", "main") and best.up.tag not in ("html", "body", "#root"):
+        best = best.up                               # a wrapper without other text: its siblings are the blocks
     keep = []
     for k in best.up.kids:
         if k is best:
@@ -238,7 +285,7 @@ def main_text(page: str | None) -> str:
         elif isinstance(k, Node) and k.size and best.tag not in ("main",):
             density = k.linked / k.size
             t = " ".join(_text(k).split())
-            if k.scored and k.score * (1 - density) >= max(10.0, 0.2 * top) and not (best.tag == "article" and k.tag not in ("article", "section")):
+            if _wrapped(k) >= max(10.0, 0.2 * top) and not (best.tag == "article" and k.tag not in ("article", "section")):
                 keep.append(k)
             elif k.tag == "p" and (len(t) > 80 and density < 0.25 or not density and re.search(r"[.!?](\s|$)", t)):
                 keep.append(k)
