@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vesselflow.llm import (embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, mix_sources, ngram_join, pack, secret_scan,
-                            substring_dedup)
+from vesselflow.llm import (embedding_dedup, exact_dedup, hard_negatives, html_extract, language_id, line_dedup, merkle, mix_sources, ngram_join,
+                            pack, secret_scan, substring_dedup, token_count)
 from vesselflow.llm.common import table
 
 
@@ -51,11 +52,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.one_in_five())
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_html_extraction, op3_secret_scans, op4_best_fit_packing, op5_ngram_jaccard_join, op6_embedding_near_dedup,
-    op7_substring_dedup, op8_language_id, op9_mix_sources, op10_exact_dedup)}
+    op7_substring_dedup, op8_language_id, op9_mix_sources, op10_exact_dedup, op11_hard_negatives, op12_merkle_manifest, op13_token_counts)}
 
 # The others have no SQL: pair alignment, HTML trees, tokenizer ids and a trained model are tested otherwise.
 SQL: dict[str, str] = {
     "op3_secret_scans": secret_scan.SQL, "op5_ngram_jaccard_join": ngram_join.SQL, "op6_embedding_near_dedup": embedding_dedup.SQL,
-    "op7_substring_dedup": substring_dedup.SQL, "op9_mix_sources": mix_sources.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    "op7_substring_dedup": substring_dedup.SQL, "op9_mix_sources": mix_sources.SQL, "op10_exact_dedup": exact_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL, "op12_merkle_manifest": merkle.SQL}
