@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vesselflow.llm import hard_negatives, merkle, token_count
+from vesselflow.llm import hard_negatives, merkle, ngram_join, token_count
 
 RNG = random.Random(5)
 CLASH = "tree string, rank int, row int, total int, shard int, id int, goal int, at int, block int, score int"
@@ -205,3 +205,53 @@ def test_scores_of_huge_components_fit(spark):
     rows = [(0, [1e30, 1.0], 1), (1, [1e30, 2.0], 1), (2, [1e29, -1e300], 2), (3, [1e6, 1.0], 2)]
     got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert all(r.positive_score > 0 for r in got) and {r.negative_id for r in got} <= {2, 3}
+
+
+# ---- n-gram join: many heads -------------------------------------------------------------------
+
+def _mosaic(docs_of, seed=3):
+    """Documents of two passages each out of a few, with some words of their own: many groups that share passages and do not link, and a few that do."""
+    gen = random.Random(seed)
+    passages = [[f"p{p}w{i}" for i in range(40)] for p in range(12)]
+    rows = []
+    for i in range(docs_of):
+        a, b = gen.sample(range(12), 2)
+        own = [f"d{i // 3 if i % 5 == 0 else i}x{k}" for k in range(6)]
+        rows.append((i, " ".join(passages[a] + passages[b] + own) if i % 7 else " ".join(passages[a] + own[:2])))
+    return rows
+
+
+def _links(rows, n, percent):
+    sets = {d: {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for d, w in ((d, t.split()) for d, t in rows)}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[i + 1:]:
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_many_heads_stay_linear(spark, monkeypatch):
+    opened = {}
+    across = ngram_join._across
+
+    def counted(every, *args):
+        pairs = ngram_join.materialise(across(every, *args))
+        opened[size] = pairs.count()
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    for size in (150, 450):
+        rows = _mosaic(size)
+        got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+        want = _links(rows, 5, 80)
+        assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < size
+    assert opened[450] <= 4 * opened[150] + 450

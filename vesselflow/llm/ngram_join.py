@@ -6,15 +6,17 @@ linked pair is lost; the bounds are:
 
 * Screening.  With s = ceil(percent * n / 100), a linked pair shares r tokens among the first n - s + r of each set in any
   one order (extended prefix).  In hash order about a fifth of the tokens is counted over the corpus, and a class
-  stays only if few enough of them are unique.  The classes that stay are counted again with all their tokens, and
-  those with fewer than s shared tokens go.  A token's single owner is known where it is counted, so no join follows.
-* Rare tokens.  Of half the tokens of each class, again in hash order, the shared ones, ordered by count, lose their most frequent r - 1 (prefix filter on the prefix): common
-  passages drop out, so the posting lists that are joined are short.
+  stays only if few enough of them are unique.  The classes that stay are counted again with all their tokens, those
+  with fewer than s shared tokens go, and the rest is counted once more while many go: what only they shared is unique then.
+  A token's single owner is known where it is counted, so no join follows.
+* Rare tokens.  Over all shared tokens, ordered by their count, the least one that a linked pair has in common is among the first
+  shared - s + 1 of each (prefix filter): common passages drop out, so the posting lists that are joined are short.  A
+  pair that meets there shares no more than either has from that token on (``left``), which rules out most.
 * Groups.  In three rounds each class is verified against the one head with which it shares most rare tokens.  The first
   round's head names the class's group, linked or not; verified links make parts.  Pairs whose shared tokens could not
   suffice are not looked at.
-* Matrix.  The token-group matrix holds the union of tokens of every group.  A class queries it by its rare tokens, the
-  overlap with each other group's union bounds what any member can share, and only groups that reach the bound are
+* Matrix.  The token-group matrix holds the union of shared tokens of every group.  A class queries it by its rare tokens, the
+  overlap of all its tokens with each other group's union bounds what any member can share, and only groups that reach s are
   opened; their members of other parts that share a rare token are verified.
 * Within a group, members of different parts meet by the tokens that the head lacks (see ``_within``).
 
@@ -148,26 +150,27 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     texts = docs.select(_row(id_col, text_col).alias("__k"), F.col(text_col).cast("string").alias("text")).join(
         kept, F.col("__k") == F.col("__key")).select("class", "n", "text")
     texts = materialise(texts)
-    found = _tokens(texts.select(F.col("class").alias("key"), "text"), n, None)
-    alone = _unique(found).withColumnRenamed("key", "class")
-    size = F.col("n")
-    kept = (kept.join(alone, "class", "left").withColumn("s", size - F.coalesce("alone", F.lit(0)))
-            .where(F.col("s") * 100 >= size * percent).select("class", "n", "s"))
-    size = materialise(kept)
-    texts = materialise(texts.drop("n").join(small(size), "class").select("class", "text"))
-
-    second = Bounds(percent, 35)
-    found = _tokens(texts.select(F.col("class").alias("key"), "text"), n, second).withColumnRenamed("key", "class")
+    size = materialise(kept.select("class", "n"))
+    found = materialise(_tokens(texts.select(F.col("class").alias("key"), "text"), n, None).withColumnRenamed("key", "class"))
+    had, have = None, size.count()
+    while had is None or have * 10 < had * 9:
+        alone = _unique(found.withColumnRenamed("class", "key")).withColumnRenamed("key", "class")
+        shared = F.col("n") - F.coalesce("alone", F.lit(0))
+        size = materialise(size.join(alone, "class", "left").where(shared * 100 >= F.col("n") * percent).select("class", "n"))
+        found = materialise(found.join(small(size.select("class")), "class"))
+        had, have = have, size.count()
+    texts = materialise(texts.drop("n").join(small(size.select("class")), "class").select("class", "text"))
+
     counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    known = found.join(counts, "token").join(size, "class")
-    order = Window.partitionBy("class").orderBy(F.desc("times"), "token")
-    known = (known.withColumn("rank", F.row_number().over(order)).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("class")))
-             .where(F.col("have") >= second.need(F.col("n"))))
-    known = materialise(known.select("class", "n", "s", "token", (F.col("rank") >= second.need(F.col("n"))).alias("rare")))
-    rare = known.where("rare").select("class", "n", "s", "token")
+    known = found.join(counts, "token").join(small(size), "class")
+    order = Window.partitionBy("class").orderBy("times", "token")
+    known = (known.withColumn("rank", F.row_number().over(order)).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("class")) - F.col("rank") + 1)
+             .withColumn("s", F.col("left") + F.col("rank") - 1))
+    known = materialise(known.select("class", "n", "s", "token", "left", (F.col("rank") <= F.col("s") - F.ceil(F.col("n") * percent / 100) + 1).alias("rare")))
+    rare = known.where("rare").select("class", "n", "s", "token", "left")
 
     def near(s1: str, n1: str, s2: str, n2: str) -> Column:
-        """Whether sets of n1 and n2 tokens could link if all their shared tokens were common."""
+        """Whether sets of n1 and n2 tokens could link if they shared the lesser of s1 and s2 tokens."""
         return F.least(s1, s2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
     def parted(links: DataFrame | None, rows: DataFrame) -> DataFrame:
@@ -182,9 +185,9 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     clean = (F.col("s") / F.col("n")).alias("clean")
     for lead in (clean, -F.col("part"), F.col("part")):
         rows = parted(links, rare)
-        heads = rows.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "part", "class", "n", "s")).alias("h"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-        heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.part").alias("hp"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
-        met = rows.join(heads, "token").where((F.col("part") != F.col("hp")) & near("s", "n", "hs", "hn"))
+        heads = rows.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "part", "class", "n", "left")).alias("h"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        heads = heads.where("lo < hi").select("token", F.col("h.class").alias("head"), F.col("h.part").alias("hp"), F.col("h.n").alias("hn"), F.col("h.left").alias("hl"))
+        met = rows.join(heads, "token").where((F.col("part") != F.col("hp")) & near("left", "n", "hl", "hn"))
         best = met.groupBy("class", "head").count().groupBy("class").agg(F.max(F.struct("count", "head")).alias("b"))
         best = materialise(best.select(F.col("class").alias("a"), F.col("b.head").alias("b")))
         new = _verified(best, texts, n, percent)
@@ -194,55 +197,54 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
 
     # Every class that was compared with a head is in the head's group, linked with it or not.
     every = materialise(parted(links, known).join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")))
-    pairs = _across(every, near, second).union(_within(every, texts, n, percent))
+    pairs = _across(every, near, percent).union(_within(every, percent))
     links = materialise(links.union(_verified(pairs.distinct(), texts, n, percent)))
     return sets, components(links).select(F.col("node").alias("class"), "component")
 
 
-def _across(every: DataFrame, near, bounds: Bounds) -> DataFrame:
+def _across(every: DataFrame, near, percent: int) -> DataFrame:
     """Pairs (a, b) of different groups and parts that the token-group matrix cannot rule out."""
     matrix = every.select("token", "group").distinct()
     rows = every.where("rare")
     mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("part").alias("first"), F.max("part").alias("last"))
-    rows = materialise(rows.join(mixed.where("lo < hi and first < last").select("token"), "token").select("token", "class", "n", "s", "group", "part"))
-    column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("s").alias("most"), F.min("part").alias("first"), F.max("part").alias("last"))
+    rows = materialise(rows.join(mixed.where("lo < hi and first < last").select("token"), "token").select("token", "class", "n", "left", "group", "part"))
+    column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("left").alias("most"), F.min("part").alias("first"), F.max("part").alias("last"))
     # Of two groups the one with fewer classes asks.
     size = small(materialise(rows.groupBy("group").agg(F.count_distinct("class").alias("members"))))
-    asking = rows.join(size, "group").select("token", "class", "n", "s", "part", F.struct("members", "group").alias("own"))
+    asking = rows.join(size, "group").select("token", "class", "n", "left", "part", F.struct("members", "group").alias("own"))
     column = column.join(size, "group").withColumn("other", F.struct("members", "group"))
     query = (asking.join(column, "token")
-             .where((F.col("own") < F.col("other")) & near("s", "n", "most", "least") & ((F.col("first") != F.col("part")) | (F.col("last") != F.col("part"))))
+             .where((F.col("own") < F.col("other")) & near("left", "n", "most", "least") & ((F.col("first") != F.col("part")) | (F.col("last") != F.col("part"))))
              .select("class", "n", "group").distinct())
     overlap = (query.join(every.select("class", "token"), "class").join(matrix, ["token", "group"])
                .groupBy("class", "group").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n")))
-    opened = overlap.where(F.col("common") >= bounds.need(F.col("n"))).select("class", "group")
-    left = rows.select("token", "class", "n", "s", "part").join(opened, "class")
-    right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"), F.col("part").alias("bp"))
-    return (left.join(right, ["token", "group"]).where(near("s", "n", "bs", "bn") & (F.col("part") != F.col("bp")))
+    opened = overlap.where(F.col("common") * 100 >= F.col("n") * percent).select("class", "group")
+    left = rows.select("token", "class", "n", "left", "part").join(small(materialise(opened)), "class")
+    right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bl"), F.col("part").alias("bp"))
+    return (left.join(right, ["token", "group"]).where(near("left", "n", "bl", "bn") & (F.col("part") != F.col("bp")))
             .select(F.col("class").alias("a"), "b").distinct())
 
 
-def _within(every: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _within(every: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one group but different parts that could link.
 
     Let h be the head, x and y two classes of its group, hx = |x & h|.  x and y share at most min(hx, hy) tokens of h, so
     a linked pair shares tokens outside h, or min(hx, hy) suffices.  In the second case one of the two has fewer
     tokens than h: otherwise both would link with h and be in one part.
     """
-    members = every.select("class", "group", "part", "n").distinct()
+    members = every.select("class", "group", "part", "n", "s").distinct()
     # Tables of one row a group are written before their joins, so that a group with many members is not one task.
     apart = members.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("group")
     members = materialise(members.join(small(materialise(apart)), "group"))
     heads = members.select(F.col("group").alias("class"), "group").distinct()
-    asked = members.select("class").union(heads.select("class")).distinct()
-    tokens = materialise(_tokens(texts.join(asked, "class").select(F.col("class").alias("key"), "text"), n, None).withColumnRenamed("key", "class"))
+    tokens = every.select("class", "token")
     core = tokens.join(heads, "class").select("group", "token")
     outer = materialise(tokens.join(members, "class").join(core, ["group", "token"], "left_anti"))
     held = outer.groupBy("class").agg(F.count(F.lit(1)).alias("out"))
     # Outside tokens that are in several parts; a class has no more than these and its head's to share.
     parts = outer.groupBy("group", "token", "part").agg(F.count(F.lit(1)).alias("times"))
     top = parts.groupBy("group", "token").agg(F.max(F.struct("times", "part")).alias("t"), F.count(F.lit(1)).alias("k")).where("k > 1").select("group", "token", F.col("t.part").alias("top"))
-    outer = outer.join(top, ["group", "token"]).join(held, "class").withColumn("core", F.col("n") - F.col("out")).drop("out")
+    outer = outer.join(top, ["group", "token"]).join(held, "class").withColumn("core", F.col("s") - F.col("out")).drop("out", "s")
     could = outer.groupBy("class").agg(F.count(F.lit(1)).alias("e"))
     outer = materialise(outer.join(could, "class").where((F.col("core") + F.col("e")) * 100 >= F.col("n") * percent))
     right = outer.select("group", "token", F.col("class").alias("b"), F.col("part").alias("bp"), F.col("n").alias("bn"), F.col("core").alias("bc"), F.col("e").alias("be"))
@@ -256,8 +258,8 @@ def _within(every: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     shared = met.where(enough(F.col("core") + F.col("c"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # The second case, by the rare tokens of short members.
-    sized = members.join(held, "class", "left").withColumn("core", F.col("n") - F.coalesce("out", F.lit(0)))
-    width = tokens.join(heads, "class").groupBy("group").agg(F.count(F.lit(1)).alias("hn"))
+    sized = members.join(held, "class", "left").withColumn("core", F.col("s") - F.coalesce("out", F.lit(0)))
+    width = every.select("class", "n").distinct().join(heads, "class").select("group", F.col("n").alias("hn"))
     sized = materialise(sized.join(small(materialise(width)), "group").select("class", "group", "part", "n", "core", "hn"))
     short = sized.where("n < hn").select("group", F.col("class").alias("b"), F.col("part").alias("bp"), F.col("n").alias("bn"), F.col("core").alias("bc"))
     floor = small(materialise(short.groupBy("group").agg(F.min("bn").alias("least"))))
