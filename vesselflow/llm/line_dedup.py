@@ -209,8 +209,8 @@ def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     owner = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("line", "owner")
     owner = materialise(owner)
     pairs = held.join(owner, "line").where("owner < doc").select("doc", "owner").distinct()
-    # One row a document: equal rows have equal arrays.
-    one = base.groupBy("doc").agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+    # One row a document: equal rows have equal arrays.  Written too, so that an owner with many later holders is split.
+    one = materialise(base.groupBy("doc").agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes")))
     involved = materialise(pairs)
     left = involved.join(one, "doc")
     both = left.join(one.select(F.col("doc").alias("owner"), F.col("hashes").alias("earlier")), "owner")
