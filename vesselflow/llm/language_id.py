@@ -2,27 +2,26 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (orders 3 and 4 of the lower-cased text,
 ends padded); a linear softmax over that average gives the language.  Both layers are trained by
-stochastic gradient descent in numpy on a bounded sample: ``per_lang`` documents a language, ``grams``
-n-grams drawn over the whole of each.  A part of the sample is set aside; it calibrates the temperature and
+stochastic gradient descent in numpy on a bounded sample: ``per_lang`` documents of each of the ``most_langs`` most
+frequent languages, about ``most_rows`` in all, ``grams`` n-grams drawn over the whole of each.  A part of the sample is set aside; it calibrates the temperature and
 the threshold under which a prediction is rejected.  At prediction the two layers fold into one
 table of n-gram scores, so a whole text costs one lookup per n-gram.
 
 Only text and language of documents whose crc32(id as text) mod 4 is not 2 are learned from.
 
-Defined results: a null text or one without a letter is "und" with score 0 and rejected; a null language is not learned
+Defined results: a null text or one without a letter (digits, fractions and marks are none) is "und" with score 0 and rejected; a null language is not learned
 from; a null id is not held out; repeated rows are predicted alike; an empty table gives an empty result; without any
 labelled row everything is "und"; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesselflow.llm.common import CHUNK, workers
@@ -30,7 +29,6 @@ from vesselflow.llm.common import CHUNK, workers
 ORDERS = (3, 4)
 BUCKETS = 1 << 16
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -64,13 +62,14 @@ def _padded(text: str) -> bytes:
     return b"\n" + text.lower().encode() + b"\n"
 
 
-def _sample(docs: DataFrame, per_lang: int, grams: int, seed: int, id_col: str, text_col: str, lang_col: str):
+def _sample(docs: DataFrame, per_lang: int, most_langs: int, most_rows: int, grams: int, seed: int, id_col: str, text_col: str, lang_col: str):
     """[(language, n-gram buckets)] of a bounded sample; the sums it needs are grouped by language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    # At most 1000 languages, by frequency: a documented bound of the classifier.
-    rate = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(1000).select(
-        F.col("lang").alias("__l"), (F.lit(float(per_lang)) / F.col("count")).alias("__rate")))
+    # The most frequent languages, a few rows: the window sees them only.
+    each = F.least(F.lit(float(per_lang)), F.lit(float(most_rows)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    rate = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(most_langs).select(
+        F.col("lang").alias("__l"), (each / F.col("count")).alias("__rate")))
     place = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) / 1_000_000)
     picked = (known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                            F.col(text_col).cast("string").alias("text"), place.alias("place"))
@@ -80,7 +79,7 @@ def _sample(docs: DataFrame, per_lang: int, grams: int, seed: int, id_col: str,
         for b in batches:
             langs, ids = [], []
             for i, lang, text in zip(*[c.to_pylist() for c in b.columns]):
-                if not _LETTER.search(text):
+                if not any(map(str.isalpha, text)):
                     continue
                 g = np.concatenate([_grams(_padded(text), o) for o in ORDERS])
                 if len(g) > grams:
@@ -141,7 +140,7 @@ def scores(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool
     """(language, score, rejected) of each whole text."""
     out = []
     for text in texts:
-        if not text or not _LETTER.search(text):
+        if not text or not any(map(str.isalpha, text)):
             out.append(("und", 0.0, True))
             continue
         whole, total, n = _padded(text), np.zeros(len(model.langs)), 0
@@ -157,10 +156,10 @@ def scores(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool
     return out
 
 
-def fit(docs: DataFrame, per_lang: int = 1000, grams: int = 1024, seed: int = 5, id_col: str = "doc_id", text_col: str = "text",
+def fit(docs: DataFrame, per_lang: int = 1000, most_langs: int = 1000, most_rows: int = 200_000, grams: int = 1024, seed: int = 5, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang", **options) -> Model | None:
     workers(docs.sparkSession)
-    return train(_sample(docs, per_lang, grams, seed, id_col, text_col, lang_col), seed=seed, **options)
+    return train(_sample(docs, per_lang, most_langs, most_rows, grams, seed, id_col, text_col, lang_col), seed=seed, **options)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
