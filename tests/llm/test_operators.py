@@ -386,12 +386,12 @@ def test_embedding_audit(spark):
     rng = np.random.default_rng(9)
     pairs = rng.normal(size=(20, 8))
     v = np.concatenate([np.ones((60, 8)), pairs, pairs])
-    base = spark.createDataFrame([(i, "a:8", x.tolist()) for i, x in enumerate(v)], "vid long, space string, v array<double>")
+    base = spark.createDataFrame([(i, "a:8", x.tolist(), 1) for i, x in enumerate(v)], "vid long, space string, v array<double>, copies long")
     found = spark.createDataFrame([(i, 59 if i < 60 else 0, i, []) for i in range(100)], "vid long, n_links long, root long, near array<long>")
-    overall, few = embedding_dedup.audit_recall(base, embedding_dedup.link_counts(found), 0.98, 1000)
+    overall, few = embedding_dedup.audit_recall(base, embedding_dedup.link_counts(found, base), 0.98, 1000)
     assert abs(overall - 1.0 * 60 / 100) < 1e-9
     one = spark.createDataFrame([(1, 1, 1, [2]), (2, 0, 2, []), (3, 5, 3, [])], "vid long, n_links long, root long, near array<long>")
-    assert {r.vid: r.n_links for r in embedding_dedup.link_counts(one).collect()} == {1: 1, 2: 1, 3: 5}
+    assert {r.vid: r.n_links for r in embedding_dedup.link_counts(one, base).collect()} == {1: 1, 2: 1, 3: 5}
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(RuntimeError, match="recall"):
         embedding_dedup.embedding_dedup(df, recall=1.01)

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vesselflow.llm import hard_negatives, merkle, ngram_join, token_count
+from vesselflow.llm import embedding_dedup, hard_negatives, language_id, merkle, ngram_join, token_count
 
 RNG = random.Random(5)
 CLASH = "tree string, rank int, row int, total int, shard int, id int, goal int, at int, block int, score int"
@@ -255,3 +255,36 @@ def test_many_heads_stay_linear(spark, monkeypatch):
         want = _links(rows, 5, 80)
         assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < size
     assert opened[450] <= 4 * opened[150] + 450
+
+
+# ---- hot vectors, letters ----------------------------------------------------------------------
+
+def test_equal_vectors_are_one_class(spark):
+    """A vector held by 20,000 rows, one near it held twice, and a lone one."""
+    gen = np.random.default_rng(8)
+    hot, lone = gen.normal(size=12), gen.normal(size=12)
+    close = hot + 0.01 * gen.normal(size=12)
+    rows = spark.range(20000).selectExpr("id + 10 as vec_id").crossJoin(spark.createDataFrame([(hot.tolist(), 1)], "embedding array<double>, label int"))
+    rows = rows.union(spark.createDataFrame([(1, close.tolist(), 1), (2, close.tolist(), 1), (3, lone.tolist(), 1), (4, hot.tolist(), 2)], rows.schema))
+    base = embedding_dedup.classes(embedding_dedup._valid(rows, "vec_id", "embedding", "label"))
+    assert sorted((r.vid, r.copies) for r in base.collect()) == [(1, 2), (3, 1), (4, 1), (10, 20000)]
+    got = embedding_dedup.embedding_dedup(rows).groupBy("n_links", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(20001, 1, False, 20001), (20001, 1, True, 1), (0, 3, True, 1), (0, 4, True, 1)}
+
+
+def test_widest_lists_are_pruned():
+    """Many rows around one: reverse edges would make its list as long as the block."""
+    gen = np.random.default_rng(1)
+    v = embedding_dedup.unit((np.ones((1000, 16)) + 0.002 * gen.normal(size=(1000, 16))).tolist() + gen.normal(size=(24, 16)).tolist())
+    near = embedding_dedup.build(v)
+    assert max(map(len, near)) <= embedding_dedup.WIDEST + 64
+    table = embedding_dedup._pad(near, len(v))
+    a, b = embedding_dedup.search(v, table, v[:50], np.arange(50), 0.98, 32)
+    assert len(a) >= 0.99 * 50 * 999
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, "the house of the man is old and the sea is wide " * 3, "en") for i in range(40)] + [(100 + i, "das haus des mannes ist alt und das meer ist weit " * 3, "de") for i in range(40)]
+    rows += [(300, "²", "en"), (301, "½ ① 12", "en"), (302, "́", "de"), (303, "the house is old", None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i] for i in (300, 301, 302)] == ["und"] * 3 and got[303] == "en"

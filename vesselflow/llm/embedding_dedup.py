@@ -2,12 +2,15 @@
 
 Vectors of one label (and length) link at cosine >= ``least``, in double precision.
 
+* Classes.  Equal vectors are one class, found by two hashes and named by its smallest id; only classes are searched, and a link to a
+  class counts once for each of its vectors.
 * Shards.  Centroids come from a bounded sample (``sample`` rows, spherical k-means in numpy); every vector is
   indexed in its nearest centroid's shard and in all whose centroid is nearly as near (``margin``), and it is a query in the
   nearest one only.  A shard of more than ``block`` vectors is cut into blocks; its queries then search
   every block, so no vector is left out.
 * Graph.  In each block every vector keeps robust-pruned neighbours (a candidate goes when a kept one is much nearer to it than the
-  vector is) and some random ones.  The lists that a vector has from its several shards, and reverse edges, are united.
+  vector is) and some random ones.  The lists that a vector has from its several shards, and reverse edges, are united; a list
+  that reverse edges make longer than ``WIDEST`` is pruned again.
 * Search.  Queries walk greedily from the block's medoid with a beam; then the range expands: everything linked so far passes
   its neighbours on, until no new link appears.  A query that is itself in the block counts as reached.
 * Audit.  ``audit`` queries are compared with all vectors by brute force, in blocks.  The recall is averaged over the queries, over those
@@ -37,6 +40,10 @@ from vesselflow.llm.common import components, materialise, workers
 LEAST, MARGIN, BEAM, BLOCK = 0.98, 0.1, 32, 1024
 # Links of one query in one block that are listed, to count for both ends; a query with more counts its own.
 LISTED = 64
+# Neighbours of a row in one block, random ones apart.
+WIDEST = 128
+# Neighbour places that one step of the range expansion looks at.
+FRONT = 1 << 20
 
 
 def unit(rows: list) -> np.ndarray:
@@ -81,14 +88,32 @@ def build(v: np.ndarray, degree: int = 24, pool: int = 64, far: int = 8, alpha:
         edges.append(np.stack([rows[some], best[some]], 1))
         live[rows, at] = False
         live &= ~(alpha * dist[best[:, None], cand] <= d)
+    near = _split(np.concatenate(edges), n)
+    for i in np.flatnonzero([len(x) > WIDEST for x in near]).tolist():
+        near[i] = prune(near[i], dist[i], dist, alpha)
     rng = np.random.default_rng(seed)
-    edges.append(np.stack([np.repeat(rows, far), rng.integers(0, n, n * far)], 1))
-    e = np.concatenate(edges)
+    loose = _split(np.stack([np.repeat(rows, far), rng.integers(0, n, n * far)], 1), n)
+    return [np.union1d(x, y) for x, y in zip(near, loose)]
+
+
+def _split(e: np.ndarray, n: int) -> list[np.ndarray]:
+    """The neighbours of each row by the edges ``e`` in either direction."""
     e = np.unique(np.concatenate([e, e[:, ::-1]]), axis=0)
     e = e[e[:, 0] != e[:, 1]]
     return np.split(e[:, 1], np.searchsorted(e[:, 0], np.arange(1, n)))
 
 
+def prune(near: np.ndarray, own: np.ndarray, dist: np.ndarray, alpha: float) -> np.ndarray:
+    """At most ``WIDEST`` of the rows ``near``: those that robust pruning keeps, then the nearest of the others."""
+    near = near[own[near].argsort(kind="stable")]
+    kept, left = [], near
+    while len(left) and len(kept) < WIDEST:
+        kept.append(int(left[0]))
+        left = left[1:][alpha * dist[left[0], left[1:]] > own[left[1:]]]
+    rest = near[~np.isin(near, kept)][:WIDEST - len(kept)]
+    return np.concatenate([np.array(kept, np.int64), rest])
+
+
 def search(v: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the links found.  ``near``: neighbours by row, padded with len(v); ``own``: each query's row, or len(v)."""
     n, m = len(v), len(q)
@@ -124,7 +149,9 @@ def search(v: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarray, leas
     has = every[own < n]
     sim[has, own[has]] = 1.0
     front = np.argwhere(sim[:, :n] >= least)
+    slice_ = max(1, FRONT // nn.shape[1])
     while len(front):                                # the range expands through everything linked
+        front, rest = front[:slice_], front[slice_:]
         nb = nn[front[:, 1]]
         key = np.unique(np.repeat(front[:, 0], nb.shape[1]) * (n + 1) + nb.ravel())
         qi, node = key // (n + 1), key % (n + 1)
@@ -136,7 +163,7 @@ def search(v: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarray, leas
             s[i:i + 65536] = np.einsum("rd,rd->r", vv[node[i:i + 65536]], q[qi[i:i + 65536]])
         sim[qi, node] = s
         hit = s >= least
-        front = np.stack([qi[hit], node[hit]], 1)
+        front = np.concatenate([rest, np.stack([qi[hit], node[hit]], 1)])
     qi, node = np.nonzero(sim[:, :n] >= least)
     other = node != own[qi]
     return qi[other], node[other]
@@ -166,8 +193,15 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     finite = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))       # NaN is above infinity
     rows = rows.where(F.col("vid").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()).where(
         finite & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vid").agg(F.min(F.struct("label", "v")).alias("x")).select(
+    one = rows.groupBy("vid").agg(F.min(F.struct("label", "v")).alias("x")).select(
         "vid", F.concat_ws(":", "x.label", F.size("x.v")).alias("space"), F.col("x.v").alias("v"))
+    return one.withColumn("h1", F.xxhash64("space", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "space"))
+
+
+def classes(valid: DataFrame) -> DataFrame:
+    """(vid, space, v, copies, h1, h2): one row for all equal vectors, named by the smallest id."""
+    return materialise(valid.groupBy("h1", "h2").agg(F.min("vid").alias("vid"), F.first("space").alias("space"), F.first("v").alias("v"),
+                                                     F.count(F.lit(1)).alias("copies")))
 
 
 def _pad(lists: list, n: int) -> np.ndarray:
@@ -179,7 +213,7 @@ def _pad(lists: list, n: int) -> np.ndarray:
 
 
 def near_links(base: DataFrame, least: float, margin: float, beam: int, block: int, sample: int, seed: int = 3) -> DataFrame:
-    """(vid, n_links, root, near) found by one pass; ``base`` has (vid, space, v)."""
+    """(vid, n_links, root, near) found by one pass; ``base`` has (vid, space, v, copies)."""
     total = base.count()
     rate = min(1.0, sample / max(total, 1))
     picked = base.where(F.pmod(F.xxhash64(F.lit(seed), "vid"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).select("space", "v").limit(2 * sample)
@@ -207,9 +241,9 @@ def near_links(base: DataFrame, least: float, margin: float, beam: int, block: i
                 out["at"] += [i] * len(hits)
             rows = b.take(pa.array(out["at"], pa.int64()))
             yield pa.record_batch([*rows.columns, pa.array(out["shard"], pa.int32()), pa.array(out["first"], pa.bool_())],
-                                  names=["vid", "space", "v", "shard", "first"])
+                                  names=["vid", "space", "v", "copies", "shard", "first"])
 
-    members = materialise(base.mapInArrow(assign, "vid long, space string, v array<double>, shard int, first boolean"))
+    members = materialise(base.select("vid", "space", "v", "copies").mapInArrow(assign, "vid long, space string, v array<double>, copies long, shard int, first boolean"))
     sizes = members.groupBy("space", "shard").count().select("space", "shard", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     members = materialise(members.join(sizes, ["space", "shard"]).withColumn(
         "block", F.pmod(F.xxhash64("vid", F.lit(seed)), F.col("blocks")).cast("int")))
@@ -225,9 +259,9 @@ def near_links(base: DataFrame, least: float, margin: float, beam: int, block: i
     # Index rows go to every query block of their shard, queries (first only) to every index block.
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     index = nodes.withColumn("qblock", F.explode(others)).select(
-        "space", "shard", "block", "qblock", "vid", "v", "near", F.lit(True).alias("indexed"), (F.col("first") & (F.col("block") == F.col("qblock"))).alias("query"))
+        "space", "shard", "block", "qblock", "vid", "v", "copies", "near", F.lit(True).alias("indexed"), (F.col("first") & (F.col("block") == F.col("qblock"))).alias("query"))
     asks = (members.where("first and blocks > 1").withColumn("qblock", F.col("block")).withColumn("block", F.explode(others)).where("block <> qblock")
-            .select("space", "shard", "block", "qblock", "vid", "v", F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("indexed"),
+            .select("space", "shard", "block", "qblock", "vid", "v", "copies", F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("indexed"),
                     F.lit(True).alias("query")))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,7 +269,7 @@ def near_links(base: DataFrame, least: float, margin: float, beam: int, block: i
         asked = pdf[pdf["query"]].sort_values("vid")
         if not len(inside) or not len(asked):
             return pd.DataFrame({"vid": [], "n_links": [], "root": []}).astype("int64").assign(near=pd.Series([], dtype=object))
-        ids, n = inside["vid"].to_numpy(), len(inside)
+        ids, n, copies = inside["vid"].to_numpy(), len(inside), inside["copies"].to_numpy()
         place = {x: i for i, x in enumerate(ids.tolist())}
         near = _pad([[place[y] for y in x if y in place] for x in inside["near"]], n)
         v, q, qid = unit(inside["v"].tolist()), unit(asked["v"].tolist()), asked["vid"].to_numpy()
@@ -243,7 +277,7 @@ def near_links(base: DataFrame, least: float, margin: float, beam: int, block: i
         count, forest, listed = np.zeros(len(q), np.int64), [], {}
         for i in range(0, len(q), 256):
             a, b = search(v, near, q[i:i + 256], own[i:i + 256], least, beam)
-            np.add.at(count, a + i, 1)
+            np.add.at(count, a + i, copies[b])
             forest += _forest(qid[a + i], ids[b])
             for x, y in zip(np.unique(a).tolist(), np.split(ids[b], np.flatnonzero(np.diff(a)) + 1)):
                 if len(y) <= LISTED:
@@ -257,11 +291,12 @@ def near_links(base: DataFrame, least: float, margin: float, beam: int, block: i
     return materialise(index.unionByName(asks).groupBy("space", "shard", "block", "qblock").applyInPandas(find, "vid long, n_links long, root long, near array<long>"))
 
 
-def link_counts(found: DataFrame) -> DataFrame:
+def link_counts(found: DataFrame, base: DataFrame) -> DataFrame:
     """(vid, n_links): a query's own links, or the listed links of either end if these are more."""
     own = found.groupBy("vid").agg(F.sum("n_links").alias("own"))
     listed = found.select("vid", F.explode("near").alias("other"))
-    both = listed.union(listed.select(F.col("other"), F.col("vid"))).distinct().groupBy("vid").agg(F.count(F.lit(1)).alias("both"))
+    both = listed.union(listed.select(F.col("other"), F.col("vid"))).distinct().join(
+        base.select(F.col("vid").alias("other"), "copies"), "other").groupBy("vid").agg(F.sum("copies").alias("both"))
     return own.join(both, "vid", "left").select("vid", F.greatest("own", F.coalesce("both", F.lit(0))).alias("n_links"))
 
 
@@ -282,11 +317,11 @@ def audit_recall(base: DataFrame, counts: DataFrame, least: float, queries: int,
             for s, rows in pdf[pdf["space"].isin(groups.keys())].groupby("space"):
                 ids, q = groups[s]
                 hit = (q @ unit(rows["v"].tolist()).T >= least) & (ids[:, None] != rows["vid"].to_numpy()[None])
-                for x, c in zip(ids.tolist(), hit.sum(1).tolist()):
+                for x, c in zip(ids.tolist(), (hit @ rows["copies"].to_numpy()).tolist()):
                     found[x] = found.get(x, 0) + c
         yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["vid", "c"])
 
-    there = base.mapInArrow(brute, "vid long, c long").groupBy("vid").agg(F.sum("c").alias("there"))
+    there = base.select("vid", "space", "v", "copies").mapInArrow(brute, "vid long, c long").groupBy("vid").agg(F.sum("c").alias("there"))
     part = F.least("there", F.coalesce("n_links", F.lit(0))) / F.col("there")
     both = there.where("there > 0").join(counts, "vid", "left").agg(F.avg(part), F.avg(F.when(F.col("there") <= LISTED, part))).first()
     return tuple(1.0 if x is None else x for x in both)
@@ -296,10 +331,11 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, margin: float = MA
                     audit: int = 256, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     workers(vectors.sparkSession)
-    base = materialise(_valid(vectors, id_col, vec_col, label_col))
+    valid = materialise(_valid(vectors, id_col, vec_col, label_col))
+    base = classes(valid)
     for _ in range(3):
         found = near_links(base, least, margin, beam, block, sample)
-        counts = materialise(link_counts(found))
+        counts = materialise(link_counts(found, base))
         overall, few = audit_recall(base, counts, least, audit)
         if min(overall, few) >= recall:
             break
@@ -307,7 +343,10 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, margin: float = MA
     else:
         raise RuntimeError(f"recall stays below {recall}: {overall:.4f} of all audited queries, {few:.4f} of those with at most {LISTED} links")
     labels = components(found.select(F.col("vid").alias("a"), F.col("root").alias("b")))
-    info = counts.join(labels, counts.vid == labels.node, "left").select("vid", "n_links", "component")
+    info = base.select("h1", "h2", "vid", "copies").join(counts, "vid", "left").join(labels, F.col("vid") == F.col("node"), "left")
+    info = materialise(info.select("h1", "h2", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                                   F.coalesce("component", "vid").alias("component")))
+    info = valid.select("vid", "h1", "h2").join(info, ["h1", "h2"]).select("vid", "n_links", "component")
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     out = ids.join(info, ids.vec_id == info.vid, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
