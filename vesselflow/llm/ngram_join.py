@@ -16,8 +16,8 @@ linked pair is lost; the bounds are:
   round's head names the class's group, linked or not; verified links make parts.  Pairs whose shared tokens could not
   suffice are not looked at.
 * Matrix.  The token-group matrix holds the union of shared tokens of every group.  A class queries it by its rare tokens, the
-  overlap of all its tokens with each other group's union bounds what any member can share, and only groups that reach s are
-  opened; their members of other parts that share a rare token are verified.
+  overlap of all its tokens with each other group's union bounds what any member can share, and only groups that reach what
+  their smallest member needs are opened; their members of other parts that share a rare token are verified.
 * Within a group, members of different parts meet by the tokens that the head lacks (see ``_within``).
 
 Verification recomputes both sets from the texts.  A group of g near copies costs about g verified pairs, not g * g.
@@ -210,19 +210,22 @@ def _across(every: DataFrame, near, percent: int) -> DataFrame:
     rows = materialise(rows.join(mixed.where("lo < hi and first < last").select("token"), "token").select("token", "class", "n", "left", "group", "part"))
     column = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("left").alias("most"), F.min("part").alias("first"), F.max("part").alias("last"))
     # Of two groups the one with fewer classes asks.
-    size = small(materialise(rows.groupBy("group").agg(F.count_distinct("class").alias("members"))))
+    size = small(materialise(rows.groupBy("group").agg(F.count_distinct("class").alias("members"), F.min("class").alias("only"), F.min("n").alias("low"))))
     asking = rows.join(size, "group").select("token", "class", "n", "left", "part", F.struct("members", "group").alias("own"))
     column = column.join(size, "group").withColumn("other", F.struct("members", "group"))
     query = (asking.join(column, "token")
              .where((F.col("own") < F.col("other")) & near("left", "n", "most", "least") & ((F.col("first") != F.col("part")) | (F.col("last") != F.col("part"))))
-             .select("class", "n", "group").distinct())
-    overlap = (query.join(every.select("class", "token"), "class").join(matrix, ["token", "group"])
-               .groupBy("class", "group").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n")))
-    opened = overlap.where(F.col("common") * 100 >= F.col("n") * percent).select("class", "group")
+             .select("class", "n", "group", "members", "only", "low").distinct())
+    query = materialise(query)
+    # A group of one class is its own union: the pair is verified as it is.
+    alone = query.where("members = 1").select(F.col("class").alias("a"), F.col("only").alias("b"))
+    overlap = (query.where("members > 1").join(every.select("class", "token"), "class").join(matrix, ["token", "group"])
+               .groupBy("class", "group").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("low").alias("low")))
+    opened = overlap.where(F.col("common") * (100 + percent) >= (F.col("n") + F.col("low")) * percent).select("class", "group")
     left = rows.select("token", "class", "n", "left", "part").join(small(materialise(opened)), "class")
     right = rows.select("token", "group", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bl"), F.col("part").alias("bp"))
     return (left.join(right, ["token", "group"]).where(near("left", "n", "bl", "bn") & (F.col("part") != F.col("bp")))
-            .select(F.col("class").alias("a"), "b").distinct())
+            .select(F.col("class").alias("a"), "b").union(alone).distinct())
 
 
 def _within(every: DataFrame, percent: int) -> DataFrame:
