@@ -11,6 +11,11 @@ Plan:
    parity of the ray towards +x is computed by ``aggregate`` over the band's edge
    array inside the join condition.
 
+4. cells: the same bands cut by meridians into square cells.  A cell that no edge touches lies wholly inside or
+   outside a polygon, so its points are answered by an equality join on (band, column); only the
+   points of border cells evaluate the parity, over the band's edges that are not wholly left of the cell.
+   Cells outside a polygon have no row.  Used when the cell table fits the broadcast limit, else the bands are.
+
 The polygon side is a dimension table whose size does not grow with the pings; its
 size is measured before it is broadcast, so the join is map-side and shuffles no
 ping.  Above the limit the same join runs as a salted shuffle join so one hot band
@@ -23,7 +28,7 @@ one-sided crossing rule (left/bottom edges in, right/top edges out).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +66,13 @@ class ZoneLayer:
     band_deg: float
     n_rows: int
     n_edge_refs: int
+    cells: DataFrame | None = None          # (_band, _col, _inside, _edges, attrs) of inside and border cells
+    n_cells: int = 0
+    n_cell_edges: int = 0
+
+    @property
+    def cell_bytes(self) -> int:
+        return self.n_cells * _ROW_BYTES + self.n_cell_edges * _EDGE_BYTES
 
     @property
     def est_bytes(self) -> int:
@@ -69,7 +81,7 @@ class ZoneLayer:
 
 def prepare_layer(polygons: DataFrame, layer: str | None = None, attrs: list | None = None,
                   band_deg: float | None = DEFAULT_BAND_DEG, layer_col: str = "layer",
-                  max_edges_per_band: int = 64, min_band_deg: float = 0.01) -> ZoneLayer:
+                  max_edges_per_band: int = 64, min_band_deg: float = 0.01, cells: bool = True) -> ZoneLayer:
     """Edges of one layer grouped by latitude band.  ``attrs`` are polygon columns
     carried to matched points (default: every column but the ring).
 
@@ -93,10 +105,60 @@ def prepare_layer(polygons: DataFrame, layer: str | None = None, attrs: list | N
         stats = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_edges")).alias("e")).first()
         n, e = int(stats["n"] or 0), int(stats["e"] or 0)
         if n == 0 or e / n <= max_edges_per_band or band / 4 < min_band_deg:
-            return ZoneLayer(bands, attrs, band, n, e)
+            layer = ZoneLayer(bands, attrs, band, n, e)
+            return with_cells(layer, polygon_edges(polygons.select(*attrs, "ring"))) if cells else layer
         band = band / 4
 
 
+def with_cells(layer: ZoneLayer, edges: DataFrame) -> ZoneLayer:
+    """``layer`` with its raster of inside and border cells.  ``edges`` holds all edges, horizontal ones as well (a
+    cell that only such an edge crosses is a border cell).  Edges are widened by a millionth of a cell, so rounding
+    in a clipped edge never leaves a touched cell unmarked."""
+    d = float(layer.band_deg)
+    eps = d * 1e-6
+    # An edge's cells, band by band: the columns between its crossings of the band's two parallels.
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    parts = edges.withColumn("_band", F.explode(F.sequence(band_of(lo - eps, d), band_of(hi + eps, d))))
+
+    def at(parallel: Column) -> Column:
+        y = F.greatest(lo, F.least(hi, parallel))
+        x = F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
+        return F.greatest(F.least("x1", "x2"), F.least(F.greatest("x1", "x2"), x))
+
+    south, north = at(F.col("_band") * d - eps), at((F.col("_band") + 1) * d + eps)
+    flat = F.col("y1") == F.col("y2")
+    west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(south, north))
+    east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(south, north))
+    border = parts.select("pid", "_band", F.explode(F.sequence(band_of(west - eps, d), band_of(east + eps, d))).alias("_col")).distinct()
+    # Other cells of a band lie between its outermost border cells and are decided by their centre.
+    bands = layer.bands.groupBy("pid", "_band").agg(F.flatten(F.collect_list("_edges")).alias("_edges"), *[
+        F.first(a).alias(a) for a in layer.attrs if a != "pid"])
+    span = border.groupBy("pid", "_band").agg(F.min("_col").alias("_from"), F.max("_col").alias("_to"), F.collect_set("_col").alias("_border"))
+    rows = span.join(bands, ["pid", "_band"], "left").withColumn("_col", F.explode(F.sequence("_from", "_to")))
+    rows = rows.withColumn("_inside", ~F.array_contains("_border", F.col("_col")))
+    found = F.coalesce(F.col("_edges"), F.array().cast(layer.bands.schema["_edges"].dataType))
+    centre = crossing_parity(found, (F.col("_col") + 0.5) * d, (F.col("_band") + 0.5) * d)
+    right = F.filter(found, lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("_col") * d - eps)
+    rows = rows.where(~F.col("_inside") | (centre == 1)).select(
+        "_band", "_col", "_inside", F.when(~F.col("_inside"), right).alias("_edges"), *layer.attrs)
+    # A band that horizontal edges alone reach has no crossing, hence nothing inside.
+    rows = rows.where(F.col("_inside") | (F.size("_edges") > 0))
+    from vesselflow.operators.membership import materialize
+    rows = materialize(rows)
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.coalesce("_edges", F.array().cast(layer.bands.schema["_edges"].dataType)))).alias("e")).first()
+    return replace(layer, cells=rows, n_cells=int(n["n"] or 0), n_cell_edges=int(n["e"] or 0))
+
+
+def cell_classes(points: DataFrame, layer: ZoneLayer, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """(class, points): how many points fall into cells that are ``inside`` a polygon, on a ``border`` (the only ones that
+    evaluate a parity) or ``outside`` all.  A cell with both an inside and a border polygon counts as border."""
+    kind = layer.cells.groupBy("_band", "_col").agg(F.bool_and("_inside").alias("_in"))
+    at = points.select(band_of(F.col(lat), layer.band_deg).alias("_band"), band_of(F.col(lon), layer.band_deg).alias("_col"))
+    at = at.groupBy("_band", "_col").agg(F.count(F.lit(1)).alias("_n"))
+    name = F.when(F.col("_in"), "inside").when(~F.col("_in"), "border").otherwise("outside")
+    return at.join(kind, ["_band", "_col"], "left").groupBy(name.alias("class")).agg(F.sum("_n").alias("points"))
+
+
 def crossing_parity(edges: Column, lon: Column, lat: Column) -> Column:
     """1 when the ray from (lon, lat) towards +x crosses an odd number of edges."""
     def step(acc, e):
@@ -119,17 +181,24 @@ def join_zones(points: DataFrame, layer: ZoneLayer, how: str = "left",
     ``name`` prefixed by nothing, others unchanged).
     """
     rename = rename or {}
-    b = layer.bands
+    if strategy == "auto" and layer.cells is not None and layer.cell_bytes <= broadcast_limit:
+        strategy = "cells"
+    b = layer.cells.withColumnRenamed("_band", "_cband") if strategy == "cells" else layer.bands
     outs = [F.col(a).alias(rename.get(a, a)) for a in layer.attrs]
     if how in ("left", "inner"):
-        b = b.select("_band", "_edges", *outs)
+        b = b.select(*[c for c in b.columns if c.startswith("_")], *outs)
     else:
-        b = b.select("_band", "_edges")
+        b = b.select(*[c for c in b.columns if c.startswith("_")])
     if strategy == "auto":
         strategy = "broadcast" if layer.est_bytes <= broadcast_limit else "shuffle"
     pband = band_of(F.col(lat), layer.band_deg)
     pts = points.withColumn("_pband", pband)
-    if strategy == "broadcast":
+    if strategy == "cells":
+        pts = pts.withColumn("_pcol", band_of(F.col(lon), layer.band_deg))
+        cond = ((pts["_pband"] == b["_cband"]) & (pts["_pcol"] == b["_col"])
+                & (b["_inside"] | (crossing_parity(b["_edges"], pts[lon], pts[lat]) == 1)))
+        joined = pts.join(F.broadcast(b), cond, _how(how)).drop("_pcol", "_cband", "_col", "_inside")
+    elif strategy == "broadcast":
         cond = (pts["_pband"] == b["_band"]) & (crossing_parity(b["_edges"], pts[lon], pts[lat]) == 1)
         joined = pts.join(F.broadcast(b), cond, _how(how))
     else:
