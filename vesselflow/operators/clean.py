@@ -53,7 +53,13 @@ def row_ids(df: DataFrame, group: str = "file_name", out: str = "id") -> DataFra
     window over the rows.  Each input partition is sorted locally by (group, input
     order) -- no shuffle -- so a group's rows are contiguous there; per (group,
     partition) counts form a small table whose running offsets give every row its
-    number.  A file holding a third of all rows is still spread over its input splits."""
+    number.  A file holding a third of all rows is still spread over its input splits.
+
+    Rows of a raw scan carry ``source_file`` and ``source_block``, the first byte of their split.  Then a row's
+    number is its place in its split after the rows of the file's earlier bytes, and does not depend on how the scan was cut or
+    which task read it."""
+    if {"source_file", "source_block"} <= set(df.columns):
+        return _ids_by_byte(df, group, out)
     d = (df.withColumn("_seq", F.monotonically_increasing_id())
            .sortWithinPartitions(group, "_seq")
            .withColumn("_mid", F.monotonically_increasing_id())
@@ -67,6 +73,16 @@ def row_ids(df: DataFrame, group: str = "file_name", out: str = "id") -> DataFra
             .drop("_seq", "_mid", "_part", "_first", "_off")
 
 
+def _ids_by_byte(df: DataFrame, group: str, out: str) -> DataFrame:
+    d = df.withColumn("_mid", F.monotonically_increasing_id())          # a split's rows follow each other in one task
+    parts = d.groupBy(group, "source_file", "source_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(group).orderBy("source_file", "source_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(group).alias("_group"), F.col("source_file").alias("_f"), F.col("source_block").alias("_b"), "_first",
+                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    same = d[group].eqNullSafe(parts["_group"]) & (d["source_file"] == parts["_f"]) & (d["source_block"] == parts["_b"])
+    return d.join(parts, same).withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first") + 1).drop("_group", "_f", "_b", "_mid", "_first", "_off")
+
+
 def preprocess(raw: DataFrame, file_col: str | None = None, with_ids: bool = True) -> DataFrame:
     """P1-P6 on a raw ping table: English names, repaired speed/direction, text RNP,
     parsed timestamp and parts, provenance ``file_name``, per-file row id."""
@@ -78,4 +94,4 @@ def preprocess(raw: DataFrame, file_col: str | None = None, with_ids: bool = Tru
         df = df.withColumn("file_name", file_name_from_path(F.col(file_col)))
     if with_ids:
         df = row_ids(df)
-    return df.drop("raw_speed", "raw_direction", "raw_date")
+    return df.drop("raw_speed", "raw_direction", "raw_date", "source_block")

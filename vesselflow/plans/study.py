@@ -22,7 +22,7 @@ from vesselflow.constants import REFERENCE_STUDY, Study
 from vesselflow.operators import geo, grid, rollup, series
 from vesselflow.operators.models import bayesian_impact, bayesian_summary, gamma_trend
 from vesselflow.plans import figures as FG
-from vesselflow.sources import io
+from vesselflow.sources import io, landing
 
 
 @dataclass(frozen=True)
@@ -124,16 +124,19 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
 def ingest_raw(spark: SparkSession, raw_dir: str, polygons: str, out: str, ports: str | None = None,
                model: str = "band", port_radius_km: float = 5.0) -> str:
     """Q1 + Q2 as one batch job: raw delimited files -> cleaned pings with per-file
-    ids, protected-area attributes, port visits and fishing state, written
-    partitioned by year and month (S9)."""
+    ids, protected-area attributes, port visits and fishing state, landed through
+    the ledger (S9): files that were landed before and did not change are not read again."""
     from vesselflow.operators import clean
     from vesselflow.operators.models import classify_by_mixture, classify_by_speed
 
     layers = layers_from(spark.read.parquet(polygons))
-    p = clean.preprocess(io.read_raw_pings(spark, raw_dir), file_col="source_file")
-    p = geo.attach_mpa(p, layers["mpa"])
-    if ports:
-        p = geo.flag_port_visits(p, spark.read.parquet(ports), radius_km=port_radius_km)
-    p = classify_by_mixture(p) if model == "mixture" else classify_by_speed(p)
-    io.write_pings(p.drop("source_file"), out)
+    ports_table = spark.read.parquet(ports) if ports else None
+
+    def modelled(raw):
+        p = geo.attach_mpa(clean.preprocess(raw, file_col="source_file"), layers["mpa"])
+        if ports_table is not None:
+            p = geo.flag_port_visits(p, ports_table, radius_km=port_radius_km)
+        return classify_by_mixture(p) if model == "mixture" else classify_by_speed(p)
+
+    landing.land(spark, raw_dir, out, modelled)
     return out

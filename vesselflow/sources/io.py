@@ -14,11 +14,11 @@ from vesselflow import schemas
 from vesselflow.operators.clean import file_name_from_path
 
 
-def read_raw_pings(spark: SparkSession, path: str, glob: str = "*.csv", recursive: bool = True,
+def read_raw_pings(spark: SparkSession, path: str | list, glob: str = "*.csv", recursive: bool = True,
                    with_corrupt: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """S1 + S2 + P6: every matching file under ``path`` with the fixed raw schema.
     Malformed lines are kept with their text in ``_corrupt_record`` (PERMISSIVE);
-    ``source_file`` is the file path from the scan metadata.  Each file's header is
+    ``source_file`` is the file path and ``source_block`` the split's first byte, from the scan metadata.  Each file's header is
     compared with the fixed schema (case does not matter): one in another order or with other names
     fails the scan, so that no value lands in the wrong column.  ``encoding`` covers files written as Latin-1."""
     schema = schemas.RAW_PINGS_WITH_CORRUPT if with_corrupt else schemas.RAW_PINGS
@@ -28,7 +28,7 @@ def read_raw_pings(spark: SparkSession, path: str, glob: str = "*.csv", recursiv
     if with_corrupt:
         r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
     df = r.csv(path)
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    return df.withColumn("source_file", F.col("_metadata.file_path")).withColumn("source_block", F.col("_metadata.file_block_start"))
 
 
 def read_table(spark: SparkSession, path: str, columns: list | None = None, where=None) -> DataFrame:
@@ -86,6 +86,21 @@ def write_pings(pings: DataFrame, path: str) -> None:
     write_table(keyed.sortWithinPartitions("year", "month", "landed_file"), path, ["year", "month", "landed_file"])
 
 
+def landed_partitions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(year, month, landed_file, folder) of the partitions that hold files; None if there is no table yet.  The file
+    listing alone is read."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        return None
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
+    named = F.regexp_extract("path", r"/landed_file=([^/]+)/", 1)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    files = files.where(F.col("path").rlike(r"/year=[^/]+/month=[^/]+/landed_file=[^/]+/"))
+    return files.select(F.expr("try_cast(regexp_extract(path, '/year=([^/]+)/', 1) as int)").alias("year"),
+                        F.expr("try_cast(regexp_extract(path, '/month=([^/]+)/', 1) as int)").alias("month"),
+                        F.try_url_decode(F.regexp_replace(named, r"\+", "%2B")).alias("landed_file"), folder.alias("folder")).distinct()
+
+
 def write_grids(cells: DataFrame, path: str, replace_all: bool = False) -> None:
     """Per-period cell tables named by fleet and period, overwriting only those (or all)."""
     write_table(cells, path, ["fleet", "period"], replace_all=replace_all)
