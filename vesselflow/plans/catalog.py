@@ -177,6 +177,31 @@ def q08(spark, sf_dir):
     return FG.half_month_area(FG.fleet_pings(i.fishing, i.active), i.layers, with_file=True)
 
 
+def _manifest_sql() -> str:
+    sl = S.other_fleet_files
+    cut = f"pos >= {sl[0]}" + (f" and pos <= {sl[1]}" if sl[1] is not None else "") if sl else "true"
+    hauling = "speed <= 4.0e0"
+    return O.with_ctes(f"""select c.file_name, c.revi, n_pings, n_hauling, n_fleet, area,
+       case when area is not null then 'used' when n_pings = 0 then 'empty' when n_hauling = 0 then 'no hauling' when n_fleet = 0 then 'other fleet'
+            when c.revi = '{C.FLEET_NO}' and not ({cut}) then 'outside slice' else 'no used cell' end as reason
+from (select file_name, count(*) as n_pings, count(case when {hauling} then 1 end) as n_hauling,
+             count(case when {hauling} and {O.ACTIVE_WHERE} then 1 end) as n_fleet, '{C.FLEET_YES}' as revi from pings group by file_name
+      union all
+      select file_name, count(*), count(case when {hauling} then 1 end),
+             count(case when {hauling} and {O.OTHER_WHERE} then 1 end), '{C.FLEET_NO}' from pings group by file_name) c
+left join files_ranked r on r.file_name = c.file_name
+left join (select file_name, '{C.FLEET_YES}' as revi, max(area) as area from ay_area group by file_name
+           union all select file_name, '{C.FLEET_NO}', max(area) from an_area group by file_name) a on a.file_name = c.file_name and a.revi = c.revi""",
+                       "ay_area", "an_area", "files_ranked", "pings", "active", "permits")
+
+
+@register("e01_file_manifest", _manifest_sql())
+def e01(spark, sf_dir):
+    """Every listed file and fleet has a row, with a missing area and the reason where nothing was used."""
+    i = Inputs(spark, sf_dir)
+    return FG.file_manifest(i.fishing.select("file_name"), i.fishing, i.layers, i.permits, i.active, S)
+
+
 @register("q09_area_other_fleet", O.with_ctes("select file_name, date, area from an_area", "an_area"))
 def q09(spark, sf_dir):
     i = Inputs(spark, sf_dir)

@@ -189,6 +189,37 @@ def area_results(modelled: DataFrame, layers: dict, permits: DataFrame, active:
     return grid.file_area(effort, g=g, by=("revi",)).select("date", "area", "revi")
 
 
+def file_manifest(files: DataFrame, modelled: DataFrame, layers: dict, permits: DataFrame, active: DataFrame, study: Study,
+                  g: grid.GridSpec = grid.DEFAULT_GRID) -> DataFrame:
+    """A row for every listed file and fleet, whatever became of the file: its pings, hauling pings and the fleet's of these, the used
+    area (missing if there is none) and the reason.
+
+    ``files`` (file_name) comes from the listing, so a file without a single row is there too (``empty``).  The other reasons name the
+    first filter that left nothing: ``no hauling``, ``other fleet``, ``outside slice`` (of the files of the non-active fleet), ``no used
+    cell`` (off the ocean or the grid); else ``used``."""
+    names = membership.bounded(both_fleets(permits, active).withColumnRenamed("vessel_name", "_name"))
+    fishing = F.col("vessel_state") == C.HAULING
+    of = lambda fleet: F.count(F.when(fishing & (F.col("revi") == fleet), 1))
+    seen = (modelled.join(names, modelled["vessel_name"].eqNullSafe(names["_name"]), "left").groupBy("file_name")
+            .agg(F.count(F.lit(1)).alias("n_pings"), F.count(F.when(fishing, 1)).alias("n_hauling"), of(C.FLEET_YES).alias("_y"), of(C.FLEET_NO).alias("_n")))
+    seen = membership.materialize(seen)
+    pos = order.positions(seen, "file_name", "_pos", materialize=False)
+    cut = in_slice(F.col("_pos"), *study.other_fleet_files) if study.other_fleet_files else F.lit(True)
+    sliced = seen.join(pos.select(F.col("file_name").alias("_f"), cut.alias("_cut")), seen["file_name"].eqNullSafe(F.col("_f")), "left").drop("_f")
+    fleets = F.array(F.struct(F.lit(C.FLEET_YES).alias("revi"), F.col("_y").alias("n_fleet"), F.lit(True).alias("_cut")),
+                     F.struct(F.lit(C.FLEET_NO).alias("revi"), F.col("_n").alias("n_fleet"), F.coalesce("_cut", F.lit(True)).alias("_cut")))
+    listed = files.select(F.col("file_name").alias("_file")).distinct()
+    rows = (listed.join(sliced, F.col("_file").eqNullSafe(F.col("file_name")), "left").withColumn("_x", F.explode(fleets))
+            .select(F.col("_file").alias("file_name"), "_x.revi", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pings", "n_hauling")],
+                    F.coalesce("_x.n_fleet", F.lit(0)).alias("n_fleet"), "_x._cut"))
+    areas = grid.file_area(both_fleets_effort(modelled, layers, permits, active, study), g=g, with_file=True, by=("revi",))
+    areas = areas.groupBy(F.col("revi").alias("_r"), F.col("file_name").alias("_f")).agg(F.max("area").alias("area"))
+    reason = (F.when(F.col("area").isNotNull(), "used").when(F.col("n_pings") == 0, "empty").when(F.col("n_hauling") == 0, "no hauling")
+              .when(F.col("n_fleet") == 0, "other fleet").when(~F.col("_cut"), "outside slice").otherwise("no used cell"))
+    return (rows.join(areas, (F.col("revi") == F.col("_r")) & F.col("file_name").eqNullSafe(F.col("_f")), "left")
+            .select("file_name", "revi", "n_pings", "n_hauling", "n_fleet", "area", reason.alias("reason")))
+
+
 def recode_fleet(df: DataFrame, col: str = "revi") -> DataFrame:
     """factor(levels = c('no','yes'), labels = c('No','Yes')); other values missing."""
     m = F.create_map(*[F.lit(x) for kv in C.FLEET_LABELS.items() for x in kv])
