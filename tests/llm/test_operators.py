@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -323,6 +325,77 @@ def test_html_names_inside_an_article():
         assert html_extract.main_text(f"<body><article><h1>Title</h1><p>{prose}</p>{cut}</article>") == f"Title\n{prose}"
 
 
+class _Second(HTMLParser):
+    """The lines of a page's article by another parser: text of skipped elements is dropped, a block's both ends end a line."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.held, self.skipped = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped or tag in ("nav", "aside", "footer", "script", "form") or ("class", "ad") in attrs:
+            self.skipped += 1
+        self.end(tag)
+
+    def handle_endtag(self, tag):
+        self.skipped -= self.skipped > 0
+        self.end(tag)
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.held.append(data)
+
+    def end(self, tag):
+        if tag in ("p", "div", "li", "ul", "blockquote", "h2", "article", "body", "html"):
+            self.lines.append(" ".join("".join(self.held).split()))
+            self.held = []
+
+    def text(self):
+        self.end("p")
+        return "\n".join(line for line in self.lines if line)
+
+
+def _page(rng):
+    def words():
+        return " ".join(rng.choice(["tide", "net,", "harbour.", "r&eacute;gion", "&lt;b&gt;", "7&nbsp;km", "\n fish ", "<b>boat</b>", "<i>a<em>b</em></i>"])
+                        for _ in range(rng.randint(8, 60)))
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "div", "blockquote", "cut"])
+        if kind == "cut":
+            return rng.choice(["<nav><p>Menu, home</p></nav>", "<div class=ad>Buy, now</div>", "<aside>See also</aside>", "<script>var a = '<p>no';</script>"])
+        if kind in ("div", "blockquote") and depth < 60:
+            return f"<{kind}>" + "".join(block(depth + 1) for _ in range(rng.randint(1, 2))) + f"</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{words()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
+        return f"<h2>{words()}</h2>" if kind == "h2" else f"<p>{words()}</p>"
+
+    inner = "".join(block(0) for _ in range(rng.randint(1, 12))) + f"<p>{words()}</p>"
+    return f"<html><body><nav><p>Home, news</p></nav><article>{inner}</article><footer><p>Imprint, contact</p></footer></body></html>"
+
+
+def test_html_against_a_second_parser():
+    rng = random.Random(5)
+    for _ in range(300):
+        page = _page(rng)
+        second = _Second()
+        second.feed(page)
+        second.close()
+        assert html_extract.main_text(page) == second.text(), page
+
+
+def test_html_of_any_depth():
+    prose = [f"Paragraph {i}, with some text." for i in range(1000)]
+    assert html_extract.main_text("<article>" + "".join(f"<b><p>{p}</p>" for p in prose)) == "\n".join(prose)
+    assert html_extract.main_text("<article>" + "".join(f"<div><p>{p}</p>" for p in prose)) == "\n".join(prose)
+    deep = "<body>" + "<div>" * 5000 + f"<p>{prose[0]}</p><div class=ad>Buy</div><p>{prose[1]}</p>"
+    assert html_extract.main_text(deep) == "\n".join(prose[:2])
+    start = time.process_time()                    # linear: a walk to the root for each of these closing tags takes minutes
+    assert html_extract.main_text("<i>" * 50000 + "x, y" + "</u>" * 50000) == "x, y"
+    assert html_extract.main_text("<b><div>" + "<i>" * 50000 + "x, y" + "</b>" * 50000) == "x, y"
+    assert time.process_time() - start < 20
+
+
 def test_language_id(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(table)

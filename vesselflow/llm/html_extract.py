@@ -48,67 +48,95 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEEP_NAMES = frozenset("has with without no wrapper wrap layout page".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "dl", "table", "select")
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+INLINE = frozenset("p li b a i em strong span".split())       # their closing tags do not reach beyond a container
 STOPS = frozenset("ul ol dl table article section div main body td th blockquote".split())
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*'|["'])*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^>]*+\Z""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "up", "kids", "score", "scored", "size", "linked")
+    __slots__ = ("tag", "attrs", "up", "kids", "score", "scored", "size", "linked", "inside", "head", "block")
 
     def __init__(self, tag: str, attrs: str, up: "Node | None"):
         self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
         self.score, self.scored, self.size, self.linked = 0.0, False, 0, 0
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))     # below an article or main element
+        self.head = self.block = False       # a headline, a block below it (known once measured)
+
+
+class _Open:
+    """The open elements from the root down, with the places of every tag, so that no tag walks the path."""
+
+    def __init__(self, root: Node):
+        self.path, self.places, self.blocks, self.stops = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.path)
+        self.path.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK or node.tag in ("td", "th"):
+            self.blocks.append(at)
+        if node.tag in STOPS:
+            self.stops.append(at)
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.path) > at:
+            self.places[self.path.pop().tag].pop()
+        for places in (self.blocks, self.stops):
+            while places[-1] >= at:
+                places.pop()
 
 
 def parse(page: str) -> Node:
-    root = at = Node("#root", "", None)
+    root = Node("#root", "", None)
+    opened = _Open(root)
+    path = opened.path
     pos, end = 0, len(page)
     while pos < end:
         m = _TAG.search(page, pos)
         if m is None:
-            at.kids.append(html.unescape(page[pos:]))
+            path[-1].kids.append(html.unescape(page[pos:]))
             break
         if m.start() > pos:
-            at.kids.append(html.unescape(page[pos:m.start()]))
+            path[-1].kids.append(html.unescape(page[pos:m.start()]))
         pos = m.end()
         if m.group(2) is None:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            node = at
-            while node.up is not None and node.tag != tag and not (tag in ("p", "li", "b", "a", "i", "em", "strong", "span") and node.tag in STOPS):
-                node = node.up
-            if node.up is not None and node.tag == tag:
-                at = node.up
+            at = opened.last(tag)
+            if at and (tag not in INLINE or at > opened.stops[-1]):
+                opened.close(at)
             elif tag == "br":
-                at.kids.append(Node("br", "", at))
+                path[-1].kids.append(Node("br", "", path[-1]))
             continue
         if tag in BLOCK:                     # a block ends an open paragraph, whatever inline tags it left open
-            node = at
-            while node.up is not None and node.tag not in BLOCK and node.tag not in ("td", "th"):
-                node = node.up
-            if node.tag == "p":
-                at = node.up
-            elif tag[0] == "h" and tag[1:].isdigit() and node.tag[0] == "h" and node.tag[1:].isdigit():
-                at = node.up
+            at = opened.blocks[-1]
+            if path[at].tag == "p" or tag in TITLES and path[at].tag in TITLES:
+                opened.close(at)
         if tag in CLOSES:
-            node = at
-            while node.up is not None and node.tag not in CLOSES[tag] and node.tag not in ("ul", "ol", "dl", "table", "select"):
-                node = node.up
-            if node.tag in CLOSES[tag]:
-                at = node.up
+            at = max(map(opened.last, CLOSES[tag]))
+            if at and at > max(map(opened.last, LISTS)):
+                opened.close(at)
         attrs = m.group(3)
-        node = Node(tag, attrs, at)
-        at.kids.append(node)
+        node = Node(tag, attrs, path[-1])
+        path[-1].kids.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+            close = _END[tag].search(page, pos)
             pos = close.end() if close else end
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
-            at = node
+            opened.push(node)
     return root
 
 
@@ -125,10 +153,7 @@ def _boilerplate(node: Node) -> bool:
     if tag in CUT_TAGS or tag in RAW:
         return True
     if tag == "header":                      # the headline block of an article stays
-        up = node.up
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.up
-        return up is None or not any(isinstance(k, Node) and k.tag in ("h1", "h2", "hgroup") for k in node.kids)
+        return not node.inside or not any(isinstance(k, Node) and k.tag in ("h1", "h2", "hgroup") for k in node.kids)
     if not node.attrs or tag in ("html", "body", "article", "main"):
         return False
     a = _attributes(node.attrs)
@@ -137,20 +162,14 @@ def _boilerplate(node: Node) -> bool:
     return tag not in HEADINGS and _named(node, a)
 
 
-def _headline(node: Node) -> bool:
-    return any(isinstance(k, Node) and (k.tag in ("h1", "h2", "hgroup") or _headline(k)) for k in node.kids)
-
-
 def _named(node: Node, a: dict[str, str]) -> bool:
     """Whether a class or id name and the measured text say boilerplate; a name alone does not cut an article's own parts."""
-    inside, up = False, node.up
-    while up is not None and not inside:
-        inside, up = up.tag in ("article", "main"), up.up
+    inside = node.inside
     dense, few = 2 * node.linked > node.size, node.size - node.linked < 100
     for kind in ("class", "id"):
         for n in _names({kind: a.get(kind, "")}):
             hit = CUT_NAMES.intersection(n)
-            if not hit or not KEEP_NAMES.isdisjoint(n) or hit <= TOP_NAMES and (inside or not GOOD_NAMES.isdisjoint(n)) and _headline(node):
+            if not hit or not KEEP_NAMES.isdisjoint(n) or hit <= TOP_NAMES and (inside or not GOOD_NAMES.isdisjoint(n)) and node.head:
                 continue
             whole = len(hit) == len(set(n))
             match = whole or n[-1] in CUT_NAMES
@@ -158,42 +177,60 @@ def _named(node: Node, a: dict[str, str]) -> bool:
             if node.tag == "p" or node.tag == "section" and inside:
                 if match and dense or whole and (not hit.isdisjoint(COMMENT_NAMES) and node.tag != "p" or few and sure and kind == "class"):
                     return True
-            elif dense or (match or few if sure else whole and few and not (inside and _headline(node))):
+            elif dense or (match or few if sure else whole and few and not (inside and node.head)):
                 return True
     return False
 
 
-def _measure(node: Node, linked: bool) -> None:
-    """Cut boilerplate; sizes of text and of linked text below each node."""
-    linked = linked or node.tag == "a"
-    kids = []
-    for k in node.kids:
-        if isinstance(k, str):
-            n = len("".join(k.split()))
-            node.size += n
-            node.linked += n if linked else 0
-        elif k.tag in CUT_TAGS or k.tag in RAW:
+def _measure(root: Node) -> None:
+    """Cut boilerplate; sizes of text and of linked text, headlines and blocks below each node; children before parents."""
+    stack = [(root, False, False)]
+    while stack:
+        node, linked, ready = stack.pop()
+        if not ready:
+            linked = linked or node.tag == "a"
+            node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in CUT_TAGS and k.tag not in RAW]
+            stack.append((node, linked, True))
+            stack.extend((k, linked, False) for k in node.kids if isinstance(k, Node))
             continue
-        else:
-            _measure(k, linked)
-            if _boilerplate(k):
+        kids = []
+        for k in node.kids:
+            if isinstance(k, str):
+                n = len("".join(k.split()))
+                node.size += n
+                node.linked += n if linked else 0
+            elif _boilerplate(k):
                 continue
-            node.size += k.size
-            node.linked += k.linked
-        kids.append(k)
-    node.kids = kids
+            else:
+                node.size += k.size
+                node.linked += k.linked
+                node.head = node.head or k.head or k.tag in ("h1", "h2", "hgroup")
+                node.block = node.block or k.block or k.tag in BLOCK
+            kids.append(k)
+        node.kids = kids
 
 
 def _text(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else " " if k.tag in ("br", "td", "th") or k.tag in BLOCK and not k.size else _text(k) for k in node.kids)
-
-
-def _has_block(node: Node) -> bool:
-    return any(isinstance(k, Node) and (k.tag in BLOCK or _has_block(k)) for k in node.kids)
+    out, stack = [], [node]
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k is not node and (k.tag in ("br", "td", "th") or k.tag in BLOCK and not k.size):
+            out.append(" ")
+        else:
+            stack.extend(reversed(k.kids))
+    return "".join(out)
 
 
-def _score(node: Node, scored: list[Node]) -> None:
-    if node.size and node.up is not None and (node.tag in BLOCK or node.tag in ("td", "th")) and not _has_block(node):
+def _score(root: Node) -> list[Node]:
+    """Ancestors that a paragraph gave points to, in page order."""
+    scored, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.up is None or node.block or not (node.tag in BLOCK or node.tag in ("td", "th")):
+            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and k.size)
+            continue
         t = " ".join(_text(node).split())
         points = 1 + t.count(",") + min(len(t) / 100, 3)
         points *= 1 - node.linked / node.size
@@ -208,40 +245,36 @@ def _score(node: Node, scored: list[Node]) -> None:
                 up.score = (25.0 if up.tag in ("article", "main") else 0.0) + (10.0 if not GOOD_NAMES.isdisjoint(names) else 0.0)
             up.score += points * share
             up, share = up.up, 0.5 if level == 0 else share / 2
-        return
-    for k in node.kids:
-        if isinstance(k, Node) and k.size:
-            _score(k, scored)
+    return scored
 
 
-def _blocks(node: Node, out: list[str], held: list[str]) -> None:
+def _flat(nodes: list) -> str:
+    """The blocks below these nodes, one a line; a cell or a break is a space, both ends of a block end a line."""
+    out: list[str] = []
+    held: list[str] = []
+
     def flush():
         t = " ".join("".join(held).split())
         if t:
             out.append(t)
         held.clear()
 
-    block = node.tag in BLOCK
-    if block:
-        flush()
-    for k in node.kids:
-        if isinstance(k, str):
+    stack: list = list(reversed(nodes))
+    while stack:
+        k = stack.pop()
+        if k is None:
+            flush()
+        elif isinstance(k, str):
             held.append(k)
-        elif k.tag in ("br", "td", "th"):
-            held.append(" ")
-            _blocks(k, out, held)
-            held.append(" ")
         else:
-            _blocks(k, out, held)
-    if block:
-        flush()
-
-
-def _flat(nodes: list) -> str:
-    out: list[str] = []
-    top = Node("div", "", None)
-    top.kids = nodes
-    _blocks(top, out, [])
+            if k.tag in BLOCK:
+                flush()
+                stack.append(None)
+            elif k.tag in ("br", "td", "th"):
+                held.append(" ")
+                stack.append(" ")
+            stack.extend(reversed(k.kids))
+    flush()
     return "\n".join(out)
 
 
@@ -257,13 +290,12 @@ def _wrapped(node: Node) -> float:
 
 
 def main_text(page: str | None) -> str:
-    """The article of one page; recursion is replaced by cutting trees that nest too deep."""
+    """The article of one page, however deep its elements nest."""
     if not page:
         return ""
-    root = _shallow(parse(page))
-    _measure(root, False)
-    scored: list[Node] = []
-    _score(root, scored)
+    root = parse(page)
+    _measure(root)
+    scored = _score(root)
     if not scored:
         return _flat([root])
     best = max(scored, key=lambda n: n.score * (1 - n.linked / n.size))       # the first of equals, in page order
@@ -292,27 +324,6 @@ def main_text(page: str | None) -> str:
     return _flat(keep)
 
 
-def _shallow(root: Node, most: int = 200) -> Node:
-    """Children of nodes deeper than ``most`` move up to that depth, in page order: text is kept, recursion is bounded."""
-    level, depth = [root], 0
-    while level and depth < most:
-        level = [k for n in level for k in n.kids if isinstance(k, Node)]
-        depth += 1
-    for n in level:
-        flat, stack = [], list(reversed(n.kids))
-        while stack:
-            k = stack.pop()
-            if isinstance(k, Node) and k.kids:
-                if k.tag in RAW or k.tag in CUT_TAGS:
-                    continue
-                stack.extend(reversed(k.kids))
-                k.kids = []
-            else:
-                flat.append(k)
-        n.kids = flat
-    return root
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row."""
     workers(pages.sparkSession)
