@@ -95,5 +95,5 @@ FIXTURE_STUDY = Study(
     post_start="1999-12-01", post_end="2001-11-30",
     hours_min_year=1994, fleet_min_year=None, cpue_from="1995-01-01", area_outlier=800.0,
     before_files=(1, 116), after_files=(117, None), before_years=(1995, 2000),
-    other_fleet_files=(2, None),
+    other_fleet_files=(2, None), expected_rows={"cpue_pair": 166, "area_series": 83},
 )

@@ -233,34 +233,76 @@ def flag_port_visits(points: DataFrame, ports: DataFrame, radius_km: float = 5.0
                      broadcast_limit: int = BROADCAST_LIMIT_BYTES, strategy: str = "auto") -> DataFrame:
     """``port_visit`` when a port lies within ``radius_km`` (haversine), else ``at_sea``.
 
-    Ports are listed under every latitude band their radius reaches and collected
-    into one array per band; each point joins its single band row by equality and
+    Ports are listed under every cell their radius reaches (:func:`port_cells`) and collected
+    into one array per cell; each point joins its single cell row by equality and
     tests ``exists(distance <= radius)`` natively -- one map-side pass, one output
-    row per point.  The ports table is a dimension; its size is checked first, and
-    above the limit the same join runs salted by shuffle (a band row per salt, so
-    a hot band is spread over SHUFFLE_SALTS tasks and each point still meets one row).
+    row per point, and only the ports around the point's cell are measured.  The
+    ports table is a dimension; its size is checked first, and above the limit the
+    same join runs salted by shuffle (a cell row per salt, so a hot cell is spread
+    over SHUFFLE_SALTS tasks and each point still meets one row).
     """
-    deg = radius_km / 110.0 + 1e-6
-    band_deg = max(1.0, 2 * deg)
-    p = ports.select(F.col(port_lon).alias("plon"), F.col(port_lat).alias("plat"))
-    p = (p.withColumn("_band", F.explode(F.sequence(band_of(F.col("plat") - deg, band_deg),
-                                                    band_of(F.col("plat") + deg, band_deg))))
-          .groupBy("_band").agg(F.collect_list(F.struct("plon", "plat")).alias("_ports")))
+    p = port_cells(ports, radius_km, port_lon, port_lat)
     if strategy == "auto":
         n = p.agg(F.sum(F.size("_ports"))).first()[0] or 0
         strategy = "broadcast" if n * _EDGE_BYTES <= broadcast_limit else "shuffle"
-    pts = points.withColumn("_pband", band_of(F.col(lat), band_deg))
+    band, col = port_cell_of(F.col(lon), F.col(lat), radius_km)
+    pts = points.withColumn("_pband", band).withColumn("_pcol", col)
     if strategy == "broadcast":
-        j = pts.join(F.broadcast(p), pts["_pband"] == p["_band"], "left")
+        j = pts.join(F.broadcast(p), (pts["_pband"] == p["_band"]) & (pts["_pcol"] == p["_col"]), "left")
     else:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.lit(SHUFFLE_SALTS)).cast("int")
         pts = pts.withColumn("_salt", salt)
         ps = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SHUFFLE_SALTS - 1))))
-        j = pts.join(ps, (pts["_pband"] == ps["_band"]) & (pts["_salt"] == ps["_salt"]), "left") \
+        j = pts.join(ps, (pts["_pband"] == ps["_band"]) & (pts["_pcol"] == ps["_col"]) & (pts["_salt"] == ps["_salt"]), "left") \
                .drop(ps["_salt"]).drop(pts["_salt"])
     near = F.exists("_ports", lambda q: haversine_km(F.col(lon), F.col(lat), q["plon"], q["plat"]) <= radius_km)
     return (j.withColumn(out, F.when(F.coalesce(near, F.lit(False)), inside).otherwise(outside))
-             .drop("_pband", "_band", "_ports"))
+             .drop("_pband", "_pcol", "_band", "_col", "_ports"))
+
+
+def _port_band(radius_km: float) -> tuple[float, float]:
+    """The radius in degrees of latitude and the height of a band, at least twice that."""
+    deg = radius_km / 110.0 + 1e-6
+    return deg, max(0.1, 2 * deg)
+
+
+def _port_columns(band: Column, band_deg: float) -> Column:
+    """Columns of a band: cells about as wide as high on the ground at the band's edge nearest a pole, one at a pole itself."""
+    edge = F.greatest(F.abs(band * band_deg), F.abs((band + 1) * band_deg))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.least(edge, F.lit(90.0)) * F.lit(DEG2RAD)) * (360.0 / band_deg)).cast("int"))
+
+
+def _port_column(lon: Column, columns: Column) -> Column:
+    """The column of a longitude, counted on past the date line; ``pmod`` by ``columns`` names the cell."""
+    return F.floor((lon + 180.0) * columns / 360.0)
+
+
+def port_cell_of(lon: Column, lat: Column, radius_km: float) -> tuple[Column, Column]:
+    """(band, column) of a position; missing coordinates have no cell."""
+    _, band_deg = _port_band(radius_km)
+    band = band_of(lat, band_deg)
+    columns = _port_columns(band, band_deg)
+    return band, F.pmod(_port_column(lon, columns), columns).cast("int")
+
+
+def port_cells(ports: DataFrame, radius_km: float = 5.0, port_lon="longitude", port_lat="latitude") -> DataFrame:
+    """(_band, _col, _ports): the ports whose circle can reach a cell.
+
+    A circle of angular radius d around latitude p spans ``asin(sin d / cos p)`` degrees of longitude on either side, and all
+    of them when it holds a pole; columns are taken modulo their number, so a circle across the date line lies in the cells of
+    both sides.  A port without coordinates reaches nothing."""
+    deg, band_deg = _port_band(radius_km)
+    p = ports.select(F.col(port_lon).alias("plon"), F.col(port_lat).alias("plat")).where("plon is not null and plat is not null")
+    polar = F.abs("plat") + deg >= 89.9
+    reach = F.when(polar, 180.0).otherwise(
+        F.asin(F.least(F.lit(1.0), F.sin(F.lit(deg * DEG2RAD)) / F.cos(F.col("plat") * F.lit(DEG2RAD)))) / F.lit(DEG2RAD) + 1e-6)
+    p = p.withColumn("_reach", reach).withColumn("_band", F.explode(F.sequence(
+        band_of(F.col("plat") - deg, band_deg), band_of(F.col("plat") + deg, band_deg))))
+    p = p.withColumn("_n", _port_columns(F.col("_band"), band_deg))
+    lo = _port_column(F.col("plon") - F.col("_reach"), F.col("_n"))
+    hi = F.least(_port_column(F.col("plon") + F.col("_reach"), F.col("_n")), lo + F.col("_n") - 1)
+    p = p.withColumn("_col", F.explode(F.sequence(lo, hi))).withColumn("_col", F.pmod("_col", "_n").cast("int"))
+    return p.groupBy("_band", "_col").agg(F.collect_list(F.struct("plon", "plat")).alias("_ports"))
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, r_km: float = EARTH_RADIUS_KM) -> Column:

@@ -54,6 +54,47 @@ def completeness(series: DataFrame, expected: dict | None = None, key: str = "se
     return n
 
 
+def expected_counts(series: DataFrame, expected: dict, key: str = "series_id") -> DataFrame:
+    """(check, n_rows, n_expected, complete) for the counts that the analysed code fixes by hand: ``cpue_pair`` counts
+    both fleets' CPUE months together, ``area_series`` each area series apart; any other name is a series of its own.
+    A series without an expected count is left out; an expected one without rows has 0 rows and is not complete."""
+    names = series.select(key).where(F.col(key).isNotNull())
+    check = F.when(F.col(key).startswith("cpue_"), "cpue_pair").otherwise(F.col(key))
+    kind = F.when(F.col(key).startswith("area_"), "area_series").otherwise(check)
+    counts = names.groupBy(check.alias("check"), kind.alias("_kind")).agg(F.count(F.lit(1)).alias("n_rows"))
+    want = series.sparkSession.createDataFrame(sorted(expected.items()), "_want string, n_expected long")
+    j = F.broadcast(want).join(counts, F.col("_want") == F.col("_kind"), "left")
+    return j.select(F.coalesce("check", "_want").alias("check"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
+                    "n_expected", (F.coalesce("n_rows", F.lit(0)) == F.col("n_expected")).alias("complete"))
+
+
+def require_expected(counts: DataFrame) -> None:
+    """An error that names every incomplete check (one row a check is read)."""
+    wrong = [f"{r['check']}: {r['n_rows']} rows, expected {r['n_expected']}" for r in counts.where(~F.col("complete")).collect()]
+    if wrong:
+        raise ValueError("series of unexpected length: " + "; ".join(sorted(wrong)))
+
+
+def gap_runs(series: DataFrame, first: str, last: str, key: str = "series_id", date: str = "date", value: str = "y") -> DataFrame:
+    """Runs of months with and without a known value, per series, against the calendar ``first`` .. ``last``:
+    (series_id, first_month, last_month, n_months, present).
+
+    A month is present when it has a row with a value; several rows of a month are one month, rows outside the calendar are not
+    looked at, and a series known by its name alone is one run of missing months.  Months of a run share the difference of their
+    number and their rank among the months of the same kind; both windows are per series, bounded by the calendar."""
+    month = F.trunc(F.col(date), "month")
+    months = F.explode(month_sequence(F.trunc(F.lit(first).cast("date"), "month"), F.trunc(F.lit(last).cast("date"), "month")))
+    found = series.groupBy(key, month.alias("month")).agg(F.count(value).alias("_n"))
+    calendar = found.select(key).distinct().select(key, months.alias("month"))
+    j = calendar.alias("c").join(found.alias("f"), F.col(f"c.{key}").eqNullSafe(F.col(f"f.{key}")) & (F.col("c.month") == F.col("f.month")), "left")
+    j = j.select(f"c.{key}", "c.month", (F.coalesce("_n", F.lit(0)) > 0).alias("present"))
+    number = F.year("month") * 12 + F.month("month")
+    rank = F.row_number().over(Window.partitionBy(key, "present").orderBy("month"))
+    return (j.withColumn("_run", number - rank).groupBy(key, "present", "_run")
+             .agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count(F.lit(1)).alias("n_months"))
+             .select(key, "first_month", "last_month", "n_months", "present"))
+
+
 def linear_counterfactual(series: DataFrame, z: float = 1.96, key: str = "series_id",
                           y: str = "y", t: str = "t") -> DataFrame:
     """M4: per series, least squares of y on the time index over the pre period;

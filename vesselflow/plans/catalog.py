@@ -16,6 +16,7 @@ from vesselflow import constants as C
 from vesselflow.constants import FIXTURE_STUDY as S
 from vesselflow.plans import figures as FG
 from vesselflow.plans import oracle as O
+from vesselflow.operators import intervals
 from vesselflow.operators import membership, rollup
 from vesselflow.sources import adapters
 
@@ -671,6 +672,117 @@ def w03(spark, sf_dir):
     return series_ops.completeness(s)
 
 
+_SERIES = ("s_act", "s_cpue_yes", "s_cpue_no", "s_area_yes", "s_area_no")
+_PERIODS = " union all ".join(
+    "select series_id, date, y, row_number() over (partition by series_id order by date) as t, "
+    f"date between date '{S.pre_start}' and date '{S.pre_end}' as in_pre, "
+    f"date between date '{S.post_start}' and date '{S.post_end}' as in_post from {src}" for src in _SERIES)
+# Student's t by bisection of the angle; the coefficients of the finite series come from a recursive product.
+O.CTES["iv_u"] = (_PERIODS, list(_SERIES))
+O.CTES["iv_line"] = ("select series_id, regr_slope(y, t) as b, regr_intercept(y, t) as a, count(y) as n_pre, avg(t) as m, "
+                     "sum(t * t) - sum(t) * sum(t) / count(*) as sxx from iv_u where in_pre and y is not null group by series_id", ["iv_u"])
+O.CTES["iv_fit"] = ("select l.*, sqrt(s.sse / (n_pre - 2)) as sd from iv_line l join (select u.series_id, "
+                    "sum(pow(u.y - (l.a + l.b * u.t), 2)) as sse from iv_u u join iv_line l using (series_id) "
+                    "where in_pre and y is not null group by u.series_id) s using (series_id)", ["iv_u", "iv_line"])
+O.CTES["iv_coef"] = ("""select df, list(c order by k) as cs from (
+  with recursive r as (
+    select distinct n_pre - 2 as df, 0 as k, 1e0 as c from iv_fit
+    union all
+    select df, k + 1, c * case when df % 2 = 0 then (2e0 * k + 1) / (2e0 * k + 2) else (2e0 * k + 2) / (2e0 * k + 3) end
+    from r where k + 1 < df // 2)
+  select * from r where k < df // 2) x group by df""", ["iv_fit"])
+
+
+def _within_sql(angle: str) -> str:
+    powers = f"list_sum(list_transform(range(len(cs)), lambda i: cs[i + 1] * pow(cos({angle}), 2 * i + df % 2)))"
+    return f"(case when df % 2 = 0 then sin({angle}) * {powers} else 2 / pi() * ({angle} + sin({angle}) * {powers}) end)"
+
+
+O.CTES["iv_crit"] = (f"""select df, tan((lo + hi) / 2) * sqrt(df) as t_crit from (
+  with recursive r as (
+    select df, cs, 0e0 as lo, pi() / 2 as hi, 0 as i from iv_coef
+    union all
+    select df, cs, case when {_within_sql('((lo + hi) / 2)')} < 0.95 then (lo + hi) / 2 else lo end,
+      case when {_within_sql('((lo + hi) / 2)')} < 0.95 then hi else (lo + hi) / 2 end, i + 1 from r where i < 60)
+  select * from r where i = 60) x""", ["iv_coef"])
+
+
+def _impact_series(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return FG.impact(FG.activity_series(i.hours, S).unionByName(FG.cpue_series(i.landings, i.permits, i.active, S))
+                     .unionByName(FG.area_series(i.areas(), S)), S)
+
+
+@register("m04_prediction_intervals", O.with_ctes(
+    "select u.series_id, u.date, round(a + b * t, 6) as pred, "
+    "round(a + b * t - t_crit * sd * sqrt(1 + 1e0 / n_pre + pow(t - m, 2) / sxx), 6) as pi_lower, "
+    "round(a + b * t + t_crit * sd * sqrt(1 + 1e0 / n_pre + pow(t - m, 2) / sxx), 6) as pi_upper "
+    "from iv_u u join iv_fit f using (series_id) join iv_crit c on c.df = f.n_pre - 2", "iv_u", "iv_fit", "iv_crit"))
+def m04(spark, sf_dir):
+    """M4: exact 95% prediction interval of every month of the five series (Student's t, error of the line included)."""
+    p = intervals.prediction_intervals(_impact_series(spark, sf_dir))
+    return r6(p.select("series_id", "date", "pred", "pi_lower", "pi_upper"), "pred", "pi_lower", "pi_upper")
+
+
+_IV = ("resid_sd", "t_crit", "pred_avg", "pred_avg_lower", "pred_avg_upper", "effect_avg", "effect_se", "effect_avg_lower",
+       "effect_avg_upper", "effect_sum", "effect_sum_lower", "effect_sum_upper", "rel_effect", "rel_lower", "rel_upper", "tail_p")
+
+
+@register("m06c_impact_intervals", O.with_ctes(
+    "select series_id, n_pre, n_post, " + ", ".join(f"round({c}, 6) as {c}" for c in _IV) + f""" from (
+  select *, effect_avg / nullif(pred_avg, 0) as rel_effect, least(effect_avg_lower / nullif(pred_avg, 0), effect_avg_upper / nullif(pred_avg, 0)) as rel_lower,
+    greatest(effect_avg_lower / nullif(pred_avg, 0), effect_avg_upper / nullif(pred_avg, 0)) as rel_upper,
+    n_post * effect_avg as effect_sum, n_post * effect_avg_lower as effect_sum_lower, n_post * effect_avg_upper as effect_sum_upper,
+    (1 - {_within_sql('angle')}) / 2 as tail_p
+  from (select *, effect_avg - half as effect_avg_lower, effect_avg + half as effect_avg_upper, pred_avg - half as pred_avg_lower,
+          pred_avg + half as pred_avg_upper, atan(abs(effect_avg / effect_se) / sqrt(df)) as angle
+    from (select *, t_crit * effect_se as half from (
+      select f.series_id, f.n_pre, p.n_post, f.sd as resid_sd, c.t_crit, p.pred_avg, p.effect_avg, c.df, k.cs,
+        f.sd * sqrt(1e0 / p.n_post + 1e0 / f.n_pre + pow(p.tp - f.m, 2) / f.sxx) as effect_se
+      from iv_fit f join iv_crit c on c.df = f.n_pre - 2 join iv_coef k on k.df = c.df
+      join (select series_id, count(*) as n_post, avg(t) as tp, avg(a + b * t) as pred_avg, avg(y - (a + b * t)) as effect_avg
+            from iv_u join iv_line using (series_id) where in_post and y is not null group by series_id) p on p.series_id = f.series_id)))) z""",
+    "iv_u", "iv_line", "iv_fit", "iv_coef", "iv_crit"))
+def m06c(spark, sf_dir):
+    """M6: average, total and relative effect with exact 95% intervals and the tail probability, five series in one plan."""
+    return r6(intervals.impact_intervals(_impact_series(spark, sf_dir)), *_IV)
+
+
+_OBSERVED = "select 'activity' as series_id, date, y from s_act_m" + "".join(f" union all select series_id, date, y from {x}" for x in _SERIES[1:])
+
+
+def _observed(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return FG.observed_series(i.hours, i.landings, i.permits, i.active, i.areas(), S)
+
+
+@register("w03b_gap_runs", O.with_ctes(f"""select series_id, cast(min(month) as date) as first_month, cast(max(month) as date) as last_month,
+  count(*) as n_months, present
+from (select *, sum(case when present is distinct from before then 1 else 0 end) over (partition by series_id order by month) as run
+  from (select *, lag(present) over (partition by series_id order by month) as before
+    from (select c.series_id, c.month, coalesce(n, 0) > 0 as present
+      from (select series_id, unnest(generate_series(timestamp '{S.pre_start}', timestamp '{S.post_end}', interval 1 month)) as month
+            from (select distinct series_id from ({_OBSERVED}) d) e) c
+      left join (select series_id, date_trunc('month', date) as month, count(y) as n from ({_OBSERVED}) o group by 1, 2) f
+        on c.series_id = f.series_id and c.month = f.month) a) b) r
+group by series_id, present, run""", "s_act_m", *_SERIES[1:]))
+def w03b(spark, sf_dir):
+    """Runs of present and missing months of the five series as observed, against the study's calendar."""
+    return series_ops.gap_runs(_observed(spark, sf_dir), S.pre_start, S.post_end)
+
+
+@register("w03c_expected_rows", O.with_ctes(" union all ".join([
+    f"select 'cpue_pair' as \"check\", count(*) as n_rows, cast({S.expected_rows['cpue_pair']} as bigint) as n_expected, "
+    f"count(*) = {S.expected_rows['cpue_pair']} as complete from (select * from s_cpue_yes union all select * from s_cpue_no) c",
+    f"select series_id, count(*), cast({S.expected_rows['area_series']} as bigint), count(*) = {S.expected_rows['area_series']} "
+    "from (select * from s_area_yes union all select * from s_area_no) a group by series_id"]), *_SERIES[1:]))
+def w03c(spark, sf_dir):
+    """The fixed lengths of the series (both CPUE fleets together, each area series) against their rows."""
+    i = Inputs(spark, sf_dir)
+    s = FG.cpue_series(i.landings, i.permits, i.active, S).unionByName(FG.area_series(i.areas(), S))
+    return series_ops.expected_counts(s, S.expected_rows)
+
+
 # --- more single operators -----------------------------------------------------------------------
 
 def _raw_clean(spark, sf_dir, with_ids=False):

@@ -331,6 +331,14 @@ def activity_series(hours: DataFrame, study: Study) -> DataFrame:
     return series_ops.month_spine(s, fill=0.0)
 
 
+def observed_series(hours: DataFrame, landings: DataFrame, permits: DataFrame, active: DataFrame, areas: DataFrame,
+                    study: Study) -> DataFrame:
+    """The five impact series as observed: the activity's missing months are not filled."""
+    m = mpa_monthly_effort(hours, study, unit_hours=study.unit_hours_model)
+    return (m.select(F.lit("activity").alias("series_id"), "date", F.col("effort").alias("y"))
+            .unionByName(cpue_series(landings, permits, active, study)).unionByName(area_series(areas, study)))
+
+
 def cpue_series(landings: DataFrame, permits: DataFrame, active: DataFrame, study: Study) -> DataFrame:
     """Q18/Q19 input: CPUE per fleet from ``cpue_from``; no gap fill."""
     m = monthly_cpue(landings, permits, active, study, from_date=study.cpue_from)

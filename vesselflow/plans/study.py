@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vesselflow import constants as C
 from vesselflow.constants import REFERENCE_STUDY, Study
-from vesselflow.operators import geo, grid, rollup, series
+from vesselflow.operators import geo, grid, intervals, rollup, series
 from vesselflow.operators.models import bayesian_impact, bayesian_summary, gamma_trend
 from vesselflow.plans import figures as FG
 from vesselflow.sources import io, landing
@@ -57,10 +57,11 @@ def half_month_cells(eff: DataFrame) -> DataFrame:
 
 
 def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = REFERENCE_STUDY,
-              bayesian: bool = True, niter: int = C.MCMC_ITERATIONS) -> dict:
+              bayesian: bool = True, niter: int = C.MCMC_ITERATIONS, strict: bool = False) -> dict:
     """Run Q4-Q21 (+ M5, M7) and write: month_vessel_hrs, fleets, area_results,
     area_monthly, cpue_monthly, mpa_effort, grids_half_month, grids_before_after,
-    nfi, impact_linear, impact_summary, impact_bayesian, trends."""
+    nfi, series_completeness, series_gaps, impact_linear, impact_summary, impact_intervals, impact_bayesian, trends.
+    ``strict`` makes a series whose length differs from ``study.expected_rows`` an error, as in the original."""
     modelled = spark.read.parquet(paths.pings)
     layers = layers_from(spark.read.parquet(paths.polygons))
     permits = FG.permit_list(spark.read.parquet(paths.permits))
@@ -105,8 +106,15 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
          .unionByName(FG.cpue_series(landings, permits, active, study))
          .unionByName(FG.area_series(areas, study)))
     s = _write_read(spark, s, _p(out, "series"))
-    fitted = _write_read(spark, FG.impact(s, study), _p(out, "impact_linear"))
+    if study.expected_rows:
+        counts = _write_read(spark, series.expected_counts(s, study.expected_rows), _p(out, "series_completeness"))
+        if strict:
+            series.require_expected(counts)
+    observed = FG.observed_series(hours, landings, permits, active, areas, study)
+    io.write_table(series.gap_runs(observed, study.pre_start, study.post_end), _p(out, "series_gaps"))
+    fitted = _write_read(spark, intervals.prediction_intervals(FG.impact(s, study)), _p(out, "impact_linear"))
     io.write_table(series.impact_summary(fitted), _p(out, "impact_summary"))
+    io.write_table(intervals.impact_intervals(fitted), _p(out, "impact_intervals"))
     if bayesian:
         indexed = series.flag_periods(series.time_index(s), (study.pre_start, study.pre_end),
                                       (study.post_start, study.post_end))
@@ -118,7 +126,8 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
     return {name: _p(out, name) for name in (
         "month_vessel_hrs", "fleets", "mpa_effort", "cpue_monthly", "effort_half_month", "area_results",
         "grids_half_month",
-        "area_monthly", "grids_before_after", "nfi", "series", "impact_linear", "impact_summary", "trends")}
+        "area_monthly", "grids_before_after", "nfi", "series", "impact_linear", "impact_summary", "impact_intervals",
+        "series_gaps", "trends")}
 
 
 def ingest_raw(spark: SparkSession, raw_dir: str, polygons: str, out: str, ports: str | None = None,
