@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from vesselflow.constants import FIXTURE_STUDY
 from vesselflow.plans import catalog
-from vesselflow.plans.study import StudyPaths, run_study
-from vesselflow.sources import adapters, fixtures
+from vesselflow.plans.study import StudyPaths, publish_study
+from vesselflow.sources import adapters, fixtures, publish
 
 from .conftest import SF001
 
@@ -20,7 +20,7 @@ def test_run_study_matches_queries(spark, scratch):
     adapters.permits(spark, SF001).write.parquet(os.path.join(land, "permits"))
     adapters.landings(spark, SF001).write.parquet(os.path.join(land, "landings"))
     paths = StudyPaths(*(os.path.join(land, n) for n in ("pings", "polygons", "permits", "landings")))
-    out = run_study(spark, paths, os.path.join(scratch, "out"), FIXTURE_STUDY, bayesian=True, niter=50)
+    out = publish_study(spark, paths, os.path.join(scratch, "out"), FIXTURE_STUDY, bayesian=True, niter=50)
 
     hrs = spark.read.parquet(out["month_vessel_hrs"]).drop("file_name")
     q4 = catalog.QUERIES["q04_monthly_vessel_hours"](spark, SF001)
@@ -39,4 +39,14 @@ def test_run_study_matches_queries(spark, scratch):
 
     grids = spark.read.parquet(out["grids_half_month"])
     assert grids.select("fleet").distinct().count() == 2
-    assert spark.read.parquet(os.path.join(scratch, "out", "impact_bayesian")).count() > 0
+    folder = publish.current(spark, os.path.join(scratch, "out"))
+    assert spark.read.parquet(os.path.join(folder, "impact_bayesian")).count() > 0
+
+    for table, name in (("impact_intervals", "m06c_impact_intervals"), ("series_gaps", "w03b_gap_runs")):
+        want = catalog.QUERIES[name](spark, SF001)
+        got = spark.read.parquet(out[table]).select(want.columns)
+        for c, kind in want.dtypes:
+            got = got.withColumn(c, F.round(c, 6)) if kind == "double" else got
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    counts = spark.read.parquet(os.path.join(folder, "series_completeness"))
+    assert {r["check"] for r in counts.collect()} == {"cpue_pair", "area_yes", "area_no"}

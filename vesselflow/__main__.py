@@ -25,6 +25,8 @@ def main(argv=None) -> None:
     st.add_argument("--out", required=True)
     st.add_argument("--calendar", choices=["reference", "fixture"], default="reference")
     st.add_argument("--no-bayesian", action="store_true")
+    st.add_argument("--strict", action="store_true", help="a series of unexpected length is an error")
+    st.add_argument("--publish", action="store_true", help="write a new version of --out and switch to it when it is whole")
 
     sm = sub.add_parser("stream", help="incremental ingest of newly landed raw files")
     sm.add_argument("--landing", required=True)
@@ -46,7 +48,8 @@ def main(argv=None) -> None:
         from vesselflow.constants import FIXTURE_STUDY, REFERENCE_STUDY
         cal = REFERENCE_STUDY if a.calendar == "reference" else FIXTURE_STUDY
         paths = S.StudyPaths(a.pings, a.polygons, a.permits, a.landings)
-        print(json.dumps(S.run_study(spark, paths, a.out, cal, bayesian=not a.no_bayesian), indent=1))
+        run = S.publish_study if a.publish else S.run_study
+        print(json.dumps(run(spark, paths, a.out, cal, bayesian=not a.no_bayesian, strict=a.strict), indent=1))
     else:
         from vesselflow.streaming.ingest import start_ingest
         mpa = S.layers_from(spark.read.parquet(a.polygons))["mpa"]

@@ -22,7 +22,7 @@ from vesselflow.constants import REFERENCE_STUDY, Study
 from vesselflow.operators import geo, grid, intervals, rollup, series
 from vesselflow.operators.models import bayesian_impact, bayesian_summary, gamma_trend
 from vesselflow.plans import figures as FG
-from vesselflow.sources import io, landing
+from vesselflow.sources import io, landing, publish
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,14 @@ def half_month_cells(eff: DataFrame) -> DataFrame:
     return cells.select("fleet", F.col("file_name").alias("period"), "row", "col", "value")
 
 
+def publish_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = REFERENCE_STUDY, **options) -> dict:
+    """:func:`run_study` into a new version of ``out``, switched to once every table is written; the tables' paths.
+    ``publish.read_published(spark, out, "area_results")`` reads one whole run."""
+    tables: dict = {}
+    publish.publish(spark, out, lambda folder: tables.update(run_study(spark, paths, folder, study, **options)))
+    return tables
+
+
 def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = REFERENCE_STUDY,
               bayesian: bool = True, niter: int = C.MCMC_ITERATIONS, strict: bool = False) -> dict:
     """Run Q4-Q21 (+ M5, M7) and write: month_vessel_hrs, fleets, area_results,
