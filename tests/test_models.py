@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from vesselflow.operators import models, series
+from vesselflow.operators import mixture, models, series
 
 
 def _series(spark, ys, sid="s"):
@@ -51,7 +51,7 @@ def test_mixture_separates_speed_clusters(spark):
     rng = np.random.default_rng(1)
     speeds = list(rng.normal(2.0, 0.3, 200)) + list(rng.normal(10.0, 0.5, 200))
     df = spark.createDataFrame([(float(s),) for s in speeds], "speed double")
-    out = models.classify_by_mixture(df, location=None)
+    out = mixture.classify_by_mixture(df, location=None)
     slow = out.where(F.col("speed") < 5).where(F.col("vessel_state") == "hauling").count()
     fast = out.where(F.col("speed") > 5).where(F.col("vessel_state") == "steaming").count()
     assert slow == 200 and fast == 200

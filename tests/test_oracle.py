@@ -34,7 +34,7 @@ def test_model_queries_run(spark, name):
 def test_every_query_has_sql_or_is_a_model():
     rows_only = set(catalog.QUERIES) - set(SQL)         # the training-data queries have their own tests in tests/llm
     assert set(catalog.QUERIES) <= set(E.queries())
-    assert rows_only <= {"m05_bayesian_impact", "m06b_bayesian_summary", "m07_gamma_trend", "m01b_mixture_states"}
+    assert rows_only <= {"m05_bayesian_impact", "m06b_bayesian_summary", "m07_gamma_trend"}
 
 
 def test_entry_smoke(spark):

@@ -1,6 +1,6 @@
 """Fishing-state classification (M1) and the statistical fits (M5, M7).
 
-M1a is a native expression.  M1b fits a two-component Gaussian mixture with MLlib.
+M1a is a native expression; M1b is in ``operators.mixture``.
 M5 and M7 are grouped-map functions: Spark shuffles one group per series (fleet,
 zone, ...) to a Python worker, where numpy runs the fit on that series only; the
 scale comes from many series in parallel, never from one large group.
@@ -34,43 +34,6 @@ def classify_by_speed(pings: DataFrame, speed: str = "speed", max_speed: float =
     return pings.withColumn(out, F.when(s.isNull(), "unknown").when(slow, C.HAULING).otherwise("steaming"))
 
 
-def classify_by_mixture(pings: DataFrame, speed: str = "speed", out: str = "vessel_state",
-                        seed: int = 42, location: str | None = "location") -> DataFrame:
-    """Two-component Gaussian mixture on speed; the component with the lower
-    mean is ``hauling``.  Port visits, when flagged, are excluded from the fit and
-    never hauling.
-
-    The fit runs on the distinct speed values weighted by their counts (MLlib
-    ``weightCol``): for a one-dimensional mixture this is the same likelihood as the
-    full data, on a table bounded by the speed resolution, so EM does not re-read
-    the pings on every iteration.  Scoring is a native comparison of the two
-    weighted log densities (the posterior argmax) -- no join, no Python."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    has_loc = bool(location) and location in pings.columns
-    fit_rows = pings.where(F.col(speed).isNotNull())
-    if has_loc:
-        fit_rows = fit_rows.where(F.col(location) != C.PORT_VISIT)
-    weighted = fit_rows.groupBy(speed).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    va = VectorAssembler(inputCols=[speed], outputCol="_f")
-    model = GaussianMixture(k=2, seed=seed, featuresCol="_f", weightCol="_w").fit(va.transform(weighted))
-    g = model.gaussiansDF.toPandas()                       # two rows: mean, covariance
-    comps = [(float(w), float(m[0]), float(c.toArray()[0, 0]))
-             for w, m, c in zip(model.weights, g["mean"], g["cov"])]
-    x = F.col(speed)
-
-    def log_density(w, mu, var):
-        return F.lit(float(np.log(w) - 0.5 * np.log(2 * np.pi * var))) - (x - F.lit(mu)) ** 2 / F.lit(2 * var)
-
-    slow, fast = sorted(comps, key=lambda c: c[1])
-    state = (F.when(x.isNull(), "unknown")
-              .when(log_density(*slow) >= log_density(*fast), C.HAULING).otherwise("steaming"))
-    if has_loc:
-        state = F.when(F.col(location) == C.PORT_VISIT, "port").otherwise(state)
-    return pings.withColumn(out, state)
-
-
 # --- M5: Bayesian structural time series -------------------------------------------------------------
 
 IMPACT_SCHEMA = ("series_id string, date date, t int, y double, in_pre boolean, in_post boolean, "

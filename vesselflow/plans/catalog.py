@@ -650,14 +650,52 @@ def m07(spark, sf_dir):
     return gamma_trend(a.unionByName(c), ["series_id", "period"])
 
 
-@register("m01b_mixture_states")
+# A fixed number of iterations on both sides, so that rounding cannot move the place where they stop.
+MIXTURE_STEPS = 25
+
+
+def _mixture_sql(body: str) -> str:
+    """The fit as a recursive statement over the speed histogram, one row an iteration."""
+    from vesselflow.operators.mixture import MAX_EXPONENT, MIN_VARIANCE
+    odds = ("(ln(w2) - ln(v2) / 2e0 - (x - m2) * (x - m2) / (2e0 * v2)) - "
+            "(ln(w1) - ln(v1) / 2e0 - (x - m1) * (x - m1) / (2e0 * v1))")
+    floor = O.d(MIN_VARIANCE)
+    return (f"with recursive pings as ({O.PINGS}), h as (select speed as x, cast(count(*) as double) as n from pings where speed is not null group by speed), "
+            "s as (select sum(n * x) / sum(n) as m, sum(n * x * x) / sum(n) as q from h), "
+            f"s2 as (select m, greatest(q - m * m, {floor}) as v from s), "
+            "em(i, w1, m1, v1, w2, m2, v2) as (select 0, cast(0.5 as double), m - sqrt(v), v, cast(0.5 as double), m + sqrt(v), v from s2 union all "
+            f"select i + 1, n1 / n, m1 + d1 / n1, greatest(q1 / n1 - d1 / n1 * (d1 / n1), {floor}), "
+            f"n2 / n, m2 + d2 / n2, greatest(q2 / n2 - d2 / n2 * (d2 / n2), {floor}) from ("
+            "select i, m1, m2, sum(n) as n, sum(n * r) as n1, sum(n * r * (x - m1)) as d1, sum(n * r * (x - m1) * (x - m1)) as q1, "
+            "sum(n * (1e0 - r)) as n2, sum(n * (1e0 - r) * (x - m2)) as d2, sum(n * (1e0 - r) * (x - m2) * (x - m2)) as q2 from ("
+            f"select em.*, h.*, 1e0 / (1e0 + exp(least({O.d(MAX_EXPONENT)}, {odds}))) as r from em, h where i < {MIXTURE_STEPS}) g group by i, m1, m2) t), "
+            f"f as (select * from em where i = {MIXTURE_STEPS}) " + body.replace("{odds}", odds))
+
+
+def _mixture_fit(spark, sf_dir):
+    from vesselflow.operators import mixture
+    return mixture.fit(mixture.speed_histogram(adapters.pings(spark, sf_dir)), iterations=MIXTURE_STEPS, tolerance=float("-inf"))
+
+
+@register("m01b_mixture_states", _mixture_sql(
+    f"select file_name, case when x is null then 'unknown' when {{odds}} <= 0 then '{C.HAULING}' else 'steaming' end as vessel_state, "
+    "count(*) as n_pings from (select file_name, speed as x from pings) p, f group by 1, 2"))
 def m01b(spark, sf_dir):
     """Fishing state from a two-component Gaussian mixture on speed; rows per state and file."""
-    from vesselflow.operators.models import classify_by_mixture
-    p = classify_by_mixture(adapters.pings(spark, sf_dir), location=None)
+    from vesselflow.operators.mixture import mixture_state
+    p = adapters.pings(spark, sf_dir).withColumn("vessel_state", mixture_state(F.col("speed"), _mixture_fit(spark, sf_dir)))
     return p.groupBy("file_name", "vessel_state").agg(F.count(F.lit(1)).alias("n_pings"))
 
 
+@register("m01c_mixture_components", _mixture_sql(
+    f"select '{C.HAULING}' as component, round(w1, 6) as weight, round(m1, 6) as mean, round(sqrt(v1), 6) as sd from f "
+    "union all select 'steaming', round(w2, 6), round(m2, 6), round(sqrt(v2), 6) from f"))
+def m01c(spark, sf_dir):
+    """Weight, mean and deviation of the two components."""
+    from vesselflow.operators.mixture import components
+    return r6(components(_mixture_fit(spark, sf_dir), spark), "weight", "mean", "sd")
+
+
 @register("w03_series_completeness", O.with_ctes(
     "select series_id, count(*) as n_rows from (select series_id from s_act union all select series_id from "
     "s_cpue_yes union all select series_id from s_cpue_no union all select series_id from s_area_yes union all "

@@ -144,7 +144,8 @@ def ingest_raw(spark: SparkSession, raw_dir: str, polygons: str, out: str, ports
     ids, protected-area attributes, port visits and fishing state, landed through
     the ledger (S9): files that were landed before and did not change are not read again."""
     from vesselflow.operators import clean
-    from vesselflow.operators.models import classify_by_mixture, classify_by_speed
+    from vesselflow.operators.mixture import classify_by_mixture
+    from vesselflow.operators.models import classify_by_speed
 
     layers = layers_from(spark.read.parquet(polygons))
     ports_table = spark.read.parquet(ports) if ports else None
