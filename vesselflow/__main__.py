@@ -1,4 +1,4 @@
-"""Command line: ``python -m vesselflow {ingest,study,stream} ...`` (spark-submit friendly)."""
+"""Command line: ``python -m vesselflow {ingest,refresh,study,stream} ...`` (spark-submit friendly)."""
 
 from __future__ import annotations
 
@@ -28,6 +28,8 @@ def main(argv=None) -> None:
     st.add_argument("--strict", action="store_true", help="a series of unexpected length is an error")
     st.add_argument("--publish", action="store_true", help="write a new version of --out and switch to it when it is whole")
 
+    st.add_argument("--states", help="folder of refresh: hours and areas start from its states instead of the pings")
+
     sm = sub.add_parser("stream", help="incremental ingest of newly landed raw files")
     sm.add_argument("--landing", required=True)
     sm.add_argument("--polygons", required=True)
@@ -35,6 +37,12 @@ def main(argv=None) -> None:
     sm.add_argument("--continuous", action="store_true")
     sm.add_argument("--checkpoint", help="stream offsets (default: a folder in --out, the same after every restart)")
 
+    rf = sub.add_parser("refresh", help="partial states of newly landed and changed files, for study --states")
+    rf.add_argument("--pings", required=True)
+    rf.add_argument("--polygons", required=True)
+    rf.add_argument("--out", required=True)
+    rf.add_argument("--calendar", choices=["reference", "fixture"], default="reference")
+
     ap.add_argument("--master")
     a = ap.parse_args(argv)
 
@@ -47,9 +55,14 @@ def main(argv=None) -> None:
     elif a.cmd == "study":
         from vesselflow.constants import FIXTURE_STUDY, REFERENCE_STUDY
         cal = REFERENCE_STUDY if a.calendar == "reference" else FIXTURE_STUDY
+        options = {"bayesian": not a.no_bayesian, "strict": a.strict, "states": a.states}
         paths = S.StudyPaths(a.pings, a.polygons, a.permits, a.landings)
         run = S.publish_study if a.publish else S.run_study
-        print(json.dumps(run(spark, paths, a.out, cal, bayesian=not a.no_bayesian, strict=a.strict), indent=1))
+        print(json.dumps(run(spark, paths, a.out, cal, **options), indent=1))
+    elif a.cmd == "refresh":
+        from vesselflow.constants import FIXTURE_STUDY, REFERENCE_STUDY
+        cal = REFERENCE_STUDY if a.calendar == "reference" else FIXTURE_STUDY
+        print(json.dumps(S.refresh_states(spark, a.pings, a.polygons, a.out, cal)))
     else:
         from vesselflow.streaming.ingest import start_ingest
         mpa = S.layers_from(spark.read.parquet(a.polygons))["mpa"]

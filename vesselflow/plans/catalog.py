@@ -7,6 +7,7 @@ the raw test tables.  Doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from vesselflow.plans import figures as FG
 from vesselflow.plans import oracle as O
 from vesselflow.operators import intervals
 from vesselflow.operators import membership, rollup
+from vesselflow.session import ensure_checkpoint_dir
 from vesselflow.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -650,6 +652,37 @@ def m07(spark, sf_dir):
     return gamma_trend(a.unionByName(c), ["series_id", "period"])
 
 
+def _refreshed_states(spark, sf_dir, i: Inputs) -> str:
+    """States after two refreshes: files of January to April and an older text of May and June first, then every file as it is, so
+    that the second refresh computes May and later only."""
+    from vesselflow.plans import incremental
+    out = f"{ensure_checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    number = F.when(F.col("month") <= 4, "1")
+    early = i.modelled.where("month <= 4 or (month <= 6 and day % 7 <> 3)")
+    old = early.select("file_name", "month").distinct().select("file_name", F.coalesce(number, F.lit("0")).alias("version"))
+    incremental.refresh(early, old, i.layers, out, S)
+    incremental.refresh(i.modelled, i.modelled.select("file_name").distinct().withColumn("version", F.lit("1")), i.layers, out, S)
+    return out
+
+
+@register("q04b_incremental_hours", O.with_ctes(
+    "select file_name, year, month, vessel_name, zone, cast(hrs as bigint) as hrs from hours_f", "hours_f"))
+def q04b(spark, sf_dir):
+    """Q4 per file from partial states that were refreshed twice."""
+    from vesselflow.plans import incremental
+    return incremental.hours(spark, _refreshed_states(spark, sf_dir, Inputs(spark, sf_dir)), with_file=True)
+
+
+@register("q10b_incremental_areas", O.with_ctes("select date, area, revi from areas", "areas"))
+def q10b(spark, sf_dir):
+    """Q10 from partial states that were refreshed twice; the active fleet comes from the states as well."""
+    from vesselflow.plans import incremental
+    i = Inputs(spark, sf_dir)
+    out = _refreshed_states(spark, sf_dir, i)
+    active = membership.materialize(FG.active_fleet(incremental.hours(spark, out), S.fleet_min_year))
+    return incremental.area_results(spark, out, i.layers, i.permits, active, S)
+
+
 # A fixed number of iterations on both sides, so that rounding cannot move the place where they stop.
 MIXTURE_STEPS = 25
 

@@ -141,7 +141,12 @@ def half_month_effort(fleet_p: DataFrame, layers: dict, days: DataFrame | None =
     days = rollup.last_days(fleet_p, raster) if days is None else days
     pv = rollup.position_hours(rollup.with_last_day(fleet_p, days, raster), [*raster, "year", "month", "_last"])
     pv = pv.withColumn("date", safe_date(F.col("year"), F.col("month"), F.col("_last")))     # impossible dates are missing (T4)
-    pe = rollup.position_effort(pv, [*raster, "date"])
+    return effort_of_positions(pv, layers, raster)
+
+
+def effort_of_positions(per_vessel: DataFrame, layers: dict, raster: list) -> DataFrame:
+    """Hours ``h`` per raster, date, position and vessel -> effort per raster, date and rounded position inside the ocean."""
+    pe = rollup.position_effort(per_vessel, [*raster, "date"])
     clipped = rollup.clip_and_label(pe, layers).drop("ocean_area", "eez_name")
     return rollup.regroup_rounded(clipped, [*raster, "date"])
 

@@ -22,6 +22,7 @@ from vesselflow.constants import REFERENCE_STUDY, Study
 from vesselflow.operators import geo, grid, intervals, rollup, series
 from vesselflow.operators.models import bayesian_impact, bayesian_summary, gamma_trend
 from vesselflow.plans import figures as FG
+from vesselflow.plans import incremental
 from vesselflow.sources import io, landing, publish
 
 
@@ -65,18 +66,20 @@ def publish_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study
 
 
 def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = REFERENCE_STUDY,
-              bayesian: bool = True, niter: int = C.MCMC_ITERATIONS, strict: bool = False) -> dict:
+              bayesian: bool = True, niter: int = C.MCMC_ITERATIONS, strict: bool = False, states: str | None = None) -> dict:
     """Run Q4-Q21 (+ M5, M7) and write: month_vessel_hrs, fleets, area_results,
     area_monthly, cpue_monthly, mpa_effort, grids_half_month, grids_before_after,
     nfi, series_completeness, series_gaps, impact_linear, impact_summary, impact_intervals, impact_bayesian, trends.
-    ``strict`` makes a series whose length differs from ``study.expected_rows`` an error, as in the original."""
+    ``strict`` makes a series whose length differs from ``study.expected_rows`` an error, as in the original.
+    ``states`` (a folder of ``refresh_states`` with the same study) gives hours and half-month effort instead of the pings."""
     modelled = spark.read.parquet(paths.pings)
     layers = layers_from(spark.read.parquet(paths.polygons))
     permits = FG.permit_list(spark.read.parquet(paths.permits))
     landings = spark.read.parquet(paths.landings)
 
-    hours = _write_read(spark, rollup.monthly_vessel_hours(modelled, layers, study.hours_min_year, with_file=True),
-                        _p(out, "month_vessel_hrs"), ["year"])
+    hours = (incremental.hours(spark, states, with_file=True) if states
+             else rollup.monthly_vessel_hours(modelled, layers, study.hours_min_year, with_file=True))
+    hours = _write_read(spark, hours, _p(out, "month_vessel_hrs"), ["year"])
     fleet_all = FG.active_fleet(hours)                          # README / causal lists: no year filter
     fleet_grid = FG.active_fleet(hours, study.fleet_min_year)   # grid scripts (T14)
     fleets = (fleet_all.withColumn("list", F.lit("active"))
@@ -92,8 +95,9 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
 
     # Q8-Q11 (+ S8 per-file grids)
     # per-position effort of both fleets, written once; areas and per-file grids derive from it
-    eff = FG.both_fleets_effort(modelled, layers, permits, active_grid, study).withColumnRenamed("revi", "fleet")
-    eff = _write_read(spark, eff, _p(out, "effort_half_month"), ["fleet"])
+    eff = (incremental.both_fleets_effort(spark, states, layers, permits, active_grid, study) if states
+           else FG.both_fleets_effort(modelled, layers, permits, active_grid, study))
+    eff = _write_read(spark, eff.withColumnRenamed("revi", "fleet"), _p(out, "effort_half_month"), ["fleet"])
     areas = grid.file_area(eff, by=("fleet",)).select("date", "area", F.col("fleet").alias("revi"))
     areas = _write_read(spark, areas, _p(out, "area_results"))
     io.write_grids(half_month_cells(eff), _p(out, "grids_half_month"), replace_all=True)
@@ -138,6 +142,12 @@ def run_study(spark: SparkSession, paths: StudyPaths, out: str, study: Study = R
         "series_gaps", "trends")}
 
 
+def refresh_states(spark: SparkSession, pings: str, polygons: str, out: str, study: Study = REFERENCE_STUDY) -> dict:
+    """Bring the partial states in ``out`` to the landed ``pings``: only files that the landing ledger lists with new content are read."""
+    return incremental.refresh(spark.read.parquet(pings), incremental.landed_versions(spark, pings),
+                               layers_from(spark.read.parquet(polygons)), out, study)
+
+
 def ingest_raw(spark: SparkSession, raw_dir: str, polygons: str, out: str, ports: str | None = None,
                model: str = "band", port_radius_km: float = 5.0) -> str:
     """Q1 + Q2 as one batch job: raw delimited files -> cleaned pings with per-file
