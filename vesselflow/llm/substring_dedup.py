@@ -8,10 +8,12 @@ words.  A word is removed when an edge that covers it occurs more than once.
   edge, and only about one row for ten words is shuffled to find them.
 * Runs of equal words are one class; a class that occurs twice has only repeated edges.  The edges of one
   member of every class are then compared across classes, which settles where repeats begin and end.
-* Repeated runs that follow each other in some document become links of the graph; links without a branch on
-  either side are compacted to paths by joins (connected components of the links).
-* Source coordinates verify the paths: in each document, places of one path that continue each other are joined to
-  spans, and only spans of at least ``k`` words are removed.
+* Repeated runs that follow each other in some document become links of the graph.  Links without a branch on
+  either side are compacted to paths by joins (pointer doubling, a logarithmic number of rounds; a ring is opened at its least
+  node).  Every repeated class gets a coordinate: its path and its offset in edges from the path's start.
+* The paths carry the removal: a document's runs are joined with the coordinates, runs of one path at one anchor (place less
+  offset) are one occurrence of it, and the occurrence's repeated edges, in path coordinates, give the spans of at least ``k``
+  words that go.  Rows that repeat a whole row are one source of places, so r of them cost r rows and not r * r pairs.
 
 Defined results: a null text has no words; a text of fewer than k words loses nothing; rows that repeat an id or a whole row
 are separate documents, whose windows repeat each other; a null id passes through; an empty table gives an empty
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesselflow.llm.common import byte_texts, components, materialise, mix, small, small_bytes, window_hashes, word_hashes, workers
+from vesselflow.llm.common import byte_texts, materialise, mix, small, small_bytes, window_hashes, word_hashes, workers
 
 K, M = 35, 16
 RUNS = "doc long, start int, n int, minimizer long, content long"
@@ -129,45 +131,73 @@ def spans(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_
     hits = classes.join(marked, "content", "left").select(
         "content", "n", F.when(F.col("times") > 1, whole).otherwise(F.array_sort("js")).alias("js")).where("js is not null")
     hits = materialise(hits)
-    places = materialise(places.join(hits.select("content", "js"), "content").select("doc", "start", "n", "content", "js"))
+    ends = hits.select("content", F.array_contains("js", 0).alias("head"), F.expr("array_contains(js, n - 1)").alias("tail"))
+    spots = materialise(places.join(ends, "content").dropDuplicates(["doc", "start"]))
 
     # Links: a class whose last edge is repeated, followed in some document by one whose first is.
-    tail = places.where("array_contains(js, n - 1)").select("doc", (F.col("start") + F.col("n")).alias("start"), F.col("content").alias("a"))
-    head = places.where("array_contains(js, 0)").select("doc", "start", F.col("content").alias("b"))
-    links = materialise(tail.join(head, ["doc", "start"]).select("a", "b").distinct())
-    out = links.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2")).where("b = b2")
+    tail = spots.where("tail").select("doc", (F.col("start") + F.col("n")).alias("start"), F.col("content").alias("a"), F.col("n").alias("step"))
+    head = spots.where("head").select("doc", "start", F.col("content").alias("b"))
+    links = materialise(tail.join(head, ["doc", "start"]).select("a", "b", "step").distinct())
+    out = links.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2"), F.min("step").alias("step")).where("b = b2")
     into = links.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("a2")).where("a = a2")
-    simple = out.join(into, ["a", "b"]).select("a", "b").where("a <> b")
-    paths = components(materialise(simple))
+    simple = out.join(into, ["a", "b"]).select("a", "b", "step").where("a <> b")
+    paths = compact(hits.select("content", "js"), materialise(simple))
 
-    named = places.join(paths, places.content == paths.node, "left").select(
-        "doc", "start", "js", F.coalesce("component", "content").alias("path"))
-    lists = named.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "path", "js"))).alias("places"))
+    occurrences = (spots.join(paths, "content").select("doc", "path", (F.col("start") - F.col("offset")).alias("anchor"), "offset", "js")
+                   .groupBy("doc", "path", "anchor").agg(F.array_sort(F.collect_list(F.struct("offset", "js"))).alias("places")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(doc, *s) for doc, places in zip(*[c.to_pylist() for c in b.columns]) for s in joined(places, k)]
+            rows = [(doc, anchor + lo, anchor + hi + k - 1, path)
+                    for doc, path, anchor, places in zip(*[c.to_pylist() for c in b.columns]) for lo, hi in stretches(places)]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
                                   names=["doc", "start", "end", "path"])
 
-    return lists.mapInArrow(run, "doc long, start int, end int, path long")
-
-
-def joined(places: list[dict], k: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, path) of one document: places in order; edges of one path that continue each other make a span."""
-    start = end = path = None
+    return occurrences.mapInArrow(run, "doc long, start int, end int, path long")
+
+
+def compact(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(content, path, offset, js): the coordinate of every class.  ``links`` (a, b, step) hold at most one link out of and one into
+    a class; a path is named by its first class, and a class without links is a path of its own."""
+    ranked = _ranked(links)
+    ring = materialise(ranked.where("moving and node = least").select(F.col("node").alias("b")))
+    if not ring.isEmpty():
+        ranked = _ranked(materialise(links.join(ring, "b", "left_anti")))
+    rows = classes.join(ranked.select(F.col("node").alias("content"), "to", "dist"), "content", "left")
+    return materialise(rows.select("content", F.coalesce("to", "content").alias("path"), F.coalesce("dist", F.lit(0)).cast("long").alias("offset"), "js"))
+
+
+def _ranked(links: DataFrame) -> DataFrame:
+    """(node, to, dist, least, moving) of every class with a predecessor: the first class of its path and the edges from there, by pointer
+    doubling.  Rows that still move after enough rounds for the longest possible path lie on rings; ``least`` is their ring's least class."""
+    state = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("to"), F.col("step").cast("long").alias("dist"),
+                                     F.least("a", "b").alias("least"), F.lit(True).alias("moving")))
+    for _ in range(state.count().bit_length() + 1):
+        ahead = state.select(F.col("node").alias("t"), F.col("to").alias("t_to"), F.col("dist").alias("t_dist"), F.col("least").alias("t_least"))
+        moved = state.where("moving").join(ahead, F.col("to") == F.col("t"), "left").select(
+            "node", F.coalesce("t_to", "to").alias("to"), (F.col("dist") + F.coalesce("t_dist", F.lit(0))).alias("dist"),
+            F.least("least", "t_least").alias("least"), F.col("t").isNotNull().alias("moving"))
+        state = materialise(moved.unionByName(state.where("not moving")))
+        if state.where("moving").isEmpty():
+            break
+    return state
+
+
+def stretches(places: list[dict]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the consecutive repeated edges of one occurrence, in path coordinates; ``places`` ascend by offset."""
+    first = end = None
     for p in places:
         for j in p["js"]:
-            e = p["start"] + j
-            if path == p["path"] and e == end - k + 1:
+            e = p["offset"] + j
+            if e == end:
                 end += 1
                 continue
-            if path is not None:
-                yield start, end, path
-            start, end, path = e, e + k, p["path"]
-    if path is not None:
-        yield start, end, path
+            if end is not None:
+                yield first, end
+            first, end = e, e + 1
+    if end is not None:
+        yield first, end
 
 
 def substring_dedup(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
