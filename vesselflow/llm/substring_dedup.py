@@ -170,17 +170,21 @@ def compact(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _ranked(links: DataFrame) -> DataFrame:
     """(node, to, dist, least, moving) of every class with a predecessor: the first class of its path and the edges from there, by pointer
-    doubling.  Rows that still move after enough rounds for the longest possible path lie on rings; ``least`` is their ring's least class."""
+    doubling.  Rows that still move at the end lie on rings; ``least`` is their ring's least class."""
     state = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("to"), F.col("step").cast("long").alias("dist"),
                                      F.least("a", "b").alias("least"), F.lit(True).alias("moving")))
-    for _ in range(state.count().bit_length() + 1):
+    before, reach = state.count(), 1
+    while before:
         ahead = state.select(F.col("node").alias("t"), F.col("to").alias("t_to"), F.col("dist").alias("t_dist"), F.col("least").alias("t_least"))
         moved = state.where("moving").join(ahead, F.col("to") == F.col("t"), "left").select(
             "node", F.coalesce("t_to", "to").alias("to"), (F.col("dist") + F.coalesce("t_dist", F.lit(0))).alias("dist"),
             F.least("least", "t_least").alias("least"), F.col("t").isNotNull().alias("moving"))
         state = materialise(moved.unionByName(state.where("not moving")))
-        if state.where("moving").isEmpty():
+        left, reach = state.where("moving").count(), 2 * reach
+        # Every round stops some row of each path that is not done, so an unchanged number means rings alone.
+        if left == 0 or (left == before and reach >= left):
             break
+        before = left
     return state
 
 
