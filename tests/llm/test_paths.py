@@ -2,7 +2,9 @@
 
 import random
 import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from vesselflow.llm import substring_dedup
@@ -88,3 +90,80 @@ def test_equal_rows_stay_linear(spark, copies):
     at = time.time()
     rows = substring_dedup.substring_dedup(docs).groupBy("n_words", "n_removed").count().collect()
     assert [tuple(x) for x in rows] == [(60, 60, copies)] and time.time() - at < 120
+
+
+def _chains(r, count):
+    """Links of chains and rings whose classes stand along documents: whole, cut in the middle, turned round or each alone."""
+    ids, links, places, want, doc = iter(r.sample(range(-10**6, 10**6), 40 * count)), [], [], {}, 0
+    for c in range(count):
+        chain = [next(ids) for _ in range(r.choice((1, 2, 3, 17, 39)))]
+        if ring := c % 3 == 0 and len(chain) > 1:
+            least = chain.index(min(chain))
+            chain = chain[least:] + chain[:least]
+        offset = 0
+        for a, b in zip(chain, [*chain[1:], chain[0] if ring else None]):
+            want[a] = (chain[0], offset)
+            if b is not None:
+                links.append((a, b, step := r.randint(1, 20)))
+                offset += step
+        turn, at, kind = r.randrange(len(chain)), 0, c % 4
+        for i in range(len(chain)):
+            if kind == 3 or kind == 1 and i == len(chain) // 2:
+                doc += 1
+            at += r.randint(1, 30)
+            places.append((chain[(turn + i) % len(chain)] if kind else chain[-1 - i], doc, at))
+        doc += c % 2                                     # chains may share a document
+        places = [(n, d, s + 10_000 * c) if d == doc else (n, d, s) for n, d, s in places]
+    return links, places, want
+
+
+def test_coordinates_along_documents_equal_a_walk(spark):
+    for seed in range(3):
+        links, places, want = _chains(random.Random(seed), 40)
+        classes = spark.createDataFrame([(n, [n % 7], d, s) for n, d, s in places], "content long, js array<int>, doc long, start int")
+        rows = substring_dedup.compact(classes, spark.createDataFrame(links, "a long, b long, step int")).collect()
+        assert len(rows) == len(want) and all(list(r.js) == [r.content % 7] for r in rows)
+        assert {r.content: (r.path, r.offset) for r in rows} == want
+
+
+def test_only_stretches_are_doubled(spark, monkeypatch):
+    """Two documents share 3000 words: one path of hundreds of classes, which costs the doubling no row and no round."""
+    r = random.Random(5)
+    shared = r.choices(WORDS, k=3000)
+    rows = [(i, " ".join(r.choices(WORDS, k=40) + shared + r.choices(WORDS, k=40))) for i in range(2)]
+    doubled, written, ranked, write = [], [], substring_dedup._ranked, substring_dedup.materialise
+    monkeypatch.setattr(substring_dedup, "_ranked", lambda links: (doubled.append(links.count()), ranked(links))[1])
+    monkeypatch.setattr(substring_dedup, "materialise", lambda df: (written.append(1), write(df))[1])
+    got = {x.doc_id: x.n_removed for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 3000, 1: 3000}
+    assert sum(doubled) == 0 and len(written) < 20
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    conf, key = spark.conf, substring_dedup.DROP_SHUFFLES
+    tops = [Path(str(f)) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for top in tops for f in top.rglob("shuffle_*.data")}
+    before, had = conf.get(key, "false"), files()
+    step = substring_dedup.materialise(spark.range(50_000).selectExpr("id % 9973 as k").groupBy("k").count())
+    assert step.count() == 9973 and conf.get(key, "false") == before
+    until = time.time() + 20
+    while (new := {f for f in files() - had if f.stat().st_size > 10_000}) and time.time() < until:
+        time.sleep(0.2)
+    assert not new
+
+
+def test_intervals_unite_within_their_row():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        rows = [sorted({(int(a), int(a + n)) for a, n in zip(r.integers(0, 60, c), r.integers(1, 9, c))}) for c in r.integers(0, 9, 6)]
+        want = []
+        for i, row in enumerate(rows):
+            held = sorted({x for a, b in row for x in range(2 * a, 2 * b + 1)})   # doubled: intervals that meet are one
+            for x in held:
+                if want and want[-1][0] == i and want[-1][2] == x - 1:
+                    want[-1][2] = x
+                else:
+                    want.append([i, x, x])
+        flat = [(i, a, b) for i, row in enumerate(rows) for a, b in row]
+        got = substring_dedup.stretches(*(np.array([x[c] for x in flat], np.int64) for c in range(3)))
+        assert [tuple(map(int, x)) for x in zip(*got)] == [(i, a // 2, b // 2) for i, a, b in want]
