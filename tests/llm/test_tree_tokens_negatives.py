@@ -201,6 +201,60 @@ def test_threshold_search_stops_early():
     assert (shard.score != 0).sum() < 1500                                # rows that never came up have no score
 
 
+def test_anchors_and_shards_meet_without_copies(spark, monkeypatch):
+    """Neither anchors nor shards are copied for each other, and no plan sends them through the driver, however small Spark takes them to be."""
+    plans, write = [], hard_negatives.materialise
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(hard_negatives, "materialise", kept)
+    monkeypatch.setattr(hard_negatives, "PER_SHARD", 20)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 150)
+    rows = _vectors(600, 6, 4)
+    rows += [(1000 + i, rows[3][1], 3) for i in range(100)]
+    mined = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), every=2)
+    assert Counter(tuple(r) for r in mined.collect()) == _mined(rows, 2, 5, 10)
+    plans.append(mined._jdf.queryExecution().executedPlan().toString())
+    assert len([p for p in plans if "asked" in p or "anchors" in p]) >= 2
+    assert not [p for p in plans if "Broadcast" in p or "Generate" in p]
+
+
+@pytest.mark.parametrize(("scale", "kind"), [(1, np.float32), (3000, np.float64), (10 ** 6, np.int64)])
+def test_blocks_meet_shards_exactly(scale, kind):
+    gen = np.random.default_rng(6)
+    rows = [np.floor(gen.normal(0, 100, (n, 5))).astype(np.int64) * scale for n in (40, 700, 300)]
+    rows[2][:250] = rows[1][0]                                            # ties, over shards and within one
+    ids = np.sort(gen.integers(0, 900, sum(map(len, rows))))              # repeated ids
+    gen.shuffle(ids)
+    labels = gen.integers(0, 3, len(ids))
+    anchors = np.concatenate(rows)[gen.choice(len(ids), 300, replace=False)]
+    anchors[5], anchors[6] = 0, rows[1][0]
+    of, own = gen.integers(0, 900, 300), gen.integers(0, 3, 300)
+    goals = np.sort(gen.integers(0, 60_000, (300, 3)), axis=1)[:, ::-1] * scale * scale
+    goals[7], goals[8, 1:] = -1, -1
+    whole = lambda x: np.ascontiguousarray(x, np.int64).tobytes()
+    for same in (True, False):
+        block = hard_negatives.Block(whole(np.arange(300)), whole(of), whole(own), whole(anchors), whole(goals), 5, same, 6, 30, 90)
+        exact, start = [[] for _ in range(300)], 0
+        for m in rows:
+            i = slice(start, start := start + len(m))
+            o = np.argsort(ids[i], kind="stable")
+            m, at, label = m[o], ids[i][o], labels[i][o]
+            shard = hard_negatives.Shard(whole(at), whole(label), hard_negatives._narrow(m), hard_negatives._narrow(np.argsort(m, axis=0).T), 5)
+            assert shard._kind(anchors) == kind
+            block.meet(shard)
+            for a in range(300):
+                exact[a] += [(int(s), int(b)) for s, b, l in zip(m @ anchors[a], at, label) if b != of[a] and (l == own[a]) == same]
+        wanted = Counter()
+        for a in range(300):
+            for g, p in enumerate([None] if same else goals[a].tolist()):
+                fits = [x for x in exact[a] if same or p >= 0 and 30 * p <= 100 * x[0] <= 90 * p]
+                wanted.update((a, g, b, s) for s, b in sorted(fits, key=lambda x: (-x[0], x[1]))[:6])
+        assert Counter(tuple(r.values()) for r in block.found().to_pylist()) == wanted and len(wanted) > 1000
+
+
 def test_scores_of_huge_components_fit(spark):
     rows = [(0, [1e30, 1.0], 1), (1, [1e30, 2.0], 1), (2, [1e29, -1e300], 2), (3, [1e6, 1.0], 2)]
     got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
